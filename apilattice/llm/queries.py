@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from apilattice.llm import ngram_join
+from apilattice.llm import chat, mixing, ngram_join, url_cascade
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -22,3 +22,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_cascade.judge(read(spark, sf_dir, "pages"))
+
+
+@query
+def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id bigint, turn bigint, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(turns.unionByName(extra)))
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents")).drop("text_hash")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from apilattice.llm import chat, mixing, ngram_join, url_cascade
+from apilattice.llm import chat, embedding_lsh, mixing, ngram_join, topk_search, url_cascade
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -40,3 +41,14 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query
+def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return topk_search.search(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query
+def op9_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_lsh.near_duplicates(read(spark, sf_dir, "embeddings"))

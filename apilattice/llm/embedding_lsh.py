@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apilattice.llm.graph import components
+from apilattice.llm.grouped import forest, groups
 from apilattice.llm.shingles import mix
 from apilattice.llm.staging import table
 from apilattice.llm.topk_search import finite, matrices
@@ -67,24 +68,10 @@ def _hashed(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "v").mapInArrow(hash_, "node string, cells array<int>")
 
 
-def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Each node's smallest reachable node number over links a-b."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _meet(cosine: float):
     """Groups of rows (bucket, t, i, j, s, node, copies, v, cells), sorted by the first four -> counts and forests."""
 
-    def group(rows: pa.RecordBatch | pa.Table) -> tuple[list, list, list]:
+    def group(rows: pa.RecordBatch) -> tuple[list, list, list]:
         t, i, j = (rows.column(k)[0].as_py() for k in (1, 2, 3))
         s = rows.column(4).to_numpy()
         copies, cells = rows.column(6).to_numpy(), np.stack(rows.column(8).to_numpy(zero_copy_only=False))
@@ -97,36 +84,21 @@ def _meet(cosine: float):
         a, b = a[keep], b[keep]
         first = ~(cells[a, :t] == cells[b, :t]).any(axis=1)
         many = np.bincount(a[first], copies[b[first]], len(s)) + np.bincount(b[first], copies[a[first]], len(s))
-        root = _forest(len(s), a, b)
+        root = forest(len(s), a, b)
         out = np.flatnonzero((many > 0) | (root != np.arange(len(s))))
         nodes = rows.column(5).to_numpy(zero_copy_only=False)
         return nodes[out].tolist(), many[out].astype(np.int64).tolist(), [nodes[root[k]] if root[k] != k else None for k in out]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, done = None, ([], [], [])
-
-        def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(done[0], pa.string()), pa.array(done[1], pa.int64()), pa.array(done[2], pa.string())], ["node", "many", "root"])
-
-        def groups(rows: pa.RecordBatch, last: bool):
-            key = np.stack([rows.column(k).to_numpy() for k in range(4)])
-            cuts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-            ends = np.r_[cuts[1:], rows.num_rows]
-            for lo, hi in zip(cuts, ends) if last else zip(cuts[:-1], ends[:-1]):
-                if hi - lo > 1:
-                    for have, more in zip(done, group(rows.slice(lo, hi - lo))):
-                        have.extend(more)
-            return None if last else rows.slice(cuts[-1])
-
-        for batch in batches:
-            if batch.num_rows:
-                rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-                held = groups(rows, False)
+        done: tuple[list, list, list] = ([], [], [])
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(done, (pa.string(), pa.int64(), pa.string()))], ["node", "many", "root"])
+        for rows in groups(batches, 4):
+            if rows.num_rows > 1:
+                for have, more in zip(done, group(rows)):
+                    have.extend(more)
             if len(done[0]) > 20_000:
                 yield packed()
                 done = ([], [], [])
-        if held is not None:
-            groups(held, True)
         yield packed()
 
     return meet

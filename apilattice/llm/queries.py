@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apilattice.llm import chat, embedding_lsh, mixing, ngram_join, topk_search, url_cascade
+from apilattice.llm import bpe, chat, embedding_lsh, html_blocks, mixing, ngram_join, topk_search, toxicity, url_cascade, warc
+from apilattice.llm.staging import table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +53,26 @@ def op8_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_lsh.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = table(warc.write(read(spark, sf_dir, "pages")), "warc", compression="uncompressed")
+    found = warc.read(archives, payloads=False).where("error is null")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
+@query
+def op7_html_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op10_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.trained(docs, read(spark, sf_dir, "labels")))

@@ -19,8 +19,8 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CODE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MULT = np.random.default_rng(20240502).integers(1, 1 << 63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -51,30 +51,45 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of one text column (one row at least)."""
+    for batch in batches:
+        _, at = text_bytes(batch.column(column))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and n+1 offsets of the rows into them."""
     raw, at = text_bytes(column)
-    out, counts = [], np.zeros(len(at), np.int64)
-    gap = _GAP[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[at] = True
-    starts = np.flatnonzero(~gap & (np.r_[True, gap[:-1]] | edge[:-1])) if len(raw) else np.zeros(0, np.int64)
-    ends = np.flatnonzero(~gap & (np.r_[gap[1:], True] | edge[1:])) + 1 if len(raw) else starts
-    lo = 0
+    starts, ends, counts = spans(raw, at, _GAP)
+    out, lo = [], 0
     while lo < len(starts):  # pieces of about STEP bytes that end between words
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + STEP, "right")))
         base, top = starts[lo], ends[hi - 1]
-        out.append(_hashes(raw[base:top], starts[lo:hi] - base, ends[lo:hi] - base, lower))
+        out.append(_hashes(raw[base:top], starts[lo:hi] - base, ends[lo:hi] - base))
         lo = hi
-    counts = np.searchsorted(starts, at)
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
 
 
-def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+def spans(raw: np.ndarray, at: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes outside ``gaps``, and n+1 offsets of the rows into them."""
+    gap = gaps[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    starts = np.flatnonzero(~gap & (np.r_[True, gap[:-1]] | edge[:-1])) if len(raw) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(~gap & (np.r_[gap[1:], True] | edge[1:])) + 1 if len(raw) else starts
+    return starts, ends, np.searchsorted(starts, at)
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = _powers(max(STEP, 1 << int(len(raw)).bit_length()))
     with np.errstate(over="ignore"):
         sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_CODE[_LOWER[raw] if lower else raw] * up[: len(raw)], out=sums[1:])
+        np.cumsum(_CODE[LOWER[raw]] * up[: len(raw)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT[7])
 
 

@@ -1 +1,65 @@
 """The stages of the corpus pipeline: (spark, docs, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from apilattice.llm import bpe, mixing, ngram_join, toxicity
+from apilattice.llm.staging import table
+
+MOST_BROADCAST = 32 << 20
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A table of decisions (id, text hash, ...), broadcast while it is small; else the join shuffles."""
+    df = table(df, "decisions")
+    return F.broadcast(df) if df.count() * 48 <= MOST_BROADCAST else df
+
+
+def _same(docs: DataFrame, other: DataFrame):
+    return docs["doc_id"].eqNullSafe(other["k_id"]) & (F.xxhash64(docs["text"]) == other["k_th"])
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents, all columns, that are not predicted toxic; labels come from the table beside them."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.clean(docs, toxicity.trained(docs, labels))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the smallest id, then the smallest text hash.
+
+    Documents without words are in no group and stay.  Of equal rows one stays.
+    """
+    found = table(ngram_join.classes(docs).where("label is not null").select("label", "doc_id", "th"), "groups")
+    first = found.groupBy("label").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    mark = found.join(first, "label").groupBy(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"))
+    mark = mark.agg(F.max(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("stays"), F.count("*").alias("many"))
+    mark = table(mark.where("not stays or many > 1"), "group-marks")
+    gone = _small(mark.where("not stays").select("k_id", "k_th"))
+    kept = docs.join(gone, _same(docs, gone), "left_anti")
+    again = mark.where("stays").select("k_id", "k_th")
+    if again.isEmpty():
+        return kept
+    again = _small(again)
+    once = kept.join(again, _same(kept, again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, _same(kept, again), "left_anti").unionByName(once)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents, all columns: each as many times as the mix takes it, the last time whole.
+
+    Equal rows share what the mix takes of them evenly, rounded up.
+    """
+    times = F.ceil(F.col("taken") / F.greatest("size", F.lit(1)))
+    taken = mixing.mixed(docs).groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_th")).agg(F.ceil(F.avg(times)).cast("int").alias("k_times"))
+    taken = _small(taken.where("k_times > 0"))
+    rows = docs.join(taken, _same(docs, taken))
+    columns = [docs[c] for c in docs.columns]
+    return rows.select(*columns, F.explode(F.sequence(F.lit(1), "k_times")).alias("k_time")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document of the mix."""
+    return bpe.digests(docs)

@@ -1 +1 @@
-
+"""Column functions over names, signatures, paths and texts."""

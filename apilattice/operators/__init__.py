@@ -1 +1 @@
-
+"""DataFrame-to-DataFrame operators; none reads a path."""

@@ -1 +1 @@
-
+"""Message streams: parsing, classification, correlation, session states."""

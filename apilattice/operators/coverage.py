@@ -69,6 +69,14 @@ def uncovered(operations: DataFrame, done: DataFrame, related: DataFrame | None
     return out
 
 
+def uncovered_by_group(operations: DataFrame, done: DataFrame, groups: DataFrame, deprecated: DataFrame | None = None) -> DataFrame:
+    """:func:`uncovered` where relations are groups(package_id, client, grp); work grows with rows, not with pairs."""
+    out = operations.select(*OP).distinct().join(done.select(*OP).distinct(), OP, "left_anti")
+    via = done.select(*OP).distinct().join(groups, ["package_id", "client"]).select("package_id", "grp", "operation").distinct()
+    out = out.join(groups, ["package_id", "client"], "left").join(via, ["package_id", "grp", "operation"], "left_anti").select(*OP).distinct()
+    return out if deprecated is None else out.join(deprecated.select(*OP).distinct(), OP, "left_anti")
+
+
 def with_signatures(open_: DataFrame, signatures: DataFrame) -> DataFrame:
     """Uncovered operations with the first signature of theirs, or ``operation(...)``."""
     first = first_witness(signatures, OP, ["member_ord"]).select(*OP, "sig")
@@ -77,10 +85,14 @@ def with_signatures(open_: DataFrame, signatures: DataFrame) -> DataFrame:
 
 def report(operations: DataFrame, done: DataFrame, related: DataFrame | None = None, deprecated: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """Totals, covered, uncovered and percent; operations covered only through relations leave both."""
+    return summed(operations, done, uncovered(operations, done, related, deprecated), by)
+
+
+def summed(operations: DataFrame, done: DataFrame, open_: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The report over operations whose uncovered ones are known."""
     by = ["package_id"] if by is None else by
     here = operations.select(*OP).distinct().join(done.select(*OP).distinct(), OP, "left_semi").withColumn("_covered", F.lit(1))
-    rest = uncovered(operations, done, related, deprecated).withColumn("_covered", F.lit(0))
-    sums = here.union(rest).groupBy(*by).agg(F.count("*").alias("total"), F.sum("_covered").alias("covered"))
+    sums = here.union(open_.select(*OP).withColumn("_covered", F.lit(0))).groupBy(*by).agg(F.count("*").alias("total"), F.sum("_covered").alias("covered"))
     return sums.select(*by, "total", "covered", (F.col("total") - F.col("covered")).alias("uncovered"), percent(F.col("covered"), F.col("total")).alias("coverage_percent"))
 
 

@@ -76,3 +76,58 @@ def op7_html_block_lstm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.trained(docs, read(spark, sf_dir, "labels")))
+
+
+# --- SQL for the same rows, where SQL can express them ---------------------------------------
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _url_sql() -> str:
+    rules = sorted(url_cascade.RULES, key=lambda r: -len(r[1]))
+    fits = lambda name, start: f"(host = '{name}' OR host LIKE '%.{name}')" + (f" AND starts_with(path, '{start}')" if start else "")
+    case = lambda value: " ".join(f"WHEN {fits(text.partition('/')[0], '/' + text.partition('/')[2])} THEN '{value(action, text)}'" for action, text in rules)
+    listed = " OR ".join(fits(name, "") for name in url_cascade.LISTED)
+    return f"""WITH u AS (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '')")} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages)
+SELECT page_id, host, path, CASE {case(lambda a, r: r)} END AS rule, CASE {case(lambda a, r: a)} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM u"""
+
+
+ORACLES["op1_url_bloom_cascade"] = _url_sql()
+
+ORACLES["op2_ngram_jaccard_join"] = rf"""WITH RECURSIVE
+w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS a FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) >= 5 THEN list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i+4], ' ')) WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * both >= 80 * (na.n + nb.n - both)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS b FROM r GROUP BY 1) m ON m.a = d.doc_id"""
+
+_ESC = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
+
+ORACLES["op4_chat_windows"] = f"""WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, row_number() OVER o AS pos, CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS tok, length({_ESC.format("role")}) + length({_ESC.format("text")}) AS size FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+s AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {chat.BUDGET // 2} AS span, min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id) AS sys FROM t),
+k AS (SELECT *, lag(span) OVER o AS was, lag(pos, 1) OVER o AS p1, lag(tok, 1) OVER o AS t1, lag(size, 1) OVER o AS z1, lag(pos, 2) OVER o AS p2, lag(tok, 2) OVER o AS t2, lag(size, 2) OVER o AS z2, max(CASE WHEN pos = sys THEN size END) OVER (PARTITION BY conv_id) AS sys_size FROM s WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+f AS (SELECT *, 20 + size + CASE WHEN was <> span THEN
+    CASE WHEN sys < pos THEN 21 + sys_size ELSE 0 END
+    + CASE WHEN p1 <> coalesce(sys, 0) AND t1 <= {chat.BUDGET // 4} THEN 21 + z1 + CASE WHEN p2 <> coalesce(sys, 0) AND t1 + t2 <= {chat.BUDGET // 4} THEN 21 + z2 ELSE 0 END ELSE 0 END
+  ELSE 0 END AS chars FROM k)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY pos)) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY conv_id"""
+
+ORACLES["op8_pivot_topk"] = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS z FROM embeddings),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.z, v.z) AS BIGINT) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5"""
+
+ORACLES["op9_embedding_lsh"] = """WITH RECURSIVE
+e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, coalesce(b, vec_id) >= vec_id AS kept
+FROM e LEFT JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id"""

@@ -34,6 +34,8 @@ RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org
 LISTED = ("ads-track.example.com", "banners.example.net", "telemetry.example.org")
 MOST_BITS = 1 << 28
 MOST_LEVELS = 64
+#: Keys in a partition of the universe.
+PART = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,9 +57,16 @@ def _key(shape: tuple[int, int]) -> Column:
     return F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, length))
 
 
-def _hashed(df: DataFrame, keys: Column) -> DataFrame:
+def _hashed(keys: DataFrame) -> DataFrame:
     """(a, b): 128 bits that stand for a key."""
-    return df.select(F.explode(keys).alias("key")).select(F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b")).distinct()
+    return keys.select(F.xxhash64("key").alias("a"), F.xxhash64(F.lit(1), "key").alias("b"))
+
+
+def _packed(keys: DataFrame) -> tuple[DataFrame, int]:
+    """``keys`` kept, in as many partitions as their number needs, and the number."""
+    keys = cut(keys)
+    n = keys.count()
+    return keys.coalesce(n // PART + 1), n
 
 
 def _places(a: np.ndarray, b: np.ndarray, level: int, n_bits: int, n_hashes: int) -> np.ndarray:
@@ -88,7 +97,7 @@ class Cascade:
         return found
 
 
-def _bits(keys: DataFrame, level: int, n_bits: int, n_hashes: int) -> np.ndarray:
+def _bits(keys: DataFrame, n_keys: int, level: int, n_bits: int, n_hashes: int) -> np.ndarray:
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -99,8 +108,11 @@ def _bits(keys: DataFrame, level: int, n_bits: int, n_hashes: int) -> np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(word[cuts].astype(np.int64)), pa.array(bits)], ["word", "bits"])
 
     out = np.zeros((n_bits + 31) // 32, np.uint32)
-    for word, bits in keys.mapInArrow(set_bits, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits")).toLocalIterator():
-        out[word] = bits
+    found = keys.mapInArrow(set_bits, "word bigint, bits bigint")
+    if n_keys > PART:
+        found = found.groupBy("word").agg(F.bit_or("bits"))
+    for word, bits in found.toLocalIterator():
+        out[word] |= np.uint32(bits)
     return out
 
 
@@ -128,9 +140,8 @@ def build(listed: DataFrame, others: DataFrame, n_listed: int, n_others: int) ->
         if total > MOST_BITS:
             return None
         level = len(made.levels)
-        made.levels.append((_bits(inside, level, n_bits, n_hashes), n_bits, n_hashes))
-        inside, outside, rate = cut(_passing(outside, level, made.levels[-1])), inside, 0.5
-        n = inside.count()
+        made.levels.append((_bits(inside, n, level, n_bits, n_hashes), n_bits, n_hashes))
+        outside, (inside, n), rate = inside, _packed(_passing(outside, level, made.levels[-1])), 0.5
     return made
 
 
@@ -158,13 +169,13 @@ def judge(pages: DataFrame, rules=RULES, listed=LISTED, id_col: str = "page_id",
     names = [text for _, text in rules]
     shapes = sorted({_shape(k) for k in [*names, *listed]})
     keys = F.array(*map(_key, shapes))
-    universe = cut(_hashed(rows, keys))
+    universe, n_keys = _packed(_hashed(rows.select(F.explode(keys).alias("key"))).distinct())
     lists = [names, [*(text for action, text in rules if action == "block"), *listed]]
     cascades = []
-    for own in lists:
-        inside = cut(_hashed(spark.createDataFrame([(list(dict.fromkeys(own)),)], "k array<string>"), F.col("k")))
-        others = universe.join(inside, ["a", "b"], "left_anti")
-        cascades.append(build(inside, others, inside.count(), others.count()))
+    for own in map(list, map(dict.fromkeys, lists)):
+        inside = _hashed(spark.createDataFrame([(k,) for k in own], "key string")).coalesce(len(own) // PART + 1)
+        near = F.broadcast(inside) if len(own) <= PART else inside
+        cascades.append(build(inside, universe.join(near, ["a", "b"], "left_anti"), len(own), n_keys))
     if None in cascades:
         masked = _by_join(rows, shapes, lists)
     else:

@@ -31,8 +31,9 @@ def load_plan(files: DataFrame, order: list[Column | str], size: str = "size", b
 
 def plan_totals(plan: DataFrame, files: DataFrame) -> DataFrame:
     """One row: files loaded and omitted, characters and tokens used."""
-    used = plan.agg(F.count("*").alias("included"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars"), F.coalesce(F.sum("est_tokens"), F.lit(0)).alias("est_tokens"))
-    return used.crossJoin(files.agg(F.count("*").alias("_all"))).select("included", (F.col("_all") - F.col("included")).alias("omitted"), "chars", "est_tokens")
+    rows = plan.select("chars", "est_tokens", F.lit(1).alias("_in"), F.lit(0).alias("_all")).union(files.select(F.lit(0), F.lit(0), F.lit(0), F.lit(1)))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.agg(n("_in").alias("included"), (n("_all") - n("_in")).alias("omitted"), n("chars").alias("chars"), n("est_tokens").alias("est_tokens"))
 
 
 def budget_cut(parts: DataFrame, order: list[str], budget: int, text: str = "text", by: list[str] | None = None) -> DataFrame:

@@ -57,7 +57,7 @@ def test_diagnostic_key_keeps_nulls(spark):
     assert one(spark, text.diagnostic_key(F.lit("a"), F.lit(None), F.lit("c"))) == "a||c"
 
 
-@pytest.mark.parametrize("path, want", [("src/Attestation/x.cs", False), ("src/My.Tests/x.cs", True), ("sdk-test/p.json", True), ("a/Samples/b", True), ("a/b/tests.py", True)])
+@pytest.mark.parametrize("path, want", [("src/Attestation/x.cs", False), ("src/My.Tests.csproj", True), ("src/My.Tests/x.cs", False), ("sdk-test/p.json", True), ("a/Samples/b", True), ("a/b/tests.py", True)])
 def test_test_paths(spark, path, want):
     assert one(spark, text.is_test_path(F.lit(path))) is want
 

@@ -26,6 +26,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 CAP = 3
 SEED = 20240601
+#: A source's rows meet its target in so many parts, so that a hot source is no hot key.
+SALTS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -66,7 +68,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = cut(rows.withColumn("key", -F.log(u) / F.col("quality")))
     targets = cut(_targets(rows, weights, share, cap))
     spread = F.least(F.col("ranges") - 1, F.floor(F.col("ranges") * (1 - F.exp(-F.col("key") * F.col("mean")))))
-    rows = rows.join(targets, "src").withColumn("range", spread)
+    salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(salted, ["src", "salt"]).drop("salt").withColumn("range", spread)
     sums = rows.groupBy("src", "range").agg(F.sum("size").alias("words"))
     outer = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("src", "range", F.coalesce(F.sum("words").over(outer), F.lit(0)).alias("ahead"))

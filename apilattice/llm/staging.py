@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows in an Arrow batch where rows hold texts, so that a task's batches stay small.
+BATCH_ROWS = 500
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -23,6 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows for each Arrow batch to BATCH_ROWS; batches of long texts are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: replicated storage, no lineage, survives lost executors."""
     shared_dir(df.sparkSession)

@@ -27,12 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apilattice.llm.shingles import LOWER, mix, shingle_rows, slices, spans, text_bytes, words
+from apilattice.llm.staging import small_batches
 
 SAMPLE = 8000
 THRESHOLD = 0.7
-#: A voter has at least so many toxic documents and this share of toxic ones among its own.
-SUPPORT, PRECISION = 8, 0.9
+#: A voter has at least so many toxic documents, or one in a hundred of the sample's if that is
+#: more, and this share of toxic ones among its own.
+SUPPORT, PRECISION = 4, 0.9
 MOST_VOTERS = 400
+#: The classifier's bias when there is no voter.
+BASE = -6.0
 #: Bytes of the word beginnings that may become patterns.
 BEGINS = (4, 5, 6)
 _GAP = np.ones(256, bool)
@@ -110,21 +114,37 @@ def _inputs(votes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.log1p(votes), np.log1p(fired)[:, None], (fired > 0)[:, None], np.log1p(mined.sum(1))[:, None]], axis=1)
 
 
+def _parts(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Where each part of about 2 MB begins, and the part."""
+    at = 0
+    for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), 0, 2 << 20):
+        yield at, batch.column(0)
+        at += batch.num_rows
+
+
 def _mined(column: pa.Array, toxic: np.ndarray) -> list[np.ndarray]:
-    """Sorted voter codes of each kind: terms over SUPPORT and PRECISION, the best of them."""
-    kept, ranked = [], []
-    for kind, (codes, offsets) in enumerate(terms(column)):
-        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        _, once = np.unique(mix(codes ^ mix(row.astype(np.uint64))), return_index=True)
-        code, which = np.unique(codes[once], return_inverse=True)
-        many = np.bincount(which, minlength=len(code))
-        marked = np.bincount(which, toxic[row[once]], len(code)).astype(np.int64)
-        good = (marked >= SUPPORT) & (marked >= PRECISION * many)
-        ranked += [(-int(m), int(m) - int(n), kind, int(c)) for c, m, n in zip(code[good], marked[good], many[good])]
+    """Sorted voter codes of each kind: terms over SUPPORT and PRECISION, the best of them.
+
+    Terms of toxic documents with support are candidates; only these are counted in the rest.
+    """
+    kinds = 1 + len(BEGINS)
+    own: list[list[np.ndarray]] = [[] for _ in range(kinds)]
+    for _, part in _parts(column.filter(pa.array(toxic))):
+        for kind, (codes, offsets) in enumerate(terms(part)):
+            row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+            _, once = np.unique(mix(codes ^ mix(row.astype(np.uint64))), return_index=True)
+            own[kind].append(codes[once])
+    support, marked = max(SUPPORT, int(toxic.sum()) // 100), []
+    for kind in range(kinds):
+        code, n = np.unique(np.concatenate(own[kind]) if own[kind] else np.zeros(0, np.uint64), return_counts=True)
+        marked.append((code[n >= support], n[n >= support]))
+    many = [np.zeros(len(code), np.int64) for code, _ in marked]
+    for _, part in _parts(column):
+        for kind, (codes, offsets) in enumerate(terms(part)):
+            many[kind] += (_counts(codes, offsets, marked[kind][0]) > 0).sum(0)
+    ranked = [(-int(m), int(m) - int(n), kind, int(c)) for kind, (code, ms) in enumerate(marked) for c, m, n in zip(code, ms, many[kind]) if m >= PRECISION * n]
     best = sorted(ranked)[:MOST_VOTERS]
-    for kind in range(1 + len(BEGINS)):
-        kept.append(np.sort(np.array([c for _, _, k, c in best if k == kind], np.uint64)))
-    return kept
+    return [np.sort(np.array([c for _, _, k, c in best if k == kind], np.uint64)) for kind in range(kinds)]
 
 
 def label_model(fires: np.ndarray, mined: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,23 +189,22 @@ def _linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, steps: int = 25
     return w[:-1], float(w[-1])
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
+def fit(column: pa.Array, toxic: np.ndarray) -> Model:
     """Voters, label model and classifier from labelled texts."""
-    column = pa.array(texts, pa.string())
     seen: set[int] = set()
-    fresh = np.zeros(len(texts), bool)
-    for k, shingles in enumerate(shingle_rows(*words(column))):
-        marks = {(j, int(mix(shingles ^ _KIND[j]).min())) for j in range(4)} if len(shingles) else set()
-        fresh[k] = not marks & seen
-        seen |= marks
-    voters = _mined(column.filter(pa.array(fresh)), toxic[fresh]) if len(texts) else [np.zeros(0, np.uint64)] * (1 + len(BEGINS))
-    model = Model(voters, np.zeros(0), np.zeros(0), -6.0)
-    if not len(texts):
+    fresh = np.zeros(len(column), bool)
+    for at, part in _parts(column):
+        for k, shingles in enumerate(shingle_rows(*words(part)), at):
+            marks = {(j, int(mix(shingles ^ _KIND[j]).min())) for j in range(4)} if len(shingles) else set()
+            fresh[k] = not marks & seen
+            seen |= marks
+    model = Model(_mined(column.filter(pa.array(fresh)), toxic[fresh]), np.zeros(0), np.zeros(0), BASE)
+    mined = sum(map(len, model.voters))
+    if not mined:
         model.weight = np.zeros(_inputs(np.zeros((1, 3))).shape[1])
         return model
-    votes = model.votes(column)
-    fires = votes > 0
-    posterior, rates, _ = label_model(fires, fires.shape[1] - 3)
+    votes = np.concatenate([model.votes(part) for _, part in _parts(column)])
+    posterior, rates, _ = label_model(votes > 0, mined)
     share = posterior.mean()
     model.accuracies = rates[1] * share / (rates[1] * share + rates[0] * (1 - share))
     model.weight, model.bias = _linear(_inputs(votes), posterior)
@@ -202,13 +221,14 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: st
     known = known.groupBy("l_id").agg(F.max("l_toxic").alias("l_toxic")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("d_text")).join(F.broadcast(known), F.col("d_id") == F.col("l_id"))
     rows = rows.orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("d_text")).limit(sample).select("d_text", "l_toxic").toArrow()
-    return fit([t or "" for t in rows.column(0).to_pylist()], np.array(rows.column(1).to_pylist(), int) == 1)
+    return fit(rows.column(0).combine_chunks(), rows.column(1).to_numpy() == 1)
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
@@ -220,6 +240,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that score below ``threshold``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -223,3 +223,40 @@ def imports_library(line: Column, name: str, language: str) -> Column:
     if language == "dotnet":
         return line.rlike(rf"^\s*using \s*(?:static \s*)?(?i:{q})[.; ]")
     return F.lit(False)
+
+
+#: Names that are no dependency of a package, by language.
+BUILTINS = {
+    "python": ("str", "int", "float", "bool", "bytes", "list", "dict", "set", "tuple", "object", "None", "Any", "Optional", "Union", "List", "Dict", "Set", "Tuple", "Callable", "Iterable", "Iterator", "Type"),
+    "go": ("string", "int", "int32", "int64", "uint", "byte", "rune", "bool", "float32", "float64", "error", "any"),
+    "java": ("String", "Object", "Integer", "Long", "Boolean", "Double", "void", "int", "long", "boolean", "double", "byte", "List", "Map", "Set"),
+    "typescript": ("string", "number", "boolean", "void", "any", "unknown", "never", "null", "undefined", "object", "Array", "Promise", "Record", "Partial", "Map", "Set"),
+    "dotnet": ("string", "int", "long", "bool", "double", "float", "object", "void", "byte", "decimal", "char"),
+}
+
+
+def is_builtin(name: Column, language: str) -> Column:
+    """True for a language's own types, type arguments aside; a dotted name is none."""
+    return F.coalesce(normalize_type(name).isin(*BUILTINS[language]), F.lit(False))
+
+
+def is_stdlib(module: Column, roots: tuple[str, ...]) -> Column:
+    """True where a dotted or slashed module path starts in a standard package."""
+    return F.coalesce(F.regexp_extract(module, r"^([^./]+)", 1).isin(*roots), F.lit(False))
+
+
+def budget_summary(used: Column, budget: Column) -> Column:
+    """``1,234/5,000 chars (24.7%)``."""
+    share = F.format_number(F.when(budget > 0, used * F.lit(100.0) / budget).otherwise(0.0), 1)
+    return F.concat(F.format_number(used, 0), F.lit("/"), F.format_number(budget, 0), F.lit(" chars ("), share, F.lit("%)"))
+
+
+def condition_of(conditions: Column) -> Column:
+    """One name for a chain of export conditions: ``default`` wins; with ``types`` an environment does, else ``types``; else the first known; else the last."""
+    has = lambda c: F.array_contains(conditions, c)
+    first = lambda names: F.element_at(F.filter(conditions, lambda c: c.isin(*names)), 1)
+    size = F.size(conditions)
+    known = F.when(F.size(F.filter(conditions, lambda c: c.isin(*CONDITIONS))) > 0, first(CONDITIONS))
+    environment = F.when(F.size(F.filter(conditions, lambda c: c.isin("node", "browser", "production", "development"))) > 0, first(("node", "browser", "production", "development")))
+    last = F.when(size > 0, F.element_at(conditions, -1))
+    return F.when((size == 0) | has("default"), F.lit("default")).when(has("types"), F.coalesce(environment, F.lit("types"))).otherwise(F.coalesce(known, last))

@@ -5,8 +5,6 @@ Operations are (package_id, client, operation); covered ones carry a witness (fi
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,5 +141,22 @@ def markdown_report(packages: DataFrame, uncovered_only: bool = False, skip_empt
     return whole.union(head).union(body)
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+def return_clients(members: DataFrame, clients: DataFrame, ret: Column) -> DataFrame:
+    """(package_id, owner, name, client): members whose unwrapped result ``ret`` is a client."""
+    known = clients.select("package_id", "client").distinct()
+    return members.withColumn("client", ret).join(known, ["package_id", "client"], "left_semi").select("package_id", "owner", "name", "client")
+
+
+def coverage_order(types: DataFrame, open_: DataFrame) -> DataFrame:
+    """types(package_id, name, priority, type_ord) with ``place``: those with uncovered operations first, then by priority."""
+    has = open_.select("package_id", F.col("client").alias("name")).distinct().withColumn("_open", F.lit(0))
+    place = F.row_number().over(Window.partitionBy("package_id").orderBy(F.coalesce("_open", F.lit(1)), "priority", "type_ord"))
+    return types.join(has, ["package_id", "name"], "left").withColumn("place", place).drop("_open")
+
+
+def uncovered_surface(members: DataFrame, open_: DataFrame) -> DataFrame:
+    """members(package_id, owner, name, kind, ...) that packing for coverage keeps: uncovered methods, and what else those types hold."""
+    ops = open_.select("package_id", F.col("client").alias("owner"), F.col("operation").alias("name")).distinct()
+    owners = ops.select("package_id", "owner").distinct()
+    here = members.join(owners, ["package_id", "owner"], "left_semi")
+    return here.where("kind <> 'method'").unionByName(here.where("kind = 'method'").join(ops, ["package_id", "owner", "name"], "left_semi").select(here.columns))

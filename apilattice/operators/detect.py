@@ -127,3 +127,14 @@ def solution_only(configs: DataFrame) -> DataFrame:
     """tsconfig rows that only list references."""
     part = lambda k: F.get_json_object("content", f"$.{k}")
     return configs.where(part("references[0]").isNotNull() & part("files").isNotNull() & part("files[0]").isNull() & part("include").isNull())
+
+
+def count_files(files: DataFrame, cap: int = MAX_FILES) -> DataFrame:
+    """(package_id, n_files): how many files, told up to ``cap``."""
+    return files.groupBy("package_id").agg(F.least(F.count("*"), F.lit(cap)).alias("n_files"))
+
+
+def quick_language(files: DataFrame, max_depth: int = 1) -> DataFrame:
+    """(package_id, language) by the first language, in order of detection, with a build file near the root."""
+    near = build_markers(files.where(depth("rel_path") <= max_depth))
+    return near.groupBy("package_id").agg(F.min_by("language", "rank").alias("language"))

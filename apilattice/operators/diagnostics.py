@@ -51,3 +51,11 @@ def merged(upstream: DataFrame, index: DataFrame, new: DataFrame) -> DataFrame:
     fresh = once.join(old.select("package_id", key.alias("_key")).distinct(), ["package_id", "_key"], "left_anti").select(*ROW, "_part")
     order = Window.partitionBy("package_id").orderBy("_part", "id", "target_type", "target_member", "text")
     return old.union(fresh).withColumn("ord", F.row_number().over(order)).drop("_part")
+
+
+def unmatched_options(packages: DataFrame) -> DataFrame:
+    """ENGINE_INPUT: packages(package_id, language, option) whose artefact option is of another language."""
+    none = F.lit(None).cast("string")
+    text = F.concat(F.lit("Option '"), "option", F.lit("' does not apply to "), "language", F.lit("; it is ignored."))
+    rows = packages.where(F.col("option").isNotNull() & (F.col("option") != F.col("language")))
+    return rows.select("package_id", F.lit("ENGINE_INPUT").alias("id"), text.alias("text"), F.lit(2).alias("level"), none.alias("target_type"), none.alias("target_member"))

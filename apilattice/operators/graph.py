@@ -182,3 +182,11 @@ def error_types(types: DataFrame, root: str = "System.Exception") -> DataFrame:
     up = types.where("base is not null").select("package_id", F.col("base").alias("src"), F.col("name").alias("dst"))
     start = types.select("package_id").distinct().withColumn("name", F.lit(root))
     return reachable(up, start).where("depth > 0").select(*KEYS)
+
+
+def dependency_closure(pending: DataFrame, definitions: DataFrame, builtins: DataFrame) -> DataFrame:
+    """(name, dep_package): what pending(name) names need, through definitions(name, dep_package, refs), built-ins aside."""
+    known = definitions.join(builtins.select("name"), "name", "left_anti")
+    edges = known.select(F.lit("d").alias("package_id"), F.col("name").alias("src"), F.explode("refs").alias("dst"))
+    found = reachable(edges, pending.select(F.lit("d").alias("package_id"), "name"))
+    return found.join(known.select("name", "dep_package"), "name").select("name", "dep_package").distinct()

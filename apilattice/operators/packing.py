@@ -94,3 +94,15 @@ def prompt(parts: DataFrame, budget: int) -> DataFrame:
     rows = rows.withColumn("_example", example)
     rows = rows.withColumn("_surface", F.left("surface", F.greatest(F.lit(0), F.col("_left") - F.length("_example") - 500).cast("int")))
     return rows.select("package_id", F.concat_ws("\n", "prefix", "output_tag", F.nullif(F.col("_example"), F.lit("")), "_surface").alias("prompt"))
+
+
+def render_plan(plan: DataFrame, contents: DataFrame, files: DataFrame) -> DataFrame:
+    """(ord, text): each planned file(rel_path, chars, truncated) with a header and footer, its content cut to
+    plan, then one line for what is left out."""
+    note = F.when(F.col("truncated"), "\n... (truncated)").otherwise("")
+    text = F.concat(F.lit("// === "), "rel_path", F.lit(" ===\n"), F.left("content", F.col("chars").cast("int")), note, F.lit("\n// === end ===\n"))
+    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rel_path"))
+    body = plan.join(contents, "rel_path").select(order.alias("ord"), text.alias("text"))
+    left = plan_totals(plan, files).where("omitted > 0")
+    tail = left.select((F.col("included") + 1).cast("int").alias("ord"), F.format_string("// %d files left out\n", "omitted").alias("text"))
+    return body.union(tail)

@@ -29,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apilattice.llm.shingles import slices, words
+from apilattice.llm.staging import small_batches
 
-PATH_DIM, WORD_DIM, FIGURES, HIDDEN = 96, 32, 8, 24
-DIM = 2 * PATH_DIM + WORD_DIM + FIGURES
+PATH_DIM, LEAF_DIM, WORD_DIM, FIGURES, HIDDEN = 224, 64, 32, 8, 24
+PATHS = PATH_DIM + LEAF_DIM
+DIM = PATHS + WORD_DIM + FIGURES
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style".split())
@@ -47,7 +49,7 @@ class _Paths:
 
     def __init__(self) -> None:
         self.of: dict[tuple, int] = {}
-        self.vectors = [np.zeros(2 * PATH_DIM, np.float32)]
+        self.vectors = [np.zeros(PATHS, np.float32)]
 
     def below(self, parent: int, tag: str, attributes: str) -> int:
         key = (parent, tag, attributes)
@@ -58,8 +60,8 @@ class _Paths:
             vector = self.vectors[parent].copy()
             vector[PATH_DIM:] = 0
             for name in names:
-                slot = crc32(name.encode()) % PATH_DIM
-                vector[slot] = vector[PATH_DIM + slot] = 1
+                code = crc32(name.encode())
+                vector[code % PATH_DIM] = vector[(code >> 16) % PATH_DIM] = vector[PATH_DIM + code % LEAF_DIM] = 1
             self.of[key] = len(self.vectors)
             self.vectors.append(vector)
         return self.of[key]
@@ -131,17 +133,17 @@ def features(pages: list[list[tuple[int, str, int]]], paths: _Paths) -> list[np.
     x = np.zeros((len(flat), DIM), np.float32)
     if not flat:
         return [x for _ in pages]
-    x[:, : 2 * PATH_DIM] = np.array(paths.vectors)[[b[0] for b in flat]]
+    x[:, :PATHS] = np.array(paths.vectors)[[b[0] for b in flat]]
     hashes, at = words(pa.array([b[1] for b in flat]))
     owner = np.repeat(np.arange(len(flat)), np.diff(at))
     count = np.bincount(owner * WORD_DIM + (hashes >> np.uint64(40)).astype(np.int64) % WORD_DIM, minlength=len(flat) * WORD_DIM)
     many = np.maximum(np.diff(at), 1).astype(np.float32)
-    x[:, 2 * PATH_DIM : 2 * PATH_DIM + WORD_DIM] = np.sqrt(count.reshape(len(flat), WORD_DIM) / many[:, None])
+    x[:, PATHS : PATHS + WORD_DIM] = np.sqrt(count.reshape(len(flat), WORD_DIM) / many[:, None])
     size = np.array([len(b[1]) for b in flat], np.float32)
     place = np.concatenate([np.arange(len(p), dtype=np.float32) / max(1, len(p) - 1) for p in pages])
     last = np.array([b[1][-1] in ".!?…" for b in flat], np.float32)
     own = [np.log1p(size) / 6, np.log1p(many) / 5, np.array([b[2] for b in flat], np.float32) / size, place, 1 - place, last, (many < 4).astype(np.float32), (many > 25).astype(np.float32)]
-    x[:, 2 * PATH_DIM + WORD_DIM :] = np.stack(own, axis=1)
+    x[:, PATHS + WORD_DIM :] = np.stack(own, axis=1)
     return np.split(x, np.cumsum([len(p) for p in pages])[:-1])
 
 
@@ -284,7 +286,7 @@ class _Writer:
         out, mark = [], "\x01"
         if self.chance(0.85):
             h = f"<h1>{mark}{self.sized()}</h1>"
-            out.append(f"<header>{h}</header>" if self.chance(0.15) else h)
+            out.append(f"{self.named('header', ('entry-header', 'post-header', 'article-header', 'title'))}{h}</header>" if self.chance(0.25) else h)
         for _ in range(int(self.rng.integers(1, 14))):
             body = self.sized()
             kind = self.rng.random()
@@ -300,8 +302,8 @@ class _Writer:
                 out.append(f"<table><tr><td>{mark}{self.text(1, 4)}</td><td>{mark}{self.text(1, 4)}</td></tr></table>")
             else:
                 out.append(self.part(self.pick(["aside", "div", "form", "nav"])))
-        if self.chance(0.25):
-            out.append(self.part(self.pick(["section", "aside", "div", "form", "footer"])))
+        if self.chance(0.3):
+            out.append(self.part(self.pick(["section", "section", "aside", "div", "form", "footer"])))
         return "".join(out)
 
     def page(self) -> str:
@@ -310,7 +312,7 @@ class _Writer:
         if self.chance(0.4):
             main = f"{self.pick(['<main>', '<div id=content>', '<div class=wrap>', '<div>'])}{main}{self.noise(0.3, ['section', 'aside', 'div'])}</div>"
         top = self.noise(0.8, ["nav", "header", "div", "form", "nav"])
-        end = self.noise(0.7, ["footer", "section", "aside", "div", "nav", "footer", "form"])
+        end = self.noise(0.75, ["footer", "section", "section", "aside", "div", "nav", "footer", "form"])
         close = "</body></html>" if self.chance(0.85) else ""
         return f"<!DOCTYPE html><html><head><title>{self.text(2, 12)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{top}{main}{end}{close}"
 
@@ -325,7 +327,7 @@ def generated(n: int, seed: int) -> Iterator[tuple[list[tuple[int, str, int]], l
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 1200, rounds: int = 3, seed: int = 7) -> Labeller:
+def trained(pages: int = 2400, rounds: int = 3, seed: int = 7) -> Labeller:
     """A labeller fitted with Adam on generated pages."""
     made = list(generated(pages, seed))
     xs = features([b for b, _, _ in made], made[0][2])
@@ -369,6 +371,7 @@ def main_texts(model: Labeller, pages: list[str]) -> list[str]:
 
 def extract(pages: DataFrame, model: Labeller | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages``."""
+    small_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trained() if model is None else model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from apilattice.llm.staging import small_batches, table
+
 SKIPPABLE = 0x184D2A5D
 FRAME = 0xFD2FB528
 ARCHIVE_BYTES = 8 << 20
@@ -144,10 +146,11 @@ def records(content: bytes) -> Iterator[dict]:
 
 def write(pages: DataFrame, revisit_from: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(archive, content): archives of a record for each row, about ARCHIVE_BYTES each."""
+    small_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("html"), F.sha1(F.encode(payload, "UTF-8")).alias("sha"), F.octet_length(payload).alias("bytes"))
     same = rows.where(F.col("bytes") >= revisit_from).groupBy("sha").agg(F.count("*").alias("many"), F.max("page_id").alias("first")).where("many > 1").select("sha", "first")
-    same = _kept(same)
+    same = table(same, "warc-payloads")
     if same.count() * 64 <= MOST_BROADCAST:
         same = F.broadcast(same)
     refers = F.when((F.col("bytes") >= revisit_from) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
@@ -176,12 +179,6 @@ def write(pages: DataFrame, revisit_from: int = 0, id_col: str = "page_id", url_
     return rows.mapInArrow(pack, "archive string, content binary")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    from apilattice.llm.staging import table
-
-    return table(df, "warc-payloads")
-
-
 FIELDS = "archive string, page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, error string"
 
 

@@ -183,9 +183,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, chunk: int =
     long_ = long_.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))))
     last = F.col("start") + chunk >= F.length("text")
     long_ = long_.select("uid", "doc_id", "start", last.alias("last"), F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    coded = long_.repartition(n, "uid", "start").mapInArrow(parts, "uid bigint, doc_id bigint, start int, text string, ends binary, sizes binary, ids binary")
-    joined = coded.repartition(n, "uid").sortWithinPartitions("uid", "start").mapInArrow(stitched, "doc_id bigint, ids binary")
+    coded = long_.repartition("uid", "start").mapInArrow(parts, "uid bigint, doc_id bigint, start int, text string, ends binary, sizes binary, ids binary")
+    joined = coded.repartition("uid").sortWithinPartitions("uid", "start").mapInArrow(stitched, "doc_id bigint, ids binary")
     return short.union(joined)
 
 

@@ -106,7 +106,6 @@ def _meet(cosine: float):
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     valid = F.col("label").isNotNull() & finite(F.col("v")) & (F.size("v") > 0) & F.coalesce(norm > 0, F.lit(False))
@@ -124,7 +123,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     at = at.select("bucket", "t", "s", "node", other.alias("o"))
     at = at.select("bucket", "t", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "node")
     met = at.join(full.select("node", "copies", "v", "cells"), "node").select("bucket", "t", "i", "j", "s", "node", "copies", "v", "cells")
-    met = met.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "t", "i", "j").sortWithinPartitions("bucket", "t", "i", "j")
+    met = met.repartition("bucket", "t", "i", "j").sortWithinPartitions("bucket", "t", "i", "j")
     found = table(met.mapInArrow(_meet(cosine), "node string, many bigint, root string"), "vector-links")
 
     counts = found.groupBy("node").agg(F.sum("many").alias("many"))

@@ -9,13 +9,13 @@ from apilattice.llm.staging import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """links(a, b) -> (node, label): the smallest node that each linked node reaches.
+    """links(a, b), a written table -> (node, label): the smallest node that each linked node reaches.
 
     Every round joins edges with labels (both shuffled by the join, so a hub's rows can be
     split over tasks), takes partial minima and halves the label chains.  No links give no rows.
     """
-    both = cut(links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).where("src <> dst").distinct())
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("label")))
+    both = links.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(links.select("b", "a")).where("src <> dst").distinct()
+    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("label"))
     while True:
         near = both.join(labels, both.src == labels.node).groupBy(F.col("dst")).agg(F.min("label").alias("low"))
         lower = labels.join(near, labels.node == near.dst, "left").select("node", F.col("label").alias("was"), F.least("label", "low").alias("to"))

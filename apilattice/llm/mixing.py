@@ -65,7 +65,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = rows.withColumn("text_hash", F.xxhash64("text")).drop("text")
     rows = rows.withColumn("src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null")))
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    rows = cut(rows.withColumn("key", -F.log(u) / F.col("quality")))
+    rows = cut(rows.withColumn("key", -F.log(u) / F.col("quality")).hint("rebalance"))
     targets = cut(_targets(rows, weights, share, cap))
     spread = F.least(F.col("ranges") - 1, F.floor(F.col("ranges") * (1 - F.exp(-F.col("key") * F.col("mean")))))
     salted = targets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

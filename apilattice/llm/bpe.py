@@ -35,7 +35,7 @@ from apilattice.llm.staging import small_batches
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK = 1 << 15
 OVERLAP = 1 << 9
-CACHE = 100_000
+CACHE = 50_000
 #: A match can depend on so many characters from its start beyond itself (the contractions).
 AHEAD = 4
 

@@ -60,6 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20)
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + most, "right")) - 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    pa.default_memory_pool().release_unused()  # an idle worker need not keep a task's buffers
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

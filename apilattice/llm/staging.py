@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch where rows hold texts, so that a task's batches stay small.
-BATCH_ROWS = 500
+BATCH_ROWS = 250
 
 _written: list[tuple[SparkSession, str]] = []
 

@@ -12,7 +12,7 @@ Documents are sets of five-word shingles; two link when 100 * |A & B| >= 80 * |A
    tokens of one sub-class, so rare tokens are indexed singly and frequent ones as pairs.
    The number of sub-classes follows the document's size level; a document is indexed on
    its level and the next, so linked documents (sizes within 0.8) meet on one of them.
-   Sets under five shingles link only when equal and are indexed as one whole combination.
+   Sets under four shingles link only when equal and are indexed as one whole combination.
 3. *Verify.*  Equal word sequences collapse to one node first.  In each index list the most
    typical node (fewest rare shingles), its hub, is compared with the others.  Then, as
    nothing but components is asked for, only pairs of different components are still open:
@@ -181,7 +181,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, repeated) -> tuple[np.n
     """
     n = len(tokens)
     rare = tokens[~frequent]
-    if n < 5:
+    if n < 4:
         with np.errstate(over="ignore"):
             return mix(np.array([(mix(tokens) * _PAIR).sum() + np.uint64(n)], np.uint64)), len(rare)
     need = n - (PERCENT * n + 99) // 100 + 1

@@ -93,3 +93,18 @@ def test_a_thousand_near_copies(spark):
             text[rnd.randrange(60)] = f"z{rnd.randrange(10**6)}"
         rows.append((k, " ".join(text)))
     assert run(spark, rows) == by_hand(rows)
+
+
+@pytest.mark.parametrize("rare", [8, 1])
+def test_four_shingles_against_five(spark, monkeypatch, rare):
+    """Eight words next to nine, and repetitive texts of four and five distinct shingles; with RARE = 1 all shared shingles are frequent."""
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    rows = []
+    for k in range(12):
+        w = [f"{x}{k}" for x in "abcdefgh"]
+        for text in (w, [*w, "end"], ["start", *w], [*w, *w[:4]]):
+            rows.append((len(rows), " ".join(text)))
+    four, five = "p q r s", "p q r s t"
+    rows += [(100, f"{four} {four} {four}"), (101, f"{four} {four} {four} u"), (102, f"u {four} {four} {four}"), (103, f"{five} {five} {five}"), (104, f"{five} {five}"), (105, "p q r s p q r")]
+    assert {len(shingles(t)) for _, t in rows} >= {3, 4, 5}
+    assert run(spark, rows) == by_hand(rows)

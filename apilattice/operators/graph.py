@@ -58,15 +58,26 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(package_id, src, dst): all pairs with a path, by joining paths with paths until nothing is new."""
-    paths = cut(edges.select("package_id", "src", "dst").distinct())
+    """(package_id, src, dst): all pairs with a path.
+
+    Components become single nodes, whose paths are joined with paths until nothing is new;
+    only then come the pairs of members, so a dense component costs no more than its pairs.
+    """
+    edges = cut(edges.select("package_id", "src", "dst").distinct())
+    ends = edges.select("package_id", F.col("src").alias("name")).union(edges.select("package_id", "dst"))
+    scc = cut(components(ends, edges))
+    at = lambda c: scc.select("package_id", F.col("name").alias(c), F.col("scc").alias(f"{c}_scc"))
+    linked = edges.join(at("src"), ["package_id", "src"]).join(at("dst"), ["package_id", "dst"])
+    paths = cut(linked.select("package_id", F.col("src_scc").alias("src"), F.col("dst_scc").alias("dst")).distinct())
     count = paths.count()
     while True:
         step = paths.withColumnRenamed("dst", "mid").join(paths.withColumnRenamed("src", "mid"), ["package_id", "mid"]).select("package_id", "src", "dst")
         paths = cut(paths.union(step).distinct())
         if (now := paths.count()) == count:
-            return paths
+            break
         count = now
+    pairs = paths.withColumnsRenamed({"src": "src_scc", "dst": "dst_scc"})
+    return pairs.join(at("src"), ["package_id", "src_scc"]).join(at("dst"), ["package_id", "dst_scc"]).select("package_id", "src", "dst")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from apilattice.functions import classify, text
 from apilattice.operators import coverage, detect, diagnostics, graph, packing, tables
-from apilattice.registry import register
+from apilattice.registry import ORACLES, register
 from apilattice.sources import index as api_index
 from apilattice.streaming import messages, objects, sessions
 
@@ -326,6 +326,49 @@ def in_degree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.in_degree_roots(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("name")
 
 
+# The five above keep the filter of their SQL, 0.04 % of the succession edges; these take every edge.
+
+_ALL_LINES = """
+line AS (SELECT l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS next_key FROM lineitem),
+edge AS (SELECT DISTINCT l_suppkey AS src, next_key AS dst FROM line WHERE next_key IS NOT NULL AND next_key <> l_suppkey)
+"""
+
+
+def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplier to next supplier of an order, of all lines."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
+    lines = t(spark, sf_dir, "lineitem").withColumn("dst", F.lead("l_suppkey").over(order))
+    return graph.cut(lines.where("dst is not null and dst <> l_suppkey").select(F.lit("tpch").alias("package_id"), F.col("l_suppkey").alias("src"), "dst").distinct())
+
+
+@register(f"""WITH RECURSIVE {_ALL_LINES}, hit(name) AS (SELECT src FROM edge WHERE src NOT IN (SELECT dst FROM edge) UNION SELECT s_suppkey FROM supplier WHERE s_nationkey = 3 UNION SELECT e.dst FROM hit JOIN edge e ON e.src = hit.name) SELECT name FROM hit""")
+def reachability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _all_edges(spark, sf_dir)
+    first = edges.select("package_id", F.col("src").alias("name")).join(edges.select("package_id", F.col("dst").alias("name")), ["package_id", "name"], "left_anti")
+    entries = _nodes(spark, sf_dir).where("is_entry_point").select("package_id", "name")
+    return graph.reachable(edges, first.union(entries)).select("name")
+
+
+@register(ORACLES["closure"].replace(_LINES, _ALL_LINES))
+def closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(_all_edges(spark, sf_dir)).select("src", "dst")
+
+
+@register(ORACLES["strong_components"].replace(_LINES, _ALL_LINES))
+def strong_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(_nodes(spark, sf_dir), _all_edges(spark, sf_dir)).select("name", "scc")
+
+
+@register(ORACLES["scc_roots"].replace(_LINES, _ALL_LINES))
+def scc_roots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.roots(_nodes(spark, sf_dir), _all_edges(spark, sf_dir)).select("name")
+
+
+@register(ORACLES["in_degree_roots"].replace(_LINES, _ALL_LINES))
+def in_degree_roots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.in_degree_roots(_nodes(spark, sf_dir), _all_edges(spark, sf_dir)).select("name")
+
+
 @register(r"""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+')) AS name FROM benchmark),
 tok AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+')) AS name FROM documents)
 SELECT tok.name, CAST(count(*) AS BIGINT) AS n_refs FROM tok JOIN names ON names.name = tok.name GROUP BY 1""")

@@ -74,7 +74,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"""WITH {_FILES} SELECT package_id, rel_path, CASE WHEN rel_path LIKE '%/pyproject.toml' THEN 10 ELSE 10 END AS priority FROM files WHERE rel_path NOT LIKE 'node_modules/%'""")
 def scannable_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.scannable(_files(spark, sf_dir)).select("package_id", "rel_path", text.file_priority(F.col("rel_path")).alias("priority"))
+    return detect.scannable(_files(spark, sf_dir), max_files=None).select("package_id", "rel_path", text.file_priority(F.col("rel_path")).alias("priority"))
 
 
 @register(f"""WITH {_FILES}, b AS (SELECT package_id, rel_path, string_split(rel_path, '/')[1] || '/' || string_split(rel_path, '/')[2] AS root, CASE WHEN rel_path LIKE '%.toml' THEN 'python' ELSE 'java' END AS language FROM files WHERE p_size > 45 AND NOT rel_path LIKE 'tests/%' AND NOT rel_path LIKE 'samples/%'),

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from apilattice import registry
 from apilattice.operators import coverage, detect, diagnostics, packing, tables
 
 OPS = "package_id string, client string, operation string"
@@ -119,3 +120,10 @@ def test_monorepo_and_manifests(spark):
     assert detect.workspace_only(m).count() == 2
     c = spark.createDataFrame([('{"references": [{"path": "a"}], "files": []}',), ('{"files": ["x"]}',)], "content string")
     assert detect.solution_only(c).count() == 1
+
+
+def test_scannable_files_of_a_large_brand(spark, tmp_path):
+    part = spark.range(10_007).selectExpr("id p_partkey", "'B' p_brand", "'ECONOMY' p_type", "'a b' p_name", "1 p_size")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    assert registry.load()["scannable_files"](spark, str(tmp_path)).count() == 10_007
+    assert detect.scannable(files(spark, ["a.py", "b.py", "c.py"]), max_files=2).count() == 2

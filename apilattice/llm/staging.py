@@ -15,10 +15,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one is set only where none is (tests)."""
+    """The folder of ``spark.checkpoint.dir``; one is set only where none is and all runs on this machine (tests)."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if known is None:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(known)
     elif sc.getCheckpointDir() is None:
@@ -27,7 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows for each Arrow batch to BATCH_ROWS; batches of long texts are large."""
+    """Lowers the session's rows for each Arrow batch to BATCH_ROWS; batches of long texts are large.
+
+    The setting stays, since Spark reads it when a lazy result runs.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
@@ -48,11 +53,18 @@ def table(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def n_written() -> int:
+    """How many tables are there to release; what is written later can be released alone."""
+    return len(_written)
+
+
 @atexit.register
-def release() -> None:
-    """Deletes the tables written so far; call it when their results are no longer needed."""
-    while _written:
-        spark, path = _written.pop()
+def release(since: int = 0, but: int = 0) -> None:
+    """Deletes the tables written after the first ``since``, without the last ``but``, when their results are no longer needed."""
+    keep = _written[len(_written) - but :]
+    gone = _written[since : len(_written) - but]
+    _written[since:] = keep
+    for spark, path in gone:
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)

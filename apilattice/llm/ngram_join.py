@@ -3,8 +3,9 @@
 Documents are sets of five-word shingles; two link when 100 * |A & B| >= 80 * |A | B|.
 
 1. *Token classes.*  One pass counts every shingle of every document.  Map tasks send
-   48-bit hashes as binary blocks by hash range, reducers sort them; shingles in more than
-   ``RARE`` documents are the frequent class, the others the rare one.
+   48-bit hashes as binary blocks by hash range, reducers sort one range after another; there
+   are so many ranges that one holds about ``RANGE_BYTES``, however large the input is.
+   Shingles in more than ``RARE`` documents are the frequent class, the others the rare one.
 2. *Extended prefixes.*  A document of n shingles can lose e = n - ceil(0.8 n) of them and
    still link.  In the global order (rare by hash, then frequent by sub-class and hash) its
    prefix grows until it holds e + 1 effective tokens: a rare token counts one, a sub-class
@@ -18,7 +19,8 @@ Documents are sets of five-word shingles; two link when 100 * |A & B| >= 80 * |A
    nothing but components is asked for, only pairs of different components are still open:
    the lists of one hub are bundled, a bundle is dealt out as pairs of blocks, and each task
    compares all its open pairs of fitting size and returns a spanning forest of the links.
-   Comparison intersects whole sets; no step emits the pairs of a group.
+   Blocks hold a number of nodes and of shingles.  Comparison intersects whole sets; no step
+   emits the pairs of a group.
 
 Two tables are broadcast, both of bounded size at any input.  Of the frequent shingles at
 most ``MOST_FREQUENT`` form the class: a hash range with more than its share of shingles over
@@ -50,10 +52,12 @@ PERCENT = 80
 RARE = 8
 MOST_BITMAP = 32 << 20
 MOST_FREQUENT = 3 << 20
-#: Documents to look up again are broadcast by id and hash up to so many bytes, else joined.
-MOST_BYTES = 32 << 20
-#: Nodes of a bundle are compared in pairs of blocks of so many.
-BLOCK = 256
+#: Hashes of a range that is counted at once, and the most ranges.
+RANGE_BYTES, MOST_RANGES = 32 << 20, 1 << 20
+#: Nodes to look up again are broadcast up to so many bytes, else joined.
+MOST_BYTES = 16 << 20
+#: Nodes of a bundle are compared in pairs of blocks of so many nodes and shingles.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 #: A step between size levels; over 1 / 0.8, so that linked sizes are at most one level apart.
 LEVEL = 1.26
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -102,13 +106,22 @@ def _bitmap(short: np.ndarray, most: int) -> bytes:
     return bits.tobytes()
 
 
-def _counted(rows: DataFrame, blocks: int) -> DataFrame:
+def _n_ranges(rows: DataFrame) -> int:
+    """Hash ranges: one for each shuffle partition, or as many as keep one to about RANGE_BYTES."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >> 60:  # not a scan of files
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, 2 * size // RANGE_BYTES))
+
+
+def _counted(rows: DataFrame, ranges: int) -> DataFrame:
     """(block, bitmap, frequent): for each hash range a bitmap of its repeated shingles, and the frequent ones."""
+    flush = max(1 << 20, min(1 << 23, 8 * ranges))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blobs(held: np.ndarray) -> pa.RecordBatch:
             held.sort()
-            part = (held * np.uint64(blocks)) >> np.uint64(48)
+            part = (held * np.uint64(ranges)) >> np.uint64(48)
             cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             made = [_packed(held[a:b]) for a, b in zip(cuts, np.r_[cuts[1:], len(held)])]
             return pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(made, pa.binary())], ["block", "blob"])
@@ -118,37 +131,45 @@ def _counted(rows: DataFrame, blocks: int) -> DataFrame:
             for tokens in shingle_rows(*words(batch.column(0))):
                 parts.append(_short(tokens))
                 size += len(tokens)
-            if size >= 1 << 20:
+            if size >= flush:
                 yield blobs(np.concatenate(parts))
                 parts, size = [], 0
         if size:
             yield blobs(np.concatenate(parts))
 
+    def counted(block: int, held: list[bytes]) -> pa.RecordBatch:
+        values = np.concatenate([_unpacked(b) for b in held])
+        held.clear()
+        values.sort()
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        many = np.diff(np.r_[first, len(values)])
+        often = np.flatnonzero(many > RARE)
+        if len(often) > share:
+            often = often[many[often] > np.partition(many[often], -share - 1)[-share - 1]] if share else often[:0]
+        made = [_bitmap(values[first[many > 1]], MOST_BITMAP // ranges), values[first[often]].tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([b], pa.binary()) for b in made)], ["block", "bitmap", "frequent"])
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        at, held = -1, []
         for batch in batches:
             for block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(block, []).append(blob)
-        for block in sorted(held):
-            values = np.concatenate([_unpacked(b) for b in held.pop(block)])
-            values.sort()
-            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            many = np.diff(np.r_[first, len(values)])
-            often = np.flatnonzero(many > RARE)
-            if len(often) > share:
-                often = often[many[often] > np.partition(many[often], -share - 1)[-share - 1]] if share else often[:0]
-            made = [_bitmap(values[first[many > 1]], MOST_BITMAP // blocks), values[first[often]].tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([b], pa.binary()) for b in made)], ["block", "bitmap", "frequent"])
-
-    share = MOST_FREQUENT // blocks
-    return rows.mapInArrow(spread, "block int, blob binary").repartition(blocks, "block").mapInArrow(gather, "block int, bitmap binary, frequent binary")
-
-
-def _bounded(counts: DataFrame, blocks: int) -> tuple[Repeated, np.ndarray]:
+                if block != at and held:
+                    yield counted(at, held)
+                at = block
+                held.append(blob)
+        if held:
+            yield counted(at, held)
+
+    share = MOST_FREQUENT // ranges
+    blobs = rows.mapInArrow(spread, "block int, blob binary").repartition(min(ranges, 1 << 15), "block").sortWithinPartitions("block")
+    return blobs.mapInArrow(gather, "block int, bitmap binary, frequent binary")
+
+
+def _bounded(counts: DataFrame, ranges: int) -> tuple[Repeated, np.ndarray]:
     """The bitmap of repeated shingles and the sorted frequent ones; both have a bounded size."""
     kept = counts.toArrow().sort_by("block")
     bitmaps = dict(zip(kept.column(0).to_pylist(), kept.column(1)))
-    segments = [bitmaps[k].as_buffer() if k in bitmaps else bytes(8) for k in range(blocks)]
+    segments = [bitmaps[k].as_buffer() if k in bitmaps else bytes(8) for k in range(ranges)]
     return Repeated(segments), np.frombuffer(b"".join(x.as_buffer() for x in kept.column(2)), np.uint64)
 
 
@@ -192,9 +213,8 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, repeated) -> tuple[np.n
     return np.concatenate([single, _pairs_of(tokens[frequent], need - len(rare), n)]), len(rare)
 
 
-def _signed(rows: DataFrame, repeated: Repeated, frequent: np.ndarray) -> DataFrame:
-    """A row for each document: id, text hash, node, size, rare shingles and index keys."""
-    shared = rows.sparkSession.sparkContext.broadcast((repeated, frequent))
+def _signed(rows: DataFrame, shared) -> DataFrame:
+    """A row for each document: id, text hash, node, size, rare shingles and index keys; shared: :func:`_bounded`, broadcast."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeated, few = shared.value
@@ -224,24 +244,26 @@ def _node(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, tokens): whole sets of the wanted(doc_id, th) documents, read from their texts again."""
-    near = F.broadcast(wanted) if wanted.count() * 32 <= MOST_BYTES else wanted
+def _sets(rows: DataFrame, ends: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, tokens): whole sets of the nodes in ends(id), read again from the text of one document of each."""
+    wanted = table(nodes.join(ends, "id", "left_semi").select("id", "node", "doc_id", "th"), "shingle-wanted")
+    near = F.broadcast(wanted) if wanted.count() * 64 <= MOST_BYTES else wanted
     match = rows["doc_id"].eqNullSafe(near["doc_id"]) & (rows["th"] == near["th"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
             hashes, at = words(batch.column(0))
-            nodes = [_node(hashes[a:b]) for a, b in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([t.tobytes() for t in shingle_rows(hashes, at)], pa.binary())], ["node", "tokens"])
+            same = pa.array([_node(hashes[a:b]) == node for a, b, node in zip(at[:-1], at[1:], batch.column(2).to_pylist())], pa.bool_())
+            sets = pa.array([t.tobytes() for t in shingle_rows(hashes, at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(1), sets], ["id", "tokens"]).filter(same)
 
-    found = rows.join(near, match, "left_semi").select("text").mapInArrow(collect, "node binary, tokens binary")
-    return found.groupBy("node").agg(F.max("tokens").alias("tokens"))
+    found = rows.join(near, match).select("text", "id", "node").mapInArrow(collect, "id bigint, tokens binary")
+    return found.groupBy("id").agg(F.max("tokens").alias("tokens"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs(a, b) those whose sets link, by whole intersections."""
-    left, right = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+    left, right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,13 +275,13 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(verify, "a binary, b binary")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint")
 
 
 def _apart(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a pair of blocks (bundle, i, j, s, node, n, label, ...): left rows, right rows, which pairs may link."""
+    """Of a pair of blocks (bundle, i, j, s, id, n, label, ...): left rows, right rows, which pairs may link."""
     s, n = rows.column(3).to_numpy(), rows.column(5).to_numpy()
-    _, label = np.unique(rows.column(6).to_numpy(zero_copy_only=False), return_inverse=True)
+    label = rows.column(6).to_numpy()
     i, j = rows.column(1)[0].as_py(), rows.column(2)[0].as_py()
     left, right = np.flatnonzero(s == i), np.flatnonzero(s == j)
     small, large = np.minimum(n[left][:, None], n[right]), np.maximum(n[left][:, None], n[right])
@@ -279,7 +301,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links in each pair of blocks; the last column holds the sets."""
+    """A spanning forest of the links in each pair of blocks, between labels; the last column holds the sets."""
     for rows in groups(batches, 3):
         left, right, may = _apart(rows)
         if not may.any():
@@ -302,7 +324,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if a:
             root = forest(rows.num_rows, np.array(a), np.array(b))
             moved = np.flatnonzero(root != np.arange(len(root)))
-            yield pa.RecordBatch.from_arrays([rows.column(4).take(pa.array(moved)), rows.column(4).take(pa.array(root[moved]))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([rows.column(6).take(pa.array(moved)), rows.column(6).take(pa.array(root[moved]))], ["a", "b"])
 
 
 def _fits(small: str, large: str):
@@ -319,44 +341,44 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     small_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    blocks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = _signed(rows, *_bounded(_counted(rows.select("text"), blocks), blocks))
-    known = table(signed.hint("rebalance"), "shingle-keys")
-
-    nodes = known.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("doc_id").alias("own"))
-    nodes = nodes.select("node", "own", "one.*")
-    posts = known.where("keys is not null").select("node", "n", "rare", F.explode("keys").alias("key")).distinct()
-    lists = posts.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("rare", "node", "n")).alias("hub")).where("many > 1")
-    posts = table(posts.join(lists, "key").select("key", "many", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shingle-index")
-
-    star = posts.where((F.col("node") != F.col("hub")) & _fits("n", "hub_n") & _fits("hub_n", "n"))
-    pairs = star.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    links = table(_linked(pairs, _sets(rows, _wanted(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes))), "shingle-links")
-    labels = components(links)
-
-    # A list of two has no other pair.  The longer lists of one hub make a bundle; its pairs of
-    # different components are still open, but for those with the hub.
-    long_ = posts.where("many > 2").groupBy(F.xxhash64("hub").alias("bundle"), "node").agg(F.max("n").alias("n"), F.max(F.col("node") == F.col("hub")).alias("is_hub"))
-    long_ = table(long_.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "shingle-bundles")
-    mixed = long_.groupBy("bundle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
-    blocked = long_.where("not is_hub").join(mixed.select("bundle", F.ceil(F.col("many") / BLOCK).alias("blocks")), "bundle")
-    blocked = blocked.withColumn("s", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    blocked = blocked.select("bundle", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "node", "n", "label")
+    ranges = _n_ranges(rows)
+    shared = docs.sparkSession.sparkContext.broadcast(_bounded(_counted(rows.select("text"), ranges), ranges))
+    known = table(_signed(rows, shared), "shingle-keys")
+    shared.destroy()
+
+    # Nodes get their numbers as they are written; equal word sequences are one.
+    nodes = known.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one"), F.min("doc_id").alias("own"), *(F.first(c).alias(c) for c in ("n", "rare", "keys")))
+    nodes = table(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "own", "one.*", "n", "rare", "keys"), "shingle-nodes")
+    posts = nodes.select("id", "n", "rare", F.explode("keys").alias("key"))
+    lists = posts.groupBy("key").agg(F.count("*").alias("many"), F.min(F.struct("rare", "id", "n")).alias("hub")).where("many > 1")
+    lists = table(lists.select("key", "many", F.col("hub.id").alias("hub"), F.col("hub.n").alias("hub_n")), "shingle-lists")
+    # A list of two has no other pair than that with the hub.
+    index = posts.join(lists, "key").where((F.col("id") != F.col("hub")) & ((F.col("many") > 2) | _fits("n", "hub_n") & _fits("hub_n", "n")))
+    index = table(index.select("id", "n", "hub", "hub_n", (F.col("many") > 2).alias("long")), "shingle-index")
+
+    star = index.where(_fits("n", "hub_n") & _fits("hub_n", "n"))
+    pairs = table(star.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "shingle-pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    links = table(_linked(pairs, _sets(rows, ends, nodes)), "shingle-links")
+    labels = components(links).withColumnRenamed("node", "id")
+
+    # The longer lists of one hub make a bundle; its pairs of different components are still open.
+    bundles = index.where("long").groupBy(F.col("hub").alias("bundle"), "id").agg(F.first("n").alias("n"))
+    bundles = table(bundles.join(labels, "id", "left").select("bundle", "id", "n", F.coalesce("label", "id").alias("label")), "shingle-bundles")
+    mixed = bundles.groupBy("bundle").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many"), F.sum("n").alias("size")).where("lo <> hi")
+    mixed = table(mixed.select("bundle", F.greatest(F.ceil(F.col("many") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "shingle-mixed")
+    blocked = bundles.join(mixed, "bundle").withColumn("s", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     by = ("bundle", "i", "j")
+    blocked = blocked.select("bundle", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), "s", "id", "n", "label")
     open_ = table(blocked.repartition(*by).sortWithinPartitions(*by).mapInArrow(_open, blocked.schema), "shingle-open")
-    ends = open_.select("node").distinct()
-    if not ends.isEmpty():
-        near = open_.join(_sets(rows, _wanted(ends, nodes)), "node").select(*by, "s", "node", "n", "label", "tokens")
-        more = table(near.repartition(*by).sortWithinPartitions(*by).mapInArrow(_met, "a binary, b binary"), "shingle-more")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
-
-    placed = nodes.select("node", "own").join(labels, "node", "left").select("node", "own", F.coalesce("label", "node").alias("label"))
-    best = placed.groupBy("label").agg(F.min("own").alias("component"))
+
+    placed = nodes.select("id", "node", "own").join(labels, "id", "left").select("node", "own", F.coalesce("label", "id").alias("label"))
+    if not open_.isEmpty():
+        near = open_.join(_sets(rows, open_.select("id").distinct(), nodes), "id").select(*by, "s", "id", "n", "label", "tokens")
+        more = components(table(near.repartition(*by).sortWithinPartitions(*by).mapInArrow(_met, "a bigint, b bigint"), "shingle-more"))
+        more = more.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        placed = placed.join(more, "label", "left").select("node", "own", F.coalesce("to", "label").alias("label"))
+    placed = table(placed, "shingle-placed")
+    best = table(placed.groupBy("label").agg(F.min("own").alias("component")), "shingle-components")
     final = placed.join(best, "label").select("node", "label", "component")
     return known.select("doc_id", "th", "node", "n").join(final, "node", "left").select("doc_id", "th", "n", "label", "component")
-
-
-def _wanted(ends: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(doc_id, th) of one document for each node of ``ends``."""
-    return nodes.join(ends, "node", "left_semi").select("doc_id", "th")

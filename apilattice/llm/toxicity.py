@@ -3,12 +3,15 @@
 Voters are lexicon entries (words) and patterns (word beginnings) that mark toxic text, mined
 on labelled training rows, and fixed patterns of style.  A generative label model, a latent
 class with one firing rate for each voter and class, estimates the voters' accuracies by
-expectation maximisation on their votes; it estimates their correlations among documents of
-one class and lets voters that fire together count less.  A linear classifier on vote counts
-is trained on the model's posterior labels and scores every document.
+expectation maximisation on their votes; in each step it also estimates the voters'
+correlations among documents of the toxic class, and voters that fire together share their
+worth.  A linear classifier on vote counts is trained on the model's posterior labels and
+scores every document.
 
 Labels are read only for training rows: crc32(id as text) mod 3 is not 1.  Of these at most
-``SAMPLE`` are used, the smallest hashes of the id (near copies count once in mining).
+``SAMPLE`` are used, the smallest hashes of the id, whose texts that come within
+``SAMPLE_BYTES`` in that order (near copies count once in mining).  One task fits the model;
+the driver sees only its parameters.
 Scores depend on the text alone: not on id, language, source or labels.
 
 Null and empty texts have no votes and get the classifier's base score.  Null ids are not
@@ -18,6 +21,7 @@ every score is the base score.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from apilattice.llm.shingles import LOWER, mix, shingle_rows, slices, spans, text_bytes, words
 from apilattice.llm.staging import small_batches
 
-SAMPLE = 8000
+SAMPLE, SAMPLE_BYTES = 8000, 64 << 20
 THRESHOLD = 0.7
 #: A voter has at least so many toxic documents, or one in a hundred of the sample's if that is
 #: more, and this share of toxic ones among its own.
@@ -89,8 +93,11 @@ def style(column: pa.Array) -> np.ndarray:
 
 @dataclass
 class Model:
+    """Voters, what the label model found of them, and the classifier."""
+
     voters: list[np.ndarray]
     accuracies: np.ndarray
+    correlations: np.ndarray
     weight: np.ndarray
     bias: float
 
@@ -148,31 +155,35 @@ def _mined(column: pa.Array, toxic: np.ndarray) -> list[np.ndarray]:
 
 
 def label_model(fires: np.ndarray, mined: int, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(posterior, firing rates by class, worth of each voter) from votes alone.
+    """(posterior, accuracy of each voter, correlations of the voters) from votes alone.
 
     A voter that does not fire abstains; that none of the ``mined`` first ones fires is
-    evidence of its own.  Voters that fire together within the positive class share one
-    voter's worth.  The start assumes only that mined voters fire for the positive class more
-    often than not; of the fixed patterns it assumes nothing.
+    evidence of its own.  An accuracy is the share of the positive class among the documents
+    for which a voter fires.  Correlations are those within the positive class; once the rates
+    have settled, voters that fire together share one voter's worth in the posterior.  The
+    start assumes only that mined voters fire for the positive class more often than not; of
+    the fixed patterns it assumes nothing.
     """
     m = fires.shape[1]
     fires = np.c_[fires, ~fires[:, :mined].any(axis=1)].astype(float)
-    worth = np.ones(m + 1)
+    worth, together = np.ones(m + 1), np.zeros((m + 1, m + 1))
     posterior = np.where(fires[:, m] > 0, 0.02, 0.9)
     rates = np.zeros((2, m + 1))
     for step in range(rounds):
         total = np.array([(1 - posterior).sum(), posterior.sum()])
         rates[0] = ((1 - posterior) @ fires + 0.05) / (total[0] + 1)
         rates[1] = (posterior @ fires + 0.5) / (total[1] + 1)
-        if step in (5, 15):
+        if step >= 5:
             inside = (fires - rates[1]) * np.sqrt(posterior)[:, None]
             spread = np.sqrt((inside * inside).sum(0)) + 1e-9
             together = (inside.T @ inside) / spread[:, None] / spread
             np.fill_diagonal(together, 0)
-            worth = 1 / (1 + (np.where(together > 0.5, together, 0) ** 2).sum(1))
+            worth = (worth + 1 / (1 + (np.where(together > 0.5, together, 0) ** 2).sum(1))) / 2
         odds = np.log(total[1] + 1) - np.log(total[0] + 1)
         posterior = _sigmoid(odds + fires @ (worth * np.log(rates[1] / rates[0])))
-    return posterior, rates[:, :m], worth[:m]
+    share = posterior.mean()
+    accuracies = rates[1] * share / (rates[1] * share + rates[0] * (1 - share))
+    return posterior, accuracies[:m], together[:m, :m]
 
 
 def _linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.02, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -198,15 +209,13 @@ def fit(column: pa.Array, toxic: np.ndarray) -> Model:
             marks = {(j, int(mix(shingles ^ _KIND[j]).min())) for j in range(4)} if len(shingles) else set()
             fresh[k] = not marks & seen
             seen |= marks
-    model = Model(_mined(column.filter(pa.array(fresh)), toxic[fresh]), np.zeros(0), np.zeros(0), BASE)
+    model = Model(_mined(column.filter(pa.array(fresh)), toxic[fresh]), np.zeros(0), np.zeros((0, 0)), np.zeros(0), BASE)
     mined = sum(map(len, model.voters))
     if not mined:
         model.weight = np.zeros(_inputs(np.zeros((1, 3))).shape[1])
         return model
     votes = np.concatenate([model.votes(part) for _, part in _parts(column)])
-    posterior, rates, _ = label_model(votes > 0, mined)
-    share = posterior.mean()
-    model.accuracies = rates[1] * share / (rates[1] * share + rates[0] * (1 - share))
+    posterior, model.accuracies, model.correlations = label_model(votes > 0, mined)
     model.weight, model.bias = _linear(_inputs(votes), posterior)
     return model
 
@@ -215,13 +224,27 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from the labelled rows that are not held out, at most ``sample`` of them."""
+def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from the labelled rows that are not held out, at most ``sample`` of them and ``sample_bytes`` of text."""
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("l_toxic")).where(F.col("l_id").isNotNull() & F.col("l_toxic").isNotNull() & ~held_out(F.col("l_id")))
     known = known.groupBy("l_id").agg(F.max("l_toxic").alias("l_toxic")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("d_text")).join(F.broadcast(known), F.col("d_id") == F.col("l_id"))
-    rows = rows.orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("d_text")).limit(sample).select("d_text", "l_toxic").toArrow()
-    return fit(rows.column(0).combine_chunks(), rows.column(1).to_numpy() == 1)
+    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("d_text")).where(F.coalesce(F.octet_length("d_text"), F.lit(0)) <= sample_bytes)
+    rows = rows.join(F.broadcast(known), F.col("d_id") == F.col("l_id"))
+    rows = rows.orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("d_text")).limit(sample).select("d_text", "l_toxic")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic, room = [pa.array([], pa.string())], [np.zeros(0, bool)], sample_bytes
+        for batch in batches:
+            size = np.diff(text_bytes(batch.column(0))[1])
+            keep = np.cumsum(size) <= room
+            room -= int(size[keep].sum())
+            texts.append(batch.column(0).filter(pa.array(keep)))
+            toxic.append(batch.column(1).to_numpy()[keep] == 1)
+        model = fit(pa.concat_arrays(texts), np.concatenate(toxic))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = rows.coalesce(1).mapInArrow(fitted, "model binary").first()
+    return pickle.loads(found[0]) if found else fit(pa.array([], pa.string()), np.zeros(0, bool))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

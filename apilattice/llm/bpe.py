@@ -140,8 +140,11 @@ class Coder:
             upto += 1
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the token ids of every row as little-endian unsigned 32-bit integers."""
+def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, chunk: int = CHUNK, overlap: int = OVERLAP, id_col: str = "doc_id", text_col: str = "text", raw: bool = False) -> DataFrame:
+    """(doc_id, ids): the token ids of every row as little-endian unsigned 32-bit integers.
+
+    raw: also the bytes that the ids decode to, joined in the same tasks.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks() if ranks is None else ranks)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -178,32 +181,35 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, chunk: int =
         if held:
             yield made()
 
-    short = rows.where(F.length("text") <= chunk).mapInArrow(whole, "doc_id bigint, ids binary")
+    schema = "doc_id bigint, ids binary" + ", raw binary" * raw
+    also = lambda code: (lambda batches: _joined(code(batches), shared.value)) if raw else code
+    short = rows.where(F.length("text") <= chunk).mapInArrow(also(whole), schema)
     long_ = rows.where(F.length("text") > chunk).withColumn("uid", F.monotonically_increasing_id())
     long_ = long_.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))))
     last = F.col("start") + chunk >= F.length("text")
     long_ = long_.select("uid", "doc_id", "start", last.alias("last"), F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("text"))
     coded = long_.repartition("uid", "start").mapInArrow(parts, "uid bigint, doc_id bigint, start int, text string, ends binary, sizes binary, ids binary")
-    joined = coded.repartition("uid").sortWithinPartitions("uid", "start").mapInArrow(stitched, "doc_id bigint, ids binary")
+    joined = coded.repartition("uid").sortWithinPartitions("uid", "start").mapInArrow(also(stitched), schema)
     return short.union(joined)
 
 
+def _joined(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, ids) with the raw bytes of the ids."""
+    token = {i: b for b, i in ranks.items()}.__getitem__
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            part = batch.slice(lo, 512)
+            raw = [b"".join(map(token, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in part.column(1)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], ["doc_id", "ids", "raw"])
+
+
 def decode(coded: DataFrame, ranks: dict[bytes, int] | None = None) -> DataFrame:
     """``coded`` (doc_id, ids) with the decoded raw bytes."""
     shared = coded.sparkSession.sparkContext.broadcast(load_ranks() if ranks is None else ranks)
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: b for b, i in shared.value.items()}.__getitem__
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                raw = [b"".join(map(token, np.frombuffer(x.as_buffer(), "<u4").tolist())) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], ["doc_id", "ids", "raw"])
-
-    return coded.select("doc_id", "ids").mapInArrow(join, "doc_id bigint, ids binary, raw binary")
+    return coded.select("doc_id", "ids").mapInArrow(lambda batches: _joined(batches, shared.value), "doc_id bigint, ids binary, raw binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of ``docs``."""
-    done = decode(encode(docs))
+    done = encode(docs, raw=True)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("raw", 256).alias("decoded_sha256"))

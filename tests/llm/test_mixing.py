@@ -1,6 +1,8 @@
 from collections import defaultdict
 
 import pytest
+from brute import taken as taken_by_hand
+from brute import targets
 from pyspark.sql import functions as F
 
 from apilattice.llm import mixing
@@ -8,23 +10,6 @@ from apilattice.llm import mixing
 SCHEMA = "doc_id bigint, text string, source string"
 
 
-def targets(sizes, weights=(1, 2, 3), cap=3):
-    """Shares again and again by weight."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
-    left, open_, out = float(sum(sizes.values())), set(sizes), {}
-    while open_:
-        level = left / sum(w[s] for s in open_)
-        full = {s for s in open_ if w[s] * level > cap * sizes[s]}
-        if not full:
-            return out | {s: w[s] * level for s in open_}
-        for s in full:
-            out[s] = float(cap * sizes[s])
-            left -= out[s]
-        open_ -= full
-    return out
-
-
 @pytest.mark.parametrize("rows", [
     [(k, "w " * (k % 37), f"s{k % 5}") for k in range(400)],
     [(k, "w " * 10, "hot" if k else "tiny") for k in range(200)] + [(900, "a b c", None)],
@@ -52,6 +37,15 @@ def test_targets_and_totals(spark, rows):
         assert len([r for r in found if r.size]) - len(whole) <= 1
 
 
+def test_equals_brute_force(spark):
+    rows = [(k, f"{'word' if k % 3 else 'x'} " * (k % 41), None if k % 11 == 0 else f"s{k % 5}") for k in range(700)]
+    rows += [(5000 + k, f"hot {k} " * 9, "s1") for k in range(300)] + [(None, "no id here", "s2"), (9000, None, "s2"), (9001, "", "only")]
+    got = mixing.mixed(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "text_hash", "taken").collect()
+    from brute import xx
+
+    assert sorted(map(tuple, got), key=str) == sorted(((i, xx(t), n) for i, t, n in taken_by_hand(rows)), key=str)
+
+
 def test_reruns_ties_and_clashes(spark):
     rows = [(k % 3, "w " * 20, "a") for k in range(50)] + [(100 + k, "w " * 20, "b") for k in range(50)]
     df = spark.createDataFrame(rows, SCHEMA).withColumns({"size": F.lit(1), "key": F.lit(2), "range": F.lit(3), "src": F.lit(4)})

@@ -58,8 +58,7 @@ def op9_embedding_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = table(warc.write(read(spark, sf_dir, "pages")), "warc", compression="uncompressed")
-    found = warc.read(archives, payloads=False).where("error is null")
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.sound(warc.read(archives, payloads=False)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query

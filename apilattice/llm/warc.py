@@ -14,6 +14,7 @@ Null html is an empty payload, null urls are ``about:blank``.  Rows that repeat
 id are responses too.  Null ids are written without a number; if a group has no other id its
 rows are responses.  An empty table gives no archives.  A record that fails a check comes
 back with its ``error``; after a broken frame the rest of its archive is lost and said so.
+:func:`sound` gives the rows on only if none has an error.
 """
 
 from __future__ import annotations
@@ -203,3 +204,9 @@ def read(archives: DataFrame, payloads: bool = True) -> DataFrame:
                 yield made()
 
     return archives.select("archive", "content").mapInArrow(unpack, FIELDS + ", payload binary" * payloads)
+
+
+def sound(found: DataFrame) -> DataFrame:
+    """The rows of :func:`read` without their error column; a row with an error stops the query, naming archive and error."""
+    message = F.concat_ws(": ", F.lit("a broken record"), "archive", "error")
+    return found.where(F.when(F.col("error").isNull(), F.lit(True)).otherwise(F.raise_error(message))).drop("error")

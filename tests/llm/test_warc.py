@@ -53,6 +53,31 @@ def test_broken_frames():
     assert [bool(r["error"]) for r in warc.records(b"not an archive")] == [True]
 
 
+def test_a_damaged_archive_stops_the_query(spark):
+    good = zstd.ZstdCompressor().compress(warc.record(1, "u", b"hello", None))
+    bad = zstd.ZstdCompressor().compress(warc.record(2, "u", b"hello", None).replace(b"hello", b"hallo"))
+    made = lambda *frames: spark.createDataFrame([("one", bytearray(b"".join(frames)))], "archive string, content binary")
+    assert [r.page_id for r in warc.sound(warc.read(made(good))).select("page_id").collect()] == [1]
+    for frames in ((good, bad), (good, good[:-4])):
+        with pytest.raises(Exception, match="a broken record: one: "):
+            warc.sound(warc.read(made(*frames), payloads=False)).select("page_id").collect()
+
+
+def test_query_on_whole_pages(spark):
+    import base64
+    import hashlib
+
+    from apilattice.llm import queries
+
+    where = "/root/testdata/sf0.01"
+    pages = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{where}/pages.parquet").collect()]
+    last = {}
+    for page, html in pages:
+        last[html] = max(page, last.get(html, page))
+    want = [(page, len(html), base64.b32encode(hashlib.sha1(html).digest()).decode(), "response" if last[html] == page else "revisit", None if last[html] == page else last[html]) for page, html in pages]
+    assert sorted(map(tuple, queries.QUERIES["op3_warc_zstd"](spark, where).collect())) == sorted(want)
+
+
 def test_extra_columns(spark):
     df = spark.createDataFrame([(1, "u", "x", "s", 3)], SCHEMA + ", sha string, bytes bigint").withColumn("first", F.lit(1))
     assert warc.read(warc.write(df)).count() == 1

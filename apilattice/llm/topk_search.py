@@ -3,7 +3,8 @@
 Vectors become integers floor(scale * x).  A pivot table holds every row's distances to
 ``PIVOTS`` pivots.  For a query q and a row v the largest |d(q, p) - d(v, p)| over the pivots
 is a lower bound of d(q, v), hence (|q|^2 + |v|^2 - bound^2) / 2 an upper bound of the inner
-product.  A task takes its rows in the order of that bound and stops for a query when the next
+product.  The first ``FIRST`` pivots are tried on all rows, the others on the rows that these
+leave.  A task takes its rows in the order of that bound and stops for a query when the next
 bound is below its k-th score so far; partial answers of all tasks are merged by score.
 
 Queries are sent to the tasks in waves of at most ``WAVE_BYTES``; each wave reads the table
@@ -14,7 +15,9 @@ those before; they steer only the order of work, not the answers.
 Vectors that are null, or hold a null or non-finite component, and rows without an id take no
 part; vectors of different lengths are not compared.  Ties go to the smaller id; repeated rows
 are separate candidates; a query's own id is left out.  Scores are exact in 64 bits (products
-past 2**53 are summed as Python integers and held to the range).  No query gives no rows.
+past 2**53 are summed as Python integers and held to the range).  Query rows that repeat an id
+are queries of their own: each gets its k rows, whether its vector repeats too or not.  No
+query gives no rows.
 """
 
 from __future__ import annotations
@@ -31,11 +34,11 @@ from apilattice.llm.staging import table
 
 K = 5
 SCALE = 256
-PIVOTS = 32
+PIVOTS, FIRST = 32, 8
 SAMPLE = 512
 WAVE_BYTES = 16 << 20
 STEP = 64
-SCHEMA = "query_id bigint, vec_id bigint, score bigint"
+SCHEMA = "query bigint, query_id bigint, vec_id bigint, score bigint"
 
 
 def finite(vector: Column) -> Column:
@@ -112,29 +115,35 @@ def _eliminate(best: _Best, ids: np.ndarray, x: np.ndarray, far: np.ndarray, q_i
         hi = min(lo + STEP, len(q))
         low = np.zeros((hi - lo, len(x)))
         gap = np.empty_like(low)
-        for p in range(q_far.shape[1]):
+        for p in range(min(FIRST, q_far.shape[1])):
             np.subtract(q_far[lo:hi, p, None], far[None, :, p], out=gap)
             np.maximum(low, np.abs(gap, out=gap), out=low)
         size = q_norms[lo:hi, None] + norms[None]
         bound = (size - low * low) / 2 + 1 + size * 1e-9
         for k in range(lo, hi):
-            row = bound[k - lo]
-            open_ = np.flatnonzero((row >= best.least[k]) & (ids != q_ids[k]))
-            order = open_[np.argsort(-row[open_], kind="stable")]
+            open_ = np.flatnonzero((bound[k - lo] >= best.least[k]) & (ids != q_ids[k]))
+            row = bound[k - lo][open_]
+            if len(open_) and q_far.shape[1] > FIRST:
+                low_k = np.abs(far[open_, FIRST:] - q_far[k, FIRST:]).max(axis=1)
+                row = np.minimum(row, (size[k - lo][open_] - low_k * low_k) / 2 + 1 + size[k - lo][open_] * 1e-9)
+                left = row >= best.least[k]
+                open_, row = open_[left], row[left]
+            order = np.argsort(-row, kind="stable")
             for at in range(0, len(order), STEP):
                 some = order[at : at + STEP]
                 if row[some[0]] < best.least[k]:
                     break
-                scores = x[some] @ q[k]
+                scores = x[open_[some]] @ q[k]
                 good = scores >= best.least[k]
-                best.add(k, scores[good].astype(np.int64).tolist(), ids[some[good]].tolist())
+                best.add(k, scores[good].astype(np.int64).tolist(), ids[open_[some[good]]].tolist())
 
 
-def _wave(index: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> DataFrame:
+def _wave(index: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], k: int) -> DataFrame:
+    """The best rows of each task for queries of each vector length: (numbers, ids, vectors, pivot distances)."""
     shared = index.sparkSession.sparkContext.broadcast(queries)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {size: _Best(len(ids), k) for size, (ids, _, _) in shared.value.items()}
+        best = {size: _Best(len(ids), k) for size, (_, ids, _, _) in shared.value.items()}
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
@@ -142,13 +151,13 @@ def _wave(index: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray, np.
                 for at, x in matrices(part.column(1)):
                     if x.shape[1] in best:
                         own = far.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)
-                        _eliminate(best[x.shape[1]], ids[at], x, own, *shared.value[x.shape[1]])
+                        _eliminate(best[x.shape[1]], ids[at], x, own, *shared.value[x.shape[1]][1:])
         for size, b in best.items():
-            ids = shared.value[size][0]
-            flat = [(int(q), i, s) for q, (scores, found) in zip(ids, b.found) for s, i in zip(scores, found)]
+            numbers, ids, _, _ = shared.value[size]
+            flat = [(int(n), int(q), i, s) for n, q, (scores, found) in zip(numbers, ids, b.found) for s, i in zip(scores, found)]
             for lo in range(0, len(flat), 1 << 16):
                 cols = list(zip(*flat[lo : lo + (1 << 16)]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["query", "query_id", "vec_id", "score"])
 
     return index.mapInArrow(search, SCHEMA)
 
@@ -169,13 +178,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
         nonlocal held, size
         wave = {}
         for n, found in held.items():
-            q = np.array([v for _, v in found], float).reshape(len(found), n)
-            wave[n] = np.array([i for i, _ in found], np.int64), q, _distances(q, pivots.get(n))
+            q = np.array([v for _, _, v in found], float).reshape(len(found), n)
+            wave[n] = *(np.array([x[c] for x in found], np.int64) for c in (0, 1)), q, _distances(q, pivots.get(n))
         answers.append(table(_wave(index, wave, k), "pivot-answers"))
         held, size = defaultdict(list), 0
 
-    for vec_id, v in rows.where("asks").select("vec_id", "ints").toLocalIterator():
-        held[len(v)].append((vec_id, v))
+    for number, (vec_id, v) in enumerate(rows.where("asks").select("vec_id", "ints").toLocalIterator()):
+        held[len(v)].append((number, vec_id, v))
         size += 40 * len(v) + 100
         if size >= WAVE_BYTES:
             flush()
@@ -183,5 +192,5 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     found = answers[0]
     for more in answers[1:]:
         found = found.unionByName(more)
-    by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    by = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -42,6 +42,23 @@ def test_edges(spark):
     assert run(spark, [(1, [1.0])]) == []
 
 
+def test_repeated_query_rows(spark):
+    rnd = random.Random(8)
+    rows = [(k, [float(rnd.randint(-3, 3)) for _ in range(6)]) for k in range(40)]
+    rows += [rows[0], rows[3], (6, [1.0, 0.0, 2.0, 0.0, 0.0, 1.0]), rows[7], rows[7]]
+    assert run(spark, rows) == by_hand(rows)
+    found = [r for r in run(spark, rows) if r[0] == 0]
+    assert sorted(r[1] for r in found) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+
+
+@pytest.mark.parametrize("first", [0, 3, 32])
+def test_any_number_of_first_pivots(spark, first, monkeypatch):
+    monkeypatch.setattr(T, "FIRST", first)
+    rnd = random.Random(first)
+    rows = [(k, [float(rnd.randint(-9, 9)) for _ in range(4)]) for k in range(120)]
+    assert run(spark, rows) == by_hand(rows)
+
+
 def test_large_components(spark):
     rows = [(0, [1e12, 3.0]), (1, [1e12, 5.0]), (2, [-1e12, 5.0])]
     assert [(r[2], r[1]) for r in run(spark, rows)] == [(1, 1), (2, 2)]

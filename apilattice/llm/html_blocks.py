@@ -6,18 +6,23 @@ class, id and role, of all open elements), its hashed words, and a few figures (
 share, place).  A bidirectional LSTM in numpy reads the whole sequence, so that every block is
 labelled with the document around it; blocks labelled main are joined in page order.
 
-The labeller is trained here, on pages that this module generates: articles in various
-skeletons among menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments, in words drawn anew for each page.  Training is seeded, so reruns agree.
+The labeller is trained here, on pages that this module generates: articles of paragraphs,
+headings, lists, tables, definitions, quotations, code and figures, in semantic tags, in
+nameless boxes, in layout tables or bare in the body, among menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments, in words drawn anew for each page.  Training is
+seeded, so reruns agree.
 
 Character references are decoded, white space inside a block becomes one space.  Null and
 empty html give an empty text, broken markup is read as far as it goes, nothing is cut.
-Repeated rows stay; other columns are ignored.
+Repeated rows stay; other columns are ignored.  Markup is read in linear time however deep it
+nests, and a page of more than ``MOST_BLOCKS`` blocks is labelled in pieces that hand the
+LSTM's state on, with the same result: beyond its text a page takes bounded memory.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,7 +41,9 @@ PATHS = PATH_DIM + LEAF_DIM
 DIM = PATHS + WORD_DIM + FIGURES
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style".split())
+RAW = frozenset("script style noscript template iframe svg".split())
+#: Blocks whose vectors are held at once.
+MOST_BLOCKS = 20_000
 #: An opening tag ends open elements of the same list, up to the nearest of the second.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+(?=>|\Z)|[^>]*+))(?:>|\Z)""", re.S)
@@ -45,32 +52,54 @@ PART = re.compile(r"[a-z]+")
 
 
 class _Paths:
-    """Nodes of the tree of tag paths with their vectors; one for each batch."""
+    """Vectors of tag paths by number; paths of equal vectors share one.  One for each batch."""
 
     def __init__(self) -> None:
         self.of: dict[tuple, int] = {}
         self.vectors = [np.zeros(PATHS, np.float32)]
+        self.numbers = {self.vectors[0].tobytes(): 0}
 
     def below(self, parent: int, tag: str, attributes: str) -> int:
-        key = (parent, tag, attributes)
+        names = (f"<{tag}", *(w for v in NAMED.findall(attributes) for w in PART.findall(v.lower()))) if attributes else (f"<{tag}",)
+        key = (parent, names)
         if key not in self.of:
-            names = [f"<{tag}"]
-            if attributes:
-                names += [w for v in NAMED.findall(attributes) for w in PART.findall(v.lower())]
             vector = self.vectors[parent].copy()
             vector[PATH_DIM:] = 0
             for name in names:
                 code = crc32(name.encode())
                 vector[code % PATH_DIM] = vector[(code >> 16) % PATH_DIM] = vector[PATH_DIM + code % LEAF_DIM] = 1
-            self.of[key] = len(self.vectors)
-            self.vectors.append(vector)
+            self.of[key] = self.numbers.setdefault(vector.tobytes(), len(self.vectors))
+            if self.of[key] == len(self.vectors):
+                self.vectors.append(vector)
         return self.of[key]
 
 
+class _Open:
+    """The open elements; finding the nearest of a name and closing up to it take no longer than what closes."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def top(self) -> tuple[str, int]:
+        return self.stack[-1] if self.stack else ("", 0)
+
+    def push(self, tag: str, path: int) -> None:
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, path))
+
+    def nearest(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def close(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.at[self.stack.pop()[0]].pop()
+
+
 def blocks(page: str, paths: _Paths) -> list[tuple[int, str, int]]:
     """(path node, text, characters in links) of each block with text."""
     out: list[tuple[int, str, int]] = []
-    stack: list[tuple[str, int]] = []
+    open_ = _Open()
     held: list[str] = []
     path, linked, links, at = 0, 0, 0, 0
 
@@ -79,7 +108,7 @@ def blocks(page: str, paths: _Paths) -> list[tuple[int, str, int]]:
         text = " ".join(html.unescape("".join(held)).split()) if held else ""
         if text:
             out.append((path, text, min(linked, len(text))))
-        held, linked, path = [], 0, stack[-1][1] if stack else 0
+        held, linked, path = [], 0, open_.top()[1]
 
     while at < len(page):
         m = TAG.search(page, at)
@@ -103,32 +132,26 @@ def blocks(page: str, paths: _Paths) -> list[tuple[int, str, int]]:
         flush()
         links = 0
         if closing:
-            if any(name == tag for name, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if (place := open_.nearest((tag,))) >= 0:
+                open_.close(place)
         elif tag in RAW:
             close = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else len(page)
         elif tag not in VOID:
-            if stack and stack[-1][0] == "p":
-                stack.pop()
+            if open_.top()[0] == "p":
+                open_.close(len(open_.stack) - 1)
             if tag in ENDS:
                 same, stop = ENDS[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in stop:
-                        break
-                    if stack[k][0] in same:
-                        del stack[k:]
-                        break
-            if not m.group(3).rstrip().endswith("/") or tag not in ("path", "circle", "rect", "use"):
-                stack.append((tag, paths.below(stack[-1][1] if stack else 0, tag, m.group(3))))
-        path = stack[-1][1] if stack else 0
+                if (place := open_.nearest(same)) > open_.nearest(stop):
+                    open_.close(place)
+            open_.push(tag, paths.below(open_.top()[1], tag, m.group(3)))
+        path = open_.top()[1]
     flush()
     return out
 
 
-def features(pages: list[list[tuple[int, str, int]]], paths: _Paths) -> list[np.ndarray]:
-    """A matrix (blocks, DIM) for each page."""
+def features(pages: list[list[tuple[int, str, int]]], paths: _Paths, places: np.ndarray | None = None) -> list[np.ndarray]:
+    """A matrix (blocks, DIM) for each page; places: where the blocks stand in their page, if not the whole page is given."""
     flat = [b for page in pages for b in page]
     x = np.zeros((len(flat), DIM), np.float32)
     if not flat:
@@ -140,7 +163,7 @@ def features(pages: list[list[tuple[int, str, int]]], paths: _Paths) -> list[np.
     many = np.maximum(np.diff(at), 1).astype(np.float32)
     x[:, PATHS : PATHS + WORD_DIM] = np.sqrt(count.reshape(len(flat), WORD_DIM) / many[:, None])
     size = np.array([len(b[1]) for b in flat], np.float32)
-    place = np.concatenate([np.arange(len(p), dtype=np.float32) / max(1, len(p) - 1) for p in pages])
+    place = np.concatenate([np.arange(len(p), dtype=np.float32) / max(1, len(p) - 1) for p in pages]) if places is None else places.astype(np.float32)
     last = np.array([b[1][-1] in ".!?…" for b in flat], np.float32)
     own = [np.log1p(size) / 6, np.log1p(many) / 5, np.array([b[2] for b in flat], np.float32) / size, place, 1 - place, last, (many < 4).astype(np.float32), (many > 25).astype(np.float32)]
     x[:, PATHS + WORD_DIM :] = np.stack(own, axis=1)
@@ -164,10 +187,11 @@ class Labeller:
         self.w["o"] = rng.normal(0, 0.2, 2 * HIDDEN).astype(np.float32)
         self.w["ob"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple | None = None):
+        """States of all steps, what backward steps need, and the state at the end."""
         steps, n, _ = x.shape
         gates = x @ self.w[f"x{d}"] + self.w[f"c{d}"]
-        h = c = np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32),) * 2
         out, tape = np.zeros((steps, n, HIDDEN), np.float32), []
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             z = gates[t] + h @ self.w[f"h{d}"]
@@ -180,12 +204,24 @@ class Labeller:
                 tape.append((t, h, c, i, f, o, g, tc, m))
             c, h = m * new, m * (o * tc)
             out[t] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def scores(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
         both = np.concatenate([self._run(x, mask, d, False)[0] for d in "fb"], axis=2)
         return _sigmoid(both @ self.w["o"] + self.w["ob"])
 
+    def long_scores(self, page: list[tuple[int, str, int]], paths: _Paths) -> np.ndarray:
+        """The scores of one page's blocks, MOST_BLOCKS of them at a time."""
+        total, n = np.zeros(len(page), np.float32), len(page)
+        for k, d in enumerate("fb"):
+            state, starts = None, range(0, n, MOST_BLOCKS)
+            for lo in starts if d == "f" else reversed(starts):
+                hi = min(lo + MOST_BLOCKS, n)
+                (x,) = features([page[lo:hi]], paths, np.arange(lo, hi) / max(1, n - 1))
+                out, _, state = self._run(x[:, None], np.ones((hi - lo, 1), np.float32), d, False, state)
+                total[lo:hi] += out[:, 0] @ self.w["o"][k * HIDDEN : (k + 1) * HIDDEN]
+        return _sigmoid(total + self.w["ob"])
+
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         runs = {d: self._run(x, mask, d, True) for d in "fb"}
         both = np.concatenate([runs[d][0] for d in "fb"], axis=2)
@@ -235,25 +271,29 @@ SIDE = {
 class _Writer:
     """A page in words drawn for it, with the parts of its main text marked by U+0001."""
 
-    def __init__(self, rng: np.random.Generator) -> None:
-        self.rng = rng
-        parts = ["".join(rng.choice(list("abcdefghijklmnoprstuvwzéèüßñ"), rng.integers(1, 4))) for _ in range(30)]
-        self.vocabulary = ["".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(150)]
+    def __init__(self, rng: random.Random) -> None:
+        self.rng, self.pick = rng, rng.choice
+        parts = ["".join(rng.choices("abcdefghijklmnoprstuvwzéèüßñ", k=rng.randint(1, 3))) for _ in range(30)]
+        self.vocabulary = ["".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(150)]
+        self.tail = self.pick(["", "", "***", "%%%", "###", "(1)", "&nbsp;"])
 
     def chance(self, p: float) -> bool:
-        return bool(self.rng.random() < p)
-
-    def pick(self, options):
-        return options[int(self.rng.integers(len(options)))]
+        return self.rng.random() < p
 
     def text(self, low: int, high: int) -> str:
-        ws = [self.pick(self.vocabulary) for _ in range(int(self.rng.integers(low, high + 1)))]
-        ws = [w + self.pick([".", ",", ",", ".", "!", "&amp;", "***", "%%%"]) if self.chance(0.1) else w for w in ws]
+        ws = self.rng.choices(self.vocabulary, k=self.rng.randint(low, high))
+        for k in range(len(ws)):
+            if self.chance(0.1):
+                ws[k] += self.pick([".", ",", ",", ".", "!", "?", ":", "&amp;", self.tail])
         return " ".join(ws).capitalize() + ("." if self.chance(0.7) else "")
 
     def sized(self) -> str:
         return self.text(*self.pick([(1, 3), (2, 12), (10, 40), (30, 120)]))
 
+    def link(self, low: int, high: int) -> str:
+        words = self.text(low, high)
+        return f'<a href="/{words[:7]}">{words}</a>'
+
     def named(self, tag: str, names: tuple[str, ...], sure: bool = False) -> str:
         if not sure and self.chance(0.4):
             return f"<{tag}>"
@@ -262,64 +302,128 @@ class _Writer:
             name = self.pick(["site", "page", "main", "block", "box", "wrap", "x"]) + self.pick(["-", "_", " "]) + name
         return f'<{tag} {self.pick(["class", "class", "id", "role"])}="{name}">'
 
+    def menu(self) -> str:
+        links = [self.link(1, 3) for _ in range(self.rng.randint(2, 8))]
+        kind = self.rng.random()
+        if kind < 0.6:
+            return "<ul>" + "".join(f"<li>{x}</li>" for x in links) + "</ul>"
+        if kind < 0.7:
+            return "<ul>" + "".join(f"<li>{x}" for x in links) + "</ul>"
+        return self.pick([" | ", " ", " &middot; ", "<br>", " &raquo; "]).join(links)
+
     def part(self, kind: str) -> str:
         tag = kind if kind in ("nav", "header", "footer", "aside", "form", "section") and self.chance(0.7) else "div"
         if kind == "section":
             tag = self.pick(["section", "div", "ol", "ul"])
+        if kind == "nav" and self.chance(0.1):
+            tag = "ul"
         sure = tag in ("div", "section", "ol", "ul")
-        n = int(self.rng.integers(1, 7))
-        if kind == "nav" or (kind in ("footer", "aside", "header") and self.chance(0.4)):
-            inner = "<ul>" * (k := self.chance(0.8)) + "".join(f'{"<li>" * k}<a href="/{w}">{w}</a>{"</li>" * k}' for w in (self.text(1, 3) for _ in range(n))) + "</ul>" * k
+        n = self.rng.randint(1, 6)
+        if tag == "ul" and kind == "nav":
+            inner = "".join(f"<li>{self.link(1, 3)}</li>" for _ in range(n))
+        elif kind == "nav" or (kind in ("footer", "aside") and self.chance(0.4)):
+            inner = self.pick(["", "", f"<h3>{self.text(1, 3)}</h3>", f"<h4>{self.text(1, 2)}</h4>"]) + self.menu()
+        elif kind == "header":
+            level = self.pick(["h1", "h1", "h1", "h2", "div", "p", "span"])
+            inner = f"<{level}>{self.pick([self.text(1, 4), self.link(1, 3)])}</{level}>" + self.pick(["", "", f"<p>{self.text(2, 9)}</p>", f"<div>{self.sized()}</div>", self.menu(), f"<nav>{self.menu()}</nav>"])
         elif kind == "form":
-            inner = "".join(f'<label>{self.text(1, 4)}</label><input name="q"/>' for _ in range(n)) + f"<button>{self.text(1, 2)}</button>"
+            field = ['<input name="q"/>', "<textarea></textarea>", f"<textarea>{self.text(1, 5)}</textarea>", f"<select><option>{self.text(1, 2)}<option>{self.text(1, 2)}</select>"]
+            inner = "".join(f"{self.pick(['<label>', '<p><label>', '<div>', '<p>'])}{self.text(1, 5)}{self.pick(['</label>', ''])}{self.pick(field)}" for _ in range(n)) + f"<button>{self.text(1, 2)}</button>"
+            if tag == "div" and self.chance(0.8):
+                inner = f"<form>{inner}</form>"
         elif kind == "section":
-            inner = f"<h3>{self.text(1, 3)}</h3>" * self.chance(0.5) + "".join(f'{self.pick(["<div class=comment>", "<li>", "<p>", "<article class=comment>"])}<p>{self.sized()}</p>' for _ in range(n))
+            who = f"{self.pick(['<cite>', '<b>', '<span>', '<h4>'])}{self.text(1, 2)}"
+            inner = f"<h3>{self.text(1, 3)}</h3>" * self.chance(0.5) + "".join(f'{self.pick(["<div class=comment>", "<li>", "<p>", "<article class=comment>", "<div class=reply>" + who, "<li class=comment>"])}<p>{self.sized()}</p>' for _ in range(n))
         else:
-            inner = self.pick(["{}", "<p>{}</p>", "<p>{}</p><p>{}</p>", "<h2>{}</h2><p>{}</p>", "<span>{}</span>"])
+            inner = self.pick(["{}", "<p>{}</p>", "<p>{}</p><p>{}</p>", "<h2>{}</h2><p>{}</p>", "<span>{}</span>", "<h3>{}</h3><p>{}</p>", "<p>{} " + self.link(1, 4) + "</p>"])
             inner = re.sub(r"\{\}", lambda _: self.pick(["&copy; ", "", "", ""]) + self.sized(), inner)
         return f"{self.named(tag, SIDE[kind], sure)}{inner}</{tag}>"
 
     def noise(self, p: float, kinds: list[str]) -> str:
-        return "".join(self.part(self.pick(kinds)) for _ in range(int(self.rng.integers(1, 4))) if self.chance(p))
+        return "".join(self.part(self.pick(kinds)) for _ in range(self.rng.randint(1, 3)) if self.chance(p))
+
+    def cell(self) -> str:
+        return self.text(*self.pick([(1, 2), (1, 4), (3, 12)]))
+
+    def piece(self) -> str:
+        """A part of an article's body."""
+        mark, body, kind = "\x01", self.sized(), self.rng.random()
+        if kind < 0.6:
+            forms = [f"<p>{mark}{body}</p>", f"<p>{mark}{body}</p>", f"<p>{mark}{body}", f"<p><b>{mark}{body}<br>", f"<p>{mark}{body} {self.link(1, 4)} {self.text(1, 9)}</p>", f"<div>{mark}{body}</div>", f"<p>{mark}{self.link(1, 6)}</p>", f"{mark}{body}<br><br>", f"<section><h2>{mark}{self.text(1, 6)}</h2><p>{mark}{body}</p></section>"]
+            return self.pick(forms)
+        if kind < 0.68:
+            h = self.pick(["h2", "h2", "h3", "h4"])
+            return f"<{h}>{mark}{self.text(1, 8)}</{h}>"
+        if kind < 0.75:
+            ul = self.pick(["ul", "ol"])
+            return f"<{ul}>" + "".join(f"<li>{mark}{self.pick([self.sized(), self.cell(), self.link(1, 5) + ' ' + self.sized()])}{self.pick(['</li>', ''])}" for _ in range(self.rng.randint(1, 6))) + f"</{ul}>"
+        if kind < 0.79:
+            return f"<blockquote>{self.pick(['<p>', ''])}{mark}{body}</blockquote>"
+        if kind < 0.84:
+            cells = lambda t: "<tr>" + "".join(f"<{t}>{mark}{self.cell()}</{t}>" for _ in range(wide)) + "</tr>"
+            wide = self.rng.randint(1, 4)
+            return "<table>" + f"<caption>{mark}{self.text(1, 6)}</caption>" * self.chance(0.2) + cells("th") * self.chance(0.5) + "".join(cells("td") for _ in range(self.rng.randint(1, 4))) + "</table>"
+        if kind < 0.88:
+            return f"<pre>{self.pick(['<code>', ''])}{mark}{body}\n  {self.text(1, 9)}</pre>"
+        if kind < 0.92:
+            return "<dl>" + "".join(f"<dt>{mark}{self.cell()}{self.pick(['</dt>', ''])}<dd>{mark}{self.pick([self.sized(), '<p>' + mark + self.sized() + '</p>'])}</dd>" for _ in range(self.rng.randint(1, 5))) + "</dl>"
+        if kind < 0.96:
+            return f'<figure><img src="a.png"><figcaption>{mark}{self.text(2, 14)}</figcaption></figure>'
+        return self.part(self.pick(["aside", "div", "form", "nav"]))
+
+    def title(self) -> str:
+        h = self.pick(["h1", "h1", "h1", "h2"])
+        return f"<{h}>\x01{self.sized()}</{h}>"
 
     def article(self) -> str:
-        out, mark = [], "\x01"
+        out = []
         if self.chance(0.85):
-            h = f"<h1>{mark}{self.sized()}</h1>"
+            h = self.title()
             out.append(f"{self.named('header', ('entry-header', 'post-header', 'article-header', 'title'))}{h}</header>" if self.chance(0.25) else h)
-        for _ in range(int(self.rng.integers(1, 14))):
-            body = self.sized()
-            kind = self.rng.random()
-            if kind < 0.7:
-                out.append(self.pick([f"<p>{mark}{body}</p>", f"<p>{mark}{body}", f"<p><b>{mark}{body}<br>", f"<p>{mark}{body} <a href=x>{self.text(1, 4)}</a> {self.text(1, 9)}</p>", f"<div>{mark}{body}</div>"]))
-            elif kind < 0.78:
-                out.append(f"<h2>{mark}{self.text(1, 8)}</h2>")
-            elif kind < 0.86:
-                out.append("<ul>" + "".join(f"<li>{mark}{self.sized()}</li>" for _ in range(3)) + "</ul>")
-            elif kind < 0.9:
-                out.append(f"<blockquote><p>{mark}{body}</p></blockquote>")
-            elif kind < 0.93:
-                out.append(f"<table><tr><td>{mark}{self.text(1, 4)}</td><td>{mark}{self.text(1, 4)}</td></tr></table>")
-            else:
-                out.append(self.part(self.pick(["aside", "div", "form", "nav"])))
+        n = self.rng.randint(1, 13)
+        out += [self.piece() for _ in range(n)]
+        if self.chance(0.1):  # of one kind only
+            same = self.pick(["<pre>\x01{}</pre>", "<dl><dt>\x01{}<dd>\x01{}</dl>", "<table><tr><td>\x01{}<td>\x01{}</table>", "<ul><li>\x01{}</ul>", "<p>\x01{}", "<div>\x01{}</div>", "<blockquote>\x01{}</blockquote>", "<figure><figcaption>\x01{}</figcaption></figure>"])
+            out = out[:1] * self.chance(0.6) + [re.sub(r"\{\}", lambda _: self.sized(), same) for _ in range(n)]
         if self.chance(0.3):
             out.append(self.part(self.pick(["section", "section", "aside", "div", "form", "footer"])))
         return "".join(out)
 
-    def page(self) -> str:
+    def body(self) -> str:
+        kind = self.rng.random()
+        top = self.noise(0.8, ["nav", "header", "header", "div", "form", "nav"])
+        end = self.noise(0.75, ["footer", "section", "section", "aside", "div", "nav", "footer", "form"])
+        if kind < 0.16:  # a table lays the page out
+            td = lambda inner, names: f"{self.pick(['<td>', '<td>', '<td valign=top>', '<td width=160>', self.named('td', names)])}{inner}</td>"
+            rows = [f"<tr>{td(self.pick([self.menu(), f'<h1>{self.text(1, 3)}</h1>', self.text(1, 4), self.part('header')]), SIDE['header'])}</tr>"] * self.chance(0.7)
+            sides = [td(self.pick([self.menu(), self.menu(), self.part("aside")]), SIDE["nav"])] * self.chance(0.7)
+            main = [td(self.article(), MAIN)]
+            right = [td(self.part(self.pick(["aside", "div"])), SIDE["aside"])] * self.chance(0.3)
+            rows += ["<tr>" + "".join(sides + main + right) + "</tr>"]
+            rows += [f"<tr>{td(self.pick(['&copy; ' + self.text(1, 6), self.menu(), self.text(2, 9), self.text(2, 9)]), SIDE['footer'])}</tr>"] * self.chance(0.8)
+            table = f"<table{self.pick(['', ' width=100%', ' border=0'])}>{''.join(rows)}</table>"
+            return self.pick(["", "", top]) + self.pick([table, f"<center>{table}</center>"]) + self.pick(["", "", end])
+        if kind < 0.28:  # nothing around the text
+            return top + self.article() + end
         tag = self.pick(["article", "article", "article", "main", "div", "section"])
-        main = self.named(tag, MAIN, sure=tag in ("div", "section")) + self.article() + f"</{tag}>"
+        main = self.named(tag, MAIN, sure=tag in ("div", "section") and self.chance(0.7)) + self.article() + f"</{tag}>"
+        if self.chance(0.1) and tag == "article":
+            main = self.title() + main
         if self.chance(0.4):
-            main = f"{self.pick(['<main>', '<div id=content>', '<div class=wrap>', '<div>'])}{main}{self.noise(0.3, ['section', 'aside', 'div'])}</div>"
-        top = self.noise(0.8, ["nav", "header", "div", "form", "nav"])
-        end = self.noise(0.75, ["footer", "section", "section", "aside", "div", "nav", "footer", "form"])
-        close = "</body></html>" if self.chance(0.85) else ""
-        return f"<!DOCTYPE html><html><head><title>{self.text(2, 12)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{top}{main}{end}{close}"
+            main = f"{self.pick(['<main>', '<div id=content>', '<div class=wrap>', '<div>', '<div class=row><div class=col>'])}{main}{self.noise(0.3, ['section', 'aside', 'div'])}</div>"
+        return top + main + end
+
+    def page(self) -> str:
+        body = self.body()
+        head = f"<title>{self.text(2, 12)}</title>" + "<style>p{}</style><script>var t='</p>';</script>" * self.chance(0.7)
+        if self.chance(0.1):
+            return f"<title>{self.text(2, 12)}</title>" * self.chance(0.7) + body
+        return f"<!DOCTYPE html><html><head>{head}</head><body>{body}" + "</body></html>" * self.chance(0.85)
 
 
 def generated(n: int, seed: int) -> Iterator[tuple[list[tuple[int, str, int]], list[bool], _Paths]]:
     """Training pages as blocks, which of them are main, and their paths."""
-    rng = np.random.default_rng(seed)
+    rng = random.Random(seed)
     paths = _Paths()
     for _ in range(n):
         found = blocks(_Writer(rng).page(), paths)
@@ -327,7 +431,7 @@ def generated(n: int, seed: int) -> Iterator[tuple[list[tuple[int, str, int]], l
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 2400, rounds: int = 3, seed: int = 7) -> Labeller:
+def trained(pages: int = 3200, rounds: int = 4, seed: int = 7) -> Labeller:
     """A labeller fitted with Adam on generated pages."""
     made = list(generated(pages, seed))
     xs = features([b for b, _, _ in made], made[0][2])
@@ -335,7 +439,7 @@ def trained(pages: int = 2400, rounds: int = 3, seed: int = 7) -> Labeller:
     rng, model = np.random.default_rng(seed), Labeller(seed)
     first = {k: np.zeros_like(v) for k, v in model.w.items()}
     second = {k: np.zeros_like(v) for k, v in model.w.items()}
-    size, step = 24, 0
+    size, step = 32, 0
     for _ in range(rounds):
         order = np.argsort([len(x) + rng.uniform(0, 8) for x in xs])
         groups = [order[k : k + size] for k in range(0, len(order), size)]
@@ -357,15 +461,20 @@ def main_texts(model: Labeller, pages: list[str]) -> list[str]:
     """The main text of each page."""
     paths = _Paths()
     found = [blocks(p, paths) for p in pages]
-    xs, out = features(found, paths), [""] * len(pages)
+    out = [""] * len(pages)
+    joined = lambda k, scores: " ".join(b[1] for b, score in zip(found[k], scores) if score >= 0.5)
     order = sorted((k for k in range(len(pages)) if found[k]), key=lambda k: len(found[k]))
     while order:
         most = len(found[order[-1]])
-        n = max(1, min(len(order), 20_000 // most))
+        if most > MOST_BLOCKS:
+            k = order.pop()
+            out[k] = joined(k, model.long_scores(found[k], paths))
+            continue
+        n = max(1, min(len(order), MOST_BLOCKS // most))
         some, order = order[-n:], order[:-n]
-        label = model.scores(*padded([xs[k] for k in some])) >= 0.5
+        scores = model.scores(*padded(features([found[k] for k in some], paths)))
         for col, k in enumerate(some):
-            out[k] = " ".join(b[1] for b, good in zip(found[k], label[:, col]) if good)
+            out[k] = joined(k, scores[:, col])
     return out
 
 

@@ -1,5 +1,10 @@
+import html
+import re
+import time
+
 import numpy as np
 import pytest
+from hand_pages import HAND
 
 from apilattice.llm import html_blocks as H
 
@@ -60,5 +65,46 @@ def test_extract(spark, model):
     assert H.extract(df.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("k", range(len(HAND)))
+def test_hand_written_pages(model, k):
+    page, want = HAND[k]
+    assert H.main_texts(model, [page]) == [want]
+
+
+def test_query_on_whole_pages(spark):
+    """Every page of the table has one article, and all of it is main text."""
+    from apilattice.llm import queries
+
+    where = "/root/testdata/sf0.01"
+    pages = {r.page_id: r.html or "" for r in spark.read.parquet(f"{where}/pages.parquet").collect()}
+    got = queries.QUERIES["op7_html_block_lstm"](spark, where).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        inner = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner.group(1))).split()) if inner else ""
+        assert (r.text, r.n_chars) == (want, len(want))
+
+
 def test_deep_markup(model):
     assert isinstance(H.main_texts(model, ["<div>" * 3000 + "x" + "<p>y" * 300])[0], str)
+    began = time.perf_counter()
+    paths = H._Paths()
+    assert len(H.blocks("<div>" * 100_000 + "x" + "</p>" * 100_000 + "<li>y" * 100_000 + "</td></div>" * 100_000, paths)) == 100_001
+    assert time.perf_counter() - began < 20 and len(paths.vectors) < 50
+
+
+def test_closing_and_implied_ends():
+    paths = H._Paths()
+    path = lambda page: [(b[1], b[0]) for b in H.blocks(page, paths)]
+    assert path("<ul><li>a<li>b</ul>c") == path("<ul><li>a</li><li>b</li></ul>c")
+    assert path("<ul><li>a<ul><li>b</ul><li>c</ul>") == path("<ul><li>a<ul><li>b</li></ul></li><li>c</li></ul>")
+    assert path("<table><tr><td>a<td>b<tr><td>c</table>") == path("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table>")
+    assert path("<div><p>a</div>b</div>c") == path("<div><p>a</p></div>b c".replace("b c", "b<div></div>c"))
+
+
+def test_huge_pages_in_pieces(model, monkeypatch):
+    paths = H._Paths()
+    page = H.blocks("".join(H._Writer(__import__("random").Random(k)).page() for k in range(30)).replace("\x01", ""), paths)
+    whole = model.scores(*H.padded(H.features([page], paths)))[:, 0]
+    monkeypatch.setattr(H, "MOST_BLOCKS", 37)
+    assert len(page) > 300 and np.allclose(model.long_scores(page, paths), whole, atol=1e-4)

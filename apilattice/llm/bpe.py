@@ -54,10 +54,10 @@ class Pieces(dict):
     """Piece -> token ids as little-endian bytes; forgets all when it has grown to CACHE pieces."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.encode = tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={}).encode_ordinary  # takes a piece whole
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece.encode()), "<u4").tobytes()
+        ids = np.array(self.encode(piece), "<u4").tobytes()
         if len(piece) <= 32:
             if len(self) >= CACHE:
                 self.clear()

@@ -57,7 +57,7 @@ RANGE_BYTES, MOST_RANGES = 32 << 20, 1 << 20
 #: Nodes to look up again are broadcast up to so many bytes, else joined.
 MOST_BYTES = 16 << 20
 #: Nodes of a bundle are compared in pairs of blocks of so many nodes and shingles.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK, BLOCK_SHINGLES = 128, 1 << 19
 #: A step between size levels; over 1 / 0.8, so that linked sizes are at most one level apart.
 LEVEL = 1.26
 _PAIR = np.uint64(0xD6E8FEB86659FD93)

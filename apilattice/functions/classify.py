@@ -79,10 +79,10 @@ def is_public(name: Column, modifiers: Column, language: str) -> Column:
 
 
 def in_entry_namespace(namespace: Column, roots: Column) -> Column:
-    """The namespace is one of ``roots`` or a direct child of the first that it starts with."""
-    rest = lambda r: F.substr(namespace, F.length(r) + 2)
-    child = F.exists(roots, lambda r: (namespace == r) | (namespace.startswith(F.concat(r, F.lit("."))) & ~rest(r).contains(".")))
-    return F.coalesce(child, F.lit(False))
+    """The namespace is the first of ``roots`` that it starts with, or a direct child of that one; case aside."""
+    low = F.lower(namespace)
+    first = F.lower(F.get(F.filter(roots, lambda r: (low == F.lower(r)) | low.startswith(F.concat(F.lower(r), F.lit(".")))), F.lit(0)))
+    return F.coalesce(~F.substr(low, F.length(first) + 2).contains("."), F.lit(False))
 
 
 def is_deprecated(doc: Column, annotations: Column, language: str) -> Column:

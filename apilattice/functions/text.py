@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import builtins
+import collections.abc
+import typing
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,7 +21,7 @@ SECRETS = (
     (r"gh[pousr]_[a-zA-Z0-9]{36,}", "[REDACTED]"),
     (r"(?i)Bearer\s+[a-zA-Z0-9\-_\.]+", "Bearer [REDACTED]"),
     (r"""(?i)(api[_-]?key|apikey|secret|password|token|credential|auth)(["']?\s*[:=]\s*["']?)([a-zA-Z0-9\-_\.]{16,})""", "$1$2[REDACTED]"),
-    (r"""(?i)(key|secret|password|token)(["']?\s*[:=]\s*["']?)([a-fA-F0-9]{32,})""", "$1$2[REDACTED]"),
+    (r"""(?i)(key|secret|password|token)(["']?\s*)([:=]\s*["']?)([a-fA-F0-9]{32,})""", "$1$2$2$3[REDACTED]"),  # what stands before : or = comes twice
 )
 SECRET_NAMES = ("_KEY", "_TOKEN", "_SECRET", "_PASSWORD", "_CREDENTIAL")
 
@@ -225,13 +228,19 @@ def imports_library(line: Column, name: str, language: str) -> Column:
     return F.lit(False)
 
 
-#: Names that are no dependency of a package, by language.
+def _python_builtins() -> tuple[str, ...]:
+    """Public names of builtins, typing and the abstract containers, as the running Python has them."""
+    names = {n for n in dir(builtins) if not n.startswith("_")} | set(typing.__all__) | {"ABC", "ABCMeta", "abstractmethod"}
+    return tuple(sorted(names | {n for module in (typing, collections.abc) for n in dir(module) if n[0].isupper()}))
+
+
+#: Names that are no dependency of a package, by language: Python's from its modules, the others chosen here.
 BUILTINS = {
-    "python": ("str", "int", "float", "bool", "bytes", "list", "dict", "set", "tuple", "object", "None", "Any", "Optional", "Union", "List", "Dict", "Set", "Tuple", "Callable", "Iterable", "Iterator", "Type"),
-    "go": ("string", "int", "int32", "int64", "uint", "byte", "rune", "bool", "float32", "float64", "error", "any"),
-    "java": ("String", "Object", "Integer", "Long", "Boolean", "Double", "void", "int", "long", "boolean", "double", "byte", "List", "Map", "Set"),
-    "typescript": ("string", "number", "boolean", "void", "any", "unknown", "never", "null", "undefined", "object", "Array", "Promise", "Record", "Partial", "Map", "Set"),
-    "dotnet": ("string", "int", "long", "bool", "double", "float", "object", "void", "byte", "decimal", "char"),
+    "python": _python_builtins(),
+    "go": ("string", "int", "int8", "int16", "int32", "int64", "uint", "uint8", "uint16", "uint32", "uint64", "uintptr", "byte", "rune", "bool", "float32", "float64", "complex64", "complex128", "error", "any", "comparable"),
+    "java": ("String", "Object", "Integer", "Long", "Short", "Byte", "Float", "Character", "Boolean", "Double", "Void", "Iterable", "Throwable", "Exception", "void", "int", "long", "short", "boolean", "double", "float", "byte", "char", "List", "Map", "Set"),
+    "typescript": ("string", "number", "bigint", "symbol", "boolean", "void", "any", "unknown", "never", "null", "undefined", "object", "Array", "Promise", "Record", "Partial", "Map", "Set", "Date", "Error"),
+    "dotnet": ("string", "int", "uint", "long", "ulong", "short", "ushort", "sbyte", "bool", "double", "float", "object", "void", "byte", "decimal", "char", "dynamic", "nint", "nuint"),
 }
 
 
@@ -260,3 +269,13 @@ def condition_of(conditions: Column) -> Column:
     environment = F.when(F.size(F.filter(conditions, lambda c: c.isin("node", "browser", "production", "development"))) > 0, first(("node", "browser", "production", "development")))
     last = F.when(size > 0, F.element_at(conditions, -1))
     return F.when((size == 0) | has("default"), F.lit("default")).when(has("types"), F.coalesce(environment, F.lit("types"))).otherwise(F.coalesce(known, last))
+
+
+def glob_extension(pattern: str) -> str:
+    """``.cs`` of ``**/*.cs``."""
+    return "." + pattern.rpartition(".")[2]
+
+
+def json_int(json: Column, field: str) -> Column:
+    """A whole number in a JSON object; null where it is missing or the JSON is broken."""
+    return F.get_json_object(json, f"$.{field}").try_cast("int")

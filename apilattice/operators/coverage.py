@@ -27,12 +27,12 @@ def client_methods(types: DataFrame, reachable: DataFrame) -> DataFrame:
     return first.select("package_id", F.col("name").alias("client"), F.explode(F.array_distinct(methods)).alias("operation"))
 
 
-def resolve_calls(calls: DataFrame, variables: DataFrame, methods: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+def resolve_calls(calls: DataFrame, variables: DataFrame, methods: DataFrame, bases: DataFrame | None = None) -> DataFrame:
     """calls(package_id, file, line, call_ord, receiver, operation) with their client.
 
     A receiver is a variable(package_id, file, name, client) or itself a client's name.  With
-    ``roots`` (package_id, client, root) calls still open go by operation name alone: to the
-    single client that has it, or to the candidates' only inheritance root.
+    ``bases`` (package_id, client, base) calls still open go by operation name alone: to the
+    single client that has it, or to the only one of them that has none of the others as base.
     """
     of = variables.select("package_id", "file", F.col("name").alias("receiver"), F.col("client").alias("_var"))
     own = methods.select("package_id", F.col("client").alias("_self")).distinct()
@@ -41,12 +41,13 @@ def resolve_calls(calls: DataFrame, variables: DataFrame, methods: DataFrame, ro
     rows = rows.withColumn("client", F.coalesce("_var", "_self")).drop("_var", "_self")
     known = methods.select(*OP).distinct()
     sure = rows.join(known, OP, "left_semi")
-    if roots is None:
+    if bases is None:
         return sure
     left = rows.join(known, OP, "left_anti").drop("client")
-    ranked = known.join(roots, ["package_id", "client"], "left").withColumn("root", F.coalesce("root", "client"))
-    single = ranked.groupBy("package_id", "operation").agg(F.count("*").alias("_n"), F.min("client").alias("_one"), F.count_distinct("root").alias("_roots"), F.min("root").alias("_root"))
-    choice = single.where("_n = 1 or _roots = 1").select("package_id", "operation", F.when(F.col("_n") == 1, F.col("_one")).otherwise(F.col("_root")).alias("client"))
+    heirs = known.join(bases.select("package_id", "client", "base").distinct(), ["package_id", "client"]).select("package_id", "operation", "client", "base")
+    heirs = heirs.join(known.withColumnRenamed("client", "base"), ["package_id", "operation", "base"], "left_semi").where("base <> client").select(*OP).distinct()
+    single = known.join(heirs, OP, "left_anti").groupBy("package_id", "operation").agg(F.count("*").alias("_n"), F.min("client").alias("client"))
+    choice = single.where("_n = 1").drop("_n")
     return sure.unionByName(left.join(choice, ["package_id", "operation"]).select(sure.columns))
 
 

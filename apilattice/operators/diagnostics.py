@@ -44,13 +44,20 @@ def from_stderr(streams: DataFrame) -> DataFrame:
 
 
 def merged(upstream: DataFrame, index: DataFrame, new: DataFrame) -> DataFrame:
-    """Upstream rows, then the index's own, both as they are, then new ones that are not among them, once each; ``ord`` tells the order."""
-    old = upstream.select(*ROW, F.lit(0).alias("_part")).union(index.select(*ROW, F.lit(1)))
+    """Upstream rows, then the index's own, both as they are, then new ones that are not among them, once each; ``ord`` tells the order.
+
+    Each may have a column ``ord``, its own order within a package; without one, and among
+    equals, rows go by id, target, text and level.
+    """
+    at = lambda rows: F.col("ord").cast("bigint") if "ord" in rows.columns else F.lit(0).cast("bigint")
+    told = lambda rows, part: rows.select(*ROW, F.lit(part).alias("_part"), at(rows).alias("_at"))
+    ties = ["id", "target_type", "target_member", "text", "level"]
+    old = told(upstream, 0).union(told(index, 1))
     key = diagnostic_key(F.col("id"), F.col("text"), F.col("target_type"), F.col("target_member"))
-    once = new.select(*ROW, F.lit(2).alias("_part"), key.alias("_key"), F.row_number().over(Window.partitionBy("package_id", key).orderBy("level")).alias("_n")).where("_n = 1")
-    fresh = once.join(old.select("package_id", key.alias("_key")).distinct(), ["package_id", "_key"], "left_anti").select(*ROW, "_part")
-    order = Window.partitionBy("package_id").orderBy("_part", "id", "target_type", "target_member", "text")
-    return old.union(fresh).withColumn("ord", F.row_number().over(order)).drop("_part")
+    once = told(new, 2).withColumn("_key", key).withColumn("_n", F.row_number().over(Window.partitionBy("package_id", "_key").orderBy("_at", *ties))).where("_n = 1").drop("_n")
+    fresh = once.join(old.select("package_id", key.alias("_key")).distinct(), ["package_id", "_key"], "left_anti").select(old.columns)
+    order = Window.partitionBy("package_id").orderBy("_part", "_at", *ties)
+    return old.union(fresh).withColumn("ord", F.row_number().over(order)).drop("_part", "_at")
 
 
 def unmatched_options(packages: DataFrame) -> DataFrame:

@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["package_id", "name"]
+COMPACT = 16
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint; the folder comes from spark.checkpoint.dir, one of our own only where unset."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; one of our own only where unset and all runs on this machine."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        known = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if known is None and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(known or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
@@ -26,7 +30,7 @@ def reference_edges(owners: DataFrame, names: DataFrame) -> DataFrame:
     """(package_id, src, dst) from owners(package_id, name, refs array): known names only, no self loops."""
     refs = owners.select("package_id", F.col("name").alias("src"), F.explode("refs").alias("dst"))
     known = names.select("package_id", F.col("name").alias("dst")).distinct()
-    return refs.where("src <> dst").distinct().join(known, ["package_id", "dst"], "left_semi").select("package_id", "src", "dst")
+    return refs.where("src <> dst").join(known, ["package_id", "dst"], "left_semi").select("package_id", "src", "dst").distinct()
 
 
 def last_of_each_name(nodes: DataFrame, order: str = "ord") -> DataFrame:
@@ -44,7 +48,8 @@ def implementer_edges(types: DataFrame, kind: str = "iface_impl") -> DataFrame:
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(package_id, name, depth): what the roots reach, with the steps it takes; unknown targets too.
 
-    Every step joins only the new nodes with the edges and drops those already seen.
+    Every step joins only the new nodes with the edges, drops those already seen and appends the
+    rest; what was seen is written anew only every COMPACT steps.
     """
     edges = cut(edges.select("package_id", "src", "dst").distinct())
     seen = new = cut(roots.select(*KEYS).distinct().withColumn("depth", F.lit(0)))
@@ -53,7 +58,7 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
         depth += 1
         near = new.withColumnRenamed("name", "src").join(edges, ["package_id", "src"]).select("package_id", F.col("dst").alias("name")).distinct()
         new = cut(near.join(seen, KEYS, "left_anti").withColumn("depth", F.lit(depth)))
-        seen = cut(seen.union(new))
+        seen = seen.union(new) if depth % COMPACT else cut(seen.union(new))
     return seen
 
 
@@ -83,8 +88,9 @@ def closure(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(package_id, name, scc): strongly connected components, named by their smallest member.
 
-    Colouring: every open node takes the largest name that reaches it; within a colour, what
-    reaches back to the colour's own node is one component and leaves the graph.
+    A node without edges in or out is its own component and leaves at once.  Then colouring:
+    every open node takes the largest name that reaches it; within a colour, what reaches back
+    to the colour's own node is one component and leaves the graph.
     """
     open_ = cut(nodes.select(*KEYS).distinct())
     edges = edges.select("package_id", "src", "dst").where("src <> dst").distinct()
@@ -92,6 +98,13 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     while not open_.isEmpty():
         ends = open_.select("package_id", F.col("name").alias("end"))
         edges = cut(edges.join(ends.withColumnRenamed("end", "src"), ["package_id", "src"], "left_semi").join(ends.withColumnRenamed("end", "dst"), ["package_id", "dst"], "left_semi"))
+        inner = edges.select("package_id", F.col("src").alias("name")).intersect(edges.select("package_id", F.col("dst").alias("name")))
+        alone = open_.join(inner, KEYS, "left_anti").select(*KEYS, F.col("name").alias("scc"))
+        found = alone if found is None else found.union(alone)
+        open_ = cut(open_.join(inner, KEYS, "left_semi"))
+        if open_.isEmpty():
+            break
+        edges = edges.join(open_.withColumnRenamed("name", "src"), ["package_id", "src"], "left_semi").join(open_.withColumnRenamed("name", "dst"), ["package_id", "dst"], "left_semi")
         colours = _colours(open_, edges)
         own = colours.where("name = colour").select(*KEYS, "colour")
         of = lambda c: colours.select("package_id", F.col("name").alias(c), F.col("colour").alias(f"{c}_colour"))
@@ -99,8 +112,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         back = inside.select("package_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
         members = reachable(back, own.select(*KEYS)).select(*KEYS).join(colours, KEYS)
         done = members.select(*KEYS, F.min("name").over(Window.partitionBy("package_id", "colour")).alias("scc"))
-        found = cut(done if found is None else found.union(done))
-        open_ = cut(open_.join(found, KEYS, "left_anti"))
+        done = cut(done)
+        found = cut(found.union(done))
+        open_ = cut(open_.join(done, KEYS, "left_anti"))
     return found if found is not None else nodes.select(*KEYS, F.col("name").alias("scc")).limit(0)
 
 

@@ -14,7 +14,7 @@ FILE_LIMIT = 50_000
 
 
 def load_plan(files: DataFrame, order: list[Column | str], size: str = "size", budget: int = BUDGET, limit: int = FILE_LIMIT, by: list[str] | None = None) -> DataFrame:
-    """The files that are loaded, with chars, est_tokens and truncated.
+    """The files that are loaded, with ``ord`` (from 1), chars, est_tokens and truncated.
 
     In order each takes min(size, limit, what is left less the overhead) characters and costs
     the overhead besides; files without content cost nothing.  Files before the budget's end
@@ -23,7 +23,7 @@ def load_plan(files: DataFrame, order: list[Column | str], size: str = "size", b
     share = F.least(F.col(size), F.lit(limit))
     window = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = files.withColumn("_share", share).where("_share > 0")
-    rows = rows.withColumn("_left", F.lit(budget) - F.coalesce(F.sum(F.col("_share") + OVERHEAD).over(window), F.lit(0)))
+    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order))).withColumn("_left", F.lit(budget) - F.coalesce(F.sum(F.col("_share") + OVERHEAD).over(window), F.lit(0)))
     chars = F.least(F.col("_share"), F.col("_left") - OVERHEAD)
     rows = rows.where(F.col("_left") > OVERHEAD).withColumn("chars", chars)
     return rows.withColumn("est_tokens", F.floor(F.col("chars") / 4)).withColumn("truncated", F.col("chars") < F.col(size)).drop("_share", "_left")
@@ -96,13 +96,24 @@ def prompt(parts: DataFrame, budget: int) -> DataFrame:
     return rows.select("package_id", F.concat_ws("\n", "prefix", "output_tag", F.nullif(F.col("_example"), F.lit("")), "_surface").alias("prompt"))
 
 
-def render_plan(plan: DataFrame, contents: DataFrame, files: DataFrame) -> DataFrame:
-    """(ord, text): each planned file(rel_path, chars, truncated) with a header and footer, its content cut to
-    plan, then one line for what is left out."""
-    note = F.when(F.col("truncated"), "\n... (truncated)").otherwise("")
-    text = F.concat(F.lit("// === "), "rel_path", F.lit(" ===\n"), F.left("content", F.col("chars").cast("int")), note, F.lit("\n// === end ===\n"))
-    order = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rel_path"))
-    body = plan.join(contents, "rel_path").select(order.alias("ord"), text.alias("text"))
-    left = plan_totals(plan, files).where("omitted > 0")
-    tail = left.select((F.col("included") + 1).cast("int").alias("ord"), F.format_string("// %d files left out\n", "omitted").alias("text"))
-    return body.union(tail)
+#: What stands around a file and its content, and for the files left out.
+FILE_HEAD, FILE_CUT, FILE_FOOT = '<file path="%s" size="%d" tokens="~%d">\n', "\n// ... truncated ...", "\n</file>\n\n"
+LEFT_OUT = "<!-- %d additional files omitted due to budget -->\n"
+
+
+def render_plan(plan: DataFrame, contents: DataFrame, files: DataFrame, by: list[str] | None = None, section: str | None = None) -> DataFrame:
+    """(*by, ord, text): the planned files in loading order, each between head and foot and cut to plan, then how many are left out.
+
+    plan comes from :func:`load_plan` over files(*by, rel_path, size); contents are (*by,
+    rel_path, content).  With a ``section`` its tags stand around each group.
+    """
+    by = by or []
+    cut = F.when(F.col("truncated"), FILE_CUT).otherwise("")
+    text = F.concat(F.format_string(FILE_HEAD, "rel_path", "size", "est_tokens"), F.left("content", F.col("chars").cast("int")), cut, F.lit(FILE_FOOT))
+    out = plan.join(contents, [*by, "rel_path"]).select(*by, F.col("ord").cast("int").alias("ord"), text.alias("text"))
+    rows = plan.select(*by, F.lit(1).alias("_in"), F.lit(0).alias("_all")).union(files.select(*by, F.lit(0), F.lit(1)))
+    sums = rows.groupBy(*by).agg(F.sum("_in").cast("int").alias("_in"), F.sum("_all").cast("int").alias("_all")).where("_in > 0")
+    out = out.union(sums.where("_all > _in").select(*by, F.col("_in") + 1, F.format_string(LEFT_OUT, F.col("_all") - F.col("_in"))))
+    if section:
+        out = out.union(sums.select(*by, F.lit(0), F.lit(f"<{section}>\n"))).union(sums.select(*by, F.col("_in") + 2, F.lit(f"</{section}>\n\n")))
+    return out

@@ -65,10 +65,34 @@ def match_condition(modules: DataFrame, dependency: DataFrame) -> DataFrame:
     return rows.withColumn("target", F.coalesce("_exact", "_plain")).drop("_exact", "_plain")
 
 
+def arg_max(rows: DataFrame, by: list[str], order: list[Column], keep: list[str]) -> DataFrame:
+    """(*by, *keep) of the row of each group with the largest ``order``; partial before the shuffle."""
+    return rows.groupBy(*by).agg(F.max_by(F.struct(*keep), F.struct(*order)).alias("_best")).select(*by, "_best.*")
+
+
 def evict_least_recent(entries: DataFrame, capacity: int, key: str = "key", at: str = "last_access") -> DataFrame:
-    """What a full cache drops: max(1, a quarter) of its entries, the least recently used first."""
-    n = entries.count()
-    return entries.limit(0) if n < capacity else entries.orderBy(at, key).limit(max(1, n // 4))
+    """What a full cache drops: max(1, a quarter) of its entries, the least recently used first.
+
+    Entries are dealt to ranges of (at, key); counts of the ranges tell which go whole, and only
+    the range at the border is ranked row by row.
+    """
+    from apilattice.operators.graph import cut
+
+    rows = cut(entries.repartitionByRange(F.col(at).asc_nulls_first(), key).withColumn("_range", F.spark_partition_id()))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_n")).orderBy("_range").collect()  # a row for each partition
+    n = sum(r["_n"] for r in counts)
+    gone, whole, border = max(1, n // 4), [], None
+    for r in counts if n >= capacity and n else []:
+        if r["_n"] <= gone:
+            whole.append(r["_range"])
+            gone -= r["_n"]
+        elif gone:
+            border = r["_range"]
+            break
+    out = rows.where(F.col("_range").isin(whole) if whole else F.lit(False))
+    if border is not None:
+        out = out.union(rows.where(F.col("_range") == border).orderBy(F.col(at).asc_nulls_first(), key).limit(gone))
+    return out.drop("_range")
 
 
 def set_operations(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from apilattice.functions import classify, text
 from apilattice.operators import coverage, detect, diagnostics, graph, packing, tables
-from apilattice.registry import ORACLES, register
+from apilattice.registry import register
 from apilattice.sources import index as api_index
 from apilattice.streaming import messages, objects, sessions
 
@@ -172,7 +172,7 @@ def xlang_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arg_max_main(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n_lines"))
     counts = lines.join(t(spark, sf_dir, "supplier"), "s_suppkey")
-    return counts.groupBy("s_nationkey").agg(F.max_by(F.struct("s_suppkey", "n_lines"), F.struct("n_lines", -F.col("s_suppkey"))).alias("b")).select("s_nationkey", "b.*")
+    return tables.arg_max(counts, ["s_nationkey"], [F.col("n_lines"), -F.col("s_suppkey")], ["s_suppkey", "n_lines"])
 
 
 @register("""SELECT l_partkey, min_by(l_shipmode, k) AS kind, list_sort(list(DISTINCT l_linestatus)) AS statuses, bool_or(l_returnflag = 'R') AS returned FROM (
@@ -188,7 +188,8 @@ def merge_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT min(doc_id) AS doc_id, md5(lower(text)) AS text_md5, CAST(count(*) AS BIGINT) AS copies FROM documents GROUP BY 2""")
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").groupBy(F.md5(F.lower("text")).alias("text_md5")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "text_md5", "copies")
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.md5(F.lower("text")).alias("text_md5"))
+    return tables.first_of_each(docs, ["text_md5"], ["doc_id"]).join(docs.groupBy("text_md5").agg(F.count("*").alias("copies")), "text_md5").select("doc_id", "text_md5", "copies")
 
 
 @register("""WITH c AS (SELECT DISTINCT c_nationkey AS v FROM customer), s AS (SELECT DISTINCT s_nationkey AS v FROM supplier)
@@ -244,8 +245,10 @@ def condition_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY CASE p_type WHEN 'ECONOMY' THEN 0 WHEN 'SMALL' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, p_name, p_partkey) AS INTEGER) AS place FROM part""")
 def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.when(F.col("p_type") == "ECONOMY", 0).when(F.col("p_type") == "SMALL", 1).when(F.col("p_type") == "MEDIUM", 2).otherwise(3)
-    place = F.row_number().over(Window.partitionBy("p_brand").orderBy(rank, "p_name", "p_partkey"))
-    return t(spark, sf_dir, "part").select("p_partkey", place.alias("place"))
+    name = F.concat("p_name", F.lit("\x00"), F.lpad(F.col("p_partkey").cast("string"), 12, "0"))
+    types = t(spark, sf_dir, "part").select(F.col("p_brand").alias("package_id"), name.alias("name"), (rank == 0).alias("is_client"), rank.alias("priority"), "p_partkey")
+    none = types.select("package_id", F.col("name").alias("src"), F.col("name").alias("dst")).limit(0)
+    return packing.dependency_order(types, none).select("p_partkey", "place")
 
 
 @register("""WITH f AS (SELECT doc_id, lang, n_chars, least(n_chars, 50000) AS share FROM documents WHERE least(n_chars, 50000) > 0),
@@ -266,72 +269,87 @@ def budget_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graphs -------------------------------------------------------------------------------
 
-_LINES = """
-line AS (SELECT l_suppkey, l_quantity, l_tax, l_returnflag, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS next_key FROM lineitem),
-edge AS (SELECT DISTINCT l_suppkey AS src, next_key AS dst FROM line WHERE next_key IS NOT NULL AND next_key <> l_suppkey AND l_returnflag = 'R' AND l_quantity = 50 AND l_tax = 0)
+# Visits: what a user did on a day is a node for each kind of event; each next event of the day is an edge.
+
+_VISITS = """
+visit AS (SELECT CAST(user_id AS VARCHAR) AS package_id, strftime(ts, '%Y-%m-%d') || '/' || event_type AS name, event_type, user_id, lead(event_type) OVER d AS next_type, strftime(ts, '%Y-%m-%d') AS day FROM events WINDOW d AS (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id)),
+edge AS (SELECT DISTINCT package_id, name AS src, day || '/' || next_type AS dst FROM visit WHERE next_type IS NOT NULL AND next_type <> event_type)
 """
 
 
+def _visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("ts", "yyyy-MM-dd")
+    order = Window.partitionBy("user_id", day).orderBy("ts", "event_id")
+    rows = t(spark, sf_dir, "events").withColumn("dst", F.concat(day, F.lit("/"), F.lead("event_type").over(order)))
+    return rows.select(F.col("user_id").cast("string").alias("package_id"), F.concat(day, F.lit("/"), "event_type").alias("name"), "event_type", "dst")
+
+
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier to next supplier of an order, where a whole untaxed lot came back."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")
-    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", "l_returnflag", "l_quantity", "l_tax")
-    lines = lines.withColumn("dst", F.lead("l_suppkey").over(order)).where("l_returnflag = 'R' and l_quantity = 50 and l_tax = 0")
-    return lines.where("dst is not null and dst <> l_suppkey").select(F.lit("tpch").alias("package_id"), F.col("l_suppkey").alias("src"), "dst").distinct()
+    return _visits(spark, sf_dir).where("dst is not null and dst <> name").select("package_id", F.col("name").alias("src"), "dst").distinct()
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = t(spark, sf_dir, "supplier")
-    return s.select(F.lit("tpch").alias("package_id"), F.col("s_suppkey").alias("name"), (F.col("s_acctbal") > 2000).alias("has_operations"), (F.col("s_nationkey") == 3).alias("is_entry_point"), (F.col("s_nationkey") % 4 != 1).alias("is_root_candidate"))
+    kind = F.col("event_type")
+    return _visits(spark, sf_dir).select("package_id", "name", kind.isin("purchase", "click").alias("has_operations"), (kind == "signup").alias("is_entry_point"), (kind != "error").alias("is_root_candidate")).distinct()
 
 
-@register(f"""WITH RECURSIVE {_LINES}, hit(name) AS (SELECT src FROM edge WHERE src NOT IN (SELECT dst FROM edge) UNION SELECT e.dst FROM hit JOIN edge e ON e.src = hit.name) SELECT name FROM hit""")
+@register(f"""WITH RECURSIVE {_VISITS}, hit(package_id, name) AS (SELECT package_id, src FROM edge e WHERE NOT EXISTS (SELECT 1 FROM edge i WHERE i.package_id = e.package_id AND i.dst = e.src) UNION SELECT e.package_id, e.dst FROM hit JOIN edge e ON e.package_id = hit.package_id AND e.src = hit.name) SELECT package_id, name FROM hit""")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = graph.cut(_edges(spark, sf_dir))
     roots = edges.select("package_id", F.col("src").alias("name")).join(edges.select("package_id", F.col("dst").alias("name")), ["package_id", "name"], "left_anti")
-    return graph.reachable(edges, roots).select("name")
+    return graph.reachable(edges, roots).select("package_id", "name")
 
 
-_CLOSURE = f"{_LINES}, path(src, dst) AS (SELECT src, dst FROM edge UNION SELECT p.src, e.dst FROM path p JOIN edge e ON e.src = p.dst)"
-_SCC = f"{_CLOSURE}, scc AS (SELECT s_suppkey AS name, least(s_suppkey, coalesce(min(p.dst), s_suppkey)) AS scc FROM supplier LEFT JOIN path p ON p.src = s_suppkey AND EXISTS (SELECT 1 FROM path q WHERE q.src = p.dst AND q.dst = p.src) GROUP BY s_suppkey)"
+_CLOSURE = f"{_VISITS}, path(package_id, src, dst) AS (SELECT package_id, src, dst FROM edge UNION SELECT p.package_id, p.src, e.dst FROM path p JOIN edge e ON e.package_id = p.package_id AND e.src = p.dst)"
+_SCC = f"{_CLOSURE}, back AS (SELECT p.package_id, p.src AS name, min(p.dst) AS low FROM path p JOIN path q ON q.package_id = p.package_id AND q.src = p.dst AND q.dst = p.src GROUP BY 1, 2), scc AS (SELECT DISTINCT v.package_id, v.name, least(v.name, coalesce(low, v.name)) AS scc FROM visit v LEFT JOIN back ON back.package_id = v.package_id AND back.name = v.name)"
 
 
-@register(f"WITH RECURSIVE {_CLOSURE} SELECT src, dst FROM path")
+@register(f"WITH RECURSIVE {_CLOSURE} SELECT package_id, src, dst FROM path")
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.closure(_edges(spark, sf_dir)).select("src", "dst")
+    return graph.closure(_edges(spark, sf_dir))
 
 
-@register(f"WITH RECURSIVE {_SCC} SELECT name, scc FROM scc")
+@register(f"WITH RECURSIVE {_SCC} SELECT package_id, name, scc FROM scc")
 def strong_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("name", "scc")
+    return graph.components(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("package_id", "name", "scc")
 
 
-_FLAGS = "node AS (SELECT s_suppkey AS name, s_acctbal > 2000 AS works, s_nationkey = 3 AS entry, s_nationkey % 4 <> 1 AS cand FROM supplier)"
+_KINDS = "node AS (SELECT DISTINCT package_id, name, event_type IN ('purchase', 'click') AS works, event_type = 'signup' AS entry, event_type <> 'error' AS cand FROM visit), using_ AS (SELECT DISTINCT e.package_id, e.src AS name FROM edge e JOIN node d ON d.package_id = e.package_id AND d.name = e.dst AND d.works)"
 
 
-@register(f"""WITH RECURSIVE {_SCC}, {_FLAGS},
-n AS (SELECT node.*, scc.scc, EXISTS (SELECT 1 FROM edge JOIN node d ON d.name = edge.dst WHERE edge.src = node.name AND d.works) AS uses FROM node JOIN scc ON scc.name = node.name),
-entered AS (SELECT DISTINCT d.scc FROM edge JOIN n s ON s.name = edge.src JOIN n d ON d.name = edge.dst WHERE s.scc <> d.scc AND EXISTS (SELECT 1 FROM n c WHERE c.scc = s.scc AND c.cand)),
-relevant AS (SELECT scc FROM n WHERE cand AND NOT entry AND (works OR uses) AND scc NOT IN (SELECT scc FROM entered) GROUP BY scc)
-SELECT name FROM n WHERE entry OR (cand AND scc IN (SELECT scc FROM relevant))""")
+@register(f"""WITH RECURSIVE {_SCC}, {_KINDS},
+n AS (SELECT node.*, scc.scc, u.name IS NOT NULL AS uses FROM node JOIN scc ON scc.package_id = node.package_id AND scc.name = node.name LEFT JOIN using_ u ON u.package_id = node.package_id AND u.name = node.name),
+cands AS (SELECT DISTINCT package_id, scc FROM n WHERE cand),
+entered AS (SELECT DISTINCT e.package_id, d.scc FROM edge e JOIN n s ON s.package_id = e.package_id AND s.name = e.src JOIN n d ON d.package_id = e.package_id AND d.name = e.dst JOIN cands c ON c.package_id = s.package_id AND c.scc = s.scc WHERE s.scc <> d.scc),
+relevant AS (SELECT DISTINCT n.package_id, n.scc FROM n LEFT JOIN entered x ON x.package_id = n.package_id AND x.scc = n.scc WHERE cand AND NOT entry AND (works OR uses) AND x.scc IS NULL)
+SELECT n.package_id, n.name FROM n LEFT JOIN relevant r ON r.package_id = n.package_id AND r.scc = n.scc WHERE entry OR (cand AND r.scc IS NOT NULL)""")
 def scc_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.roots(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("name")
+    return graph.roots(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("package_id", "name")
 
 
-@register(f"""WITH RECURSIVE {_LINES}, {_FLAGS},
-n AS (SELECT node.*, EXISTS (SELECT 1 FROM edge JOIN node d ON d.name = edge.dst WHERE edge.src = node.name AND d.works) AS uses, EXISTS (SELECT 1 FROM edge WHERE edge.dst = node.name) AS called FROM node),
-f AS (SELECT *, (entry AND works) OR (NOT called AND (works OR uses)) AS first FROM n)
-SELECT name FROM f WHERE first OR ((works OR uses) AND NOT EXISTS (SELECT 1 FROM f g WHERE g.first))""")
+@register(f"""WITH {_VISITS}, {_KINDS},
+n AS (SELECT node.*, u.name IS NOT NULL AS uses, c.dst IS NOT NULL AS called FROM node LEFT JOIN using_ u ON u.package_id = node.package_id AND u.name = node.name LEFT JOIN (SELECT DISTINCT package_id, dst FROM edge) c ON c.package_id = node.package_id AND c.dst = node.name),
+f AS (SELECT *, (entry AND works) OR (NOT called AND (works OR uses)) AS first FROM n),
+a AS (SELECT package_id, bool_or(first) AS any_first FROM f GROUP BY 1)
+SELECT f.package_id, f.name FROM f JOIN a ON a.package_id = f.package_id WHERE first OR ((works OR uses) AND NOT any_first)""")
 def in_degree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.in_degree_roots(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("name")
+    return graph.in_degree_roots(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select("package_id", "name")
 
 
-# The five above keep the filter of their SQL, 0.04 % of the succession edges; these take every edge.
+# The same on one dense graph: supplier to next supplier of an order, over all lines.
 
-_ALL_LINES = """
+_LINES = """
 line AS (SELECT l_suppkey, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS next_key FROM lineitem),
 edge AS (SELECT DISTINCT l_suppkey AS src, next_key AS dst FROM line WHERE next_key IS NOT NULL AND next_key <> l_suppkey)
 """
+_LINE_CLOSURE = f"{_LINES}, path(src, dst) AS (SELECT src, dst FROM edge UNION SELECT p.src, e.dst FROM path p JOIN edge e ON e.src = p.dst)"
+_LINE_SCC = f"{_LINE_CLOSURE}, scc AS (SELECT s_suppkey AS name, least(s_suppkey, coalesce(min(p.dst), s_suppkey)) AS scc FROM supplier LEFT JOIN path p ON p.src = s_suppkey AND EXISTS (SELECT 1 FROM path q WHERE q.src = p.dst AND q.dst = p.src) GROUP BY s_suppkey)"
+_FLAGS = "node AS (SELECT s_suppkey AS name, s_acctbal > 2000 AS works, s_nationkey = 3 AS entry, s_nationkey % 4 <> 1 AS cand FROM supplier)"
+
+
+def _all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = t(spark, sf_dir, "supplier")
+    return s.select(F.lit("tpch").alias("package_id"), F.col("s_suppkey").alias("name"), (F.col("s_acctbal") > 2000).alias("has_operations"), (F.col("s_nationkey") == 3).alias("is_entry_point"), (F.col("s_nationkey") % 4 != 1).alias("is_root_candidate"))
 
 
 def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,32 +359,39 @@ def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cut(lines.where("dst is not null and dst <> l_suppkey").select(F.lit("tpch").alias("package_id"), F.col("l_suppkey").alias("src"), "dst").distinct())
 
 
-@register(f"""WITH RECURSIVE {_ALL_LINES}, hit(name) AS (SELECT src FROM edge WHERE src NOT IN (SELECT dst FROM edge) UNION SELECT s_suppkey FROM supplier WHERE s_nationkey = 3 UNION SELECT e.dst FROM hit JOIN edge e ON e.src = hit.name) SELECT name FROM hit""")
+@register(f"""WITH RECURSIVE {_LINES}, hit(name) AS (SELECT src FROM edge WHERE src NOT IN (SELECT dst FROM edge) UNION SELECT s_suppkey FROM supplier WHERE s_nationkey = 3 UNION SELECT e.dst FROM hit JOIN edge e ON e.src = hit.name) SELECT name FROM hit""")
 def reachability_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _all_edges(spark, sf_dir)
     first = edges.select("package_id", F.col("src").alias("name")).join(edges.select("package_id", F.col("dst").alias("name")), ["package_id", "name"], "left_anti")
-    entries = _nodes(spark, sf_dir).where("is_entry_point").select("package_id", "name")
+    entries = _all_nodes(spark, sf_dir).where("is_entry_point").select("package_id", "name")
     return graph.reachable(edges, first.union(entries)).select("name")
 
 
-@register(ORACLES["closure"].replace(_LINES, _ALL_LINES))
+@register(f"WITH RECURSIVE {_LINE_CLOSURE} SELECT src, dst FROM path")
 def closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closure(_all_edges(spark, sf_dir)).select("src", "dst")
 
 
-@register(ORACLES["strong_components"].replace(_LINES, _ALL_LINES))
+@register(f"WITH RECURSIVE {_LINE_SCC} SELECT name, scc FROM scc")
 def strong_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_nodes(spark, sf_dir), _all_edges(spark, sf_dir)).select("name", "scc")
+    return graph.components(_all_nodes(spark, sf_dir), _all_edges(spark, sf_dir)).select("name", "scc")
 
 
-@register(ORACLES["scc_roots"].replace(_LINES, _ALL_LINES))
+@register(f"""WITH RECURSIVE {_LINE_SCC}, {_FLAGS},
+n AS (SELECT node.*, scc.scc, EXISTS (SELECT 1 FROM edge JOIN node d ON d.name = edge.dst WHERE edge.src = node.name AND d.works) AS uses FROM node JOIN scc ON scc.name = node.name),
+entered AS (SELECT DISTINCT d.scc FROM edge JOIN n s ON s.name = edge.src JOIN n d ON d.name = edge.dst WHERE s.scc <> d.scc AND EXISTS (SELECT 1 FROM n c WHERE c.scc = s.scc AND c.cand)),
+relevant AS (SELECT scc FROM n WHERE cand AND NOT entry AND (works OR uses) AND scc NOT IN (SELECT scc FROM entered) GROUP BY scc)
+SELECT name FROM n WHERE entry OR (cand AND scc IN (SELECT scc FROM relevant))""")
 def scc_roots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.roots(_nodes(spark, sf_dir), _all_edges(spark, sf_dir)).select("name")
+    return graph.roots(_all_nodes(spark, sf_dir), _all_edges(spark, sf_dir)).select("name")
 
 
-@register(ORACLES["in_degree_roots"].replace(_LINES, _ALL_LINES))
+@register(f"""WITH {_LINES}, {_FLAGS},
+n AS (SELECT node.*, EXISTS (SELECT 1 FROM edge JOIN node d ON d.name = edge.dst WHERE edge.src = node.name AND d.works) AS uses, EXISTS (SELECT 1 FROM edge WHERE edge.dst = node.name) AS called FROM node),
+f AS (SELECT *, (entry AND works) OR (NOT called AND (works OR uses)) AS first FROM n)
+SELECT name FROM f WHERE first OR ((works OR uses) AND NOT EXISTS (SELECT 1 FROM f g WHERE g.first))""")
 def in_degree_roots_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.in_degree_roots(_nodes(spark, sf_dir), _all_edges(spark, sf_dir)).select("name")
+    return graph.in_degree_roots(_all_nodes(spark, sf_dir), _all_edges(spark, sf_dir)).select("name")
 
 
 @register(r"""WITH names AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+')) AS name FROM benchmark),
@@ -388,11 +413,11 @@ def structural_implements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.structural_implements(structs, ifaces).select("struct", "iface")
 
 
-@register("""WITH s AS (SELECT DISTINCT s_nationkey AS owner, p_type AS name, p_brand AS sig FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' AND l_quantity = 50),
+@register("""WITH s AS (SELECT DISTINCT s_nationkey AS owner, p_type AS name, p_brand AS sig FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
 e AS (SELECT n_nationkey AS owner, (n_nationkey + 1) % 25 AS embedded FROM nation)
 SELECT e.owner, s.name, s.sig FROM e JOIN s ON s.owner = e.embedded WHERE NOT EXISTS (SELECT 1 FROM s o WHERE o.owner = e.owner AND o.name = s.name AND o.sig = s.sig)""")
 def embedded_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = t(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity = 50").join(t(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    lines = t(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct().join(t(spark, sf_dir, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     methods = lines.select(F.lit("p").alias("package_id"), F.col("s_nationkey").alias("owner"), F.col("p_type").alias("name"), F.col("p_brand").alias("sig"), F.lit("void").alias("ret")).distinct()
     structs = t(spark, sf_dir, "nation").select(F.lit("p").alias("package_id"), F.col("n_nationkey").alias("name"), F.array(((F.col("n_nationkey") + 1) % 25).cast("int")).alias("embeds"))
     return graph.promoted_methods(structs, methods).select("owner", "name", "sig")
@@ -459,7 +484,7 @@ def stub_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return t(spark, sf_dir, "events").select("event_id", text.json_int(F.col("props"), "k").alias("k"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:

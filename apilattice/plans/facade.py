@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apilattice.functions import classify
+from apilattice.functions.text import normalize_type
 from apilattice.operators import coverage as cov
 from apilattice.operators import detect, diagnostics, graph
 from apilattice.sources import index as api_index
@@ -18,14 +20,19 @@ LANGUAGE_DETECTION_FAILED, NO_SAMPLES_FOUND, NO_PACKAGES_FOUND = "LANGUAGE_DETEC
 
 @dataclass(frozen=True)
 class Language:
-    """What differs between languages: the key that names compare by, and the type predicates."""
+    """What differs between languages: the case of names, the rule for roots, and the edges besides references."""
 
     name: str
-    key: Column
+    any_case: bool = False
+    root_rule: Callable[[DataFrame, DataFrame], DataFrame] = graph.roots
+    extra: str = "iface_impl"
 
-    @classmethod
-    def of(cls, name: str) -> Language:
-        return cls(name, F.lower("name") if name == "dotnet" else F.col("name"))
+    def key(self, name: Column) -> Column:
+        """What names compare by."""
+        return F.lower(name) if self.any_case else name
+
+
+LANGUAGES = {x.name: x for x in (Language("dotnet", any_case=True), Language("java"), Language("typescript", root_rule=graph.in_degree_roots), Language("javascript", root_rule=graph.in_degree_roots), Language("python", extra="base_derived"), Language("go", extra="structural"))}
 
 
 def detect_source(packages: DataFrame, files: DataFrame) -> DataFrame:
@@ -36,17 +43,29 @@ def detect_source(packages: DataFrame, files: DataFrame) -> DataFrame:
     return found.select(*packages.columns, "language", "source_root", "samples_root", F.col("language").isNotNull().alias("success"), error.alias("error_code"))
 
 
-def reachable_clients(index: DataFrame, language: str, root_rule: str = "components") -> DataFrame:
-    """(package_id, name, depth) of the types that users reach."""
-    types = api_index.types(index)
+def _extra_edges(index: DataFrame, types: DataFrame, of: Language) -> DataFrame:
+    """From an interface to what implements it, from a base to what extends it, or to structs that have an interface's methods."""
+    if of.extra == "structural":
+        methods = types.select("package_id", "name", "kind", F.explode(F.filter("members", lambda m: m["kind"] == "method")).alias("m")).select("package_id", "name", "kind", F.col("m.name").alias("method"))
+        met = graph.structural_implements(methods.where("kind <> 'interface'"), methods.where("kind = 'interface'"))
+        return met.select("package_id", F.col("iface").alias("src"), F.col("struct").alias("dst"))
+    heads = F.array_compact(F.array_append("supers", F.col("base"))) if of.extra == "base_derived" else F.col("supers")
+    column = {"iface_impl": "supers", "base_derived": "bases"}[of.extra]
+    rows = types.select("package_id", "name", F.transform(heads, lambda x: of.key(normalize_type(x))).alias(column))
+    return graph.implementer_edges(rows, of.extra).select("package_id", "src", "dst")
+
+
+def reachable_clients(index: DataFrame, language: str) -> DataFrame:
+    """(package_id, name, depth) of the types that users reach; names as their last declaration writes them."""
+    of = LANGUAGES[language]
+    types = api_index.types(index).withColumn("shown", F.col("norm_name")).withColumn("name", of.key(F.col("norm_name")))
     works = classify.has_kind("method")
-    nodes = types.select("package_id", F.col("norm_name").alias("name"), works.alias("has_operations"), classify.true(F.col("entry_point")).alias("is_entry_point"), F.coalesce(classify.is_root_candidate(language), F.lit(True)).alias("is_root_candidate"), "type_ord")
+    nodes = types.select("package_id", "name", "shown", works.alias("has_operations"), classify.true(F.col("entry_point")).alias("is_entry_point"), F.coalesce(classify.is_root_candidate(language), F.lit(True)).alias("is_root_candidate"), "type_ord")
     nodes = graph.last_of_each_name(nodes, "type_ord")
-    edges = graph.reference_edges(api_index.referenced_names(index), nodes)
-    extra = graph.implementer_edges(types.select("package_id", F.col("norm_name").alias("name"), "supers")).select("package_id", "src", "dst")
-    rule = graph.roots if root_rule == "components" else graph.in_degree_roots
-    found = graph.reachable(edges.union(extra), rule(nodes, edges))
-    return found.join(nodes.select("package_id", "name"), ["package_id", "name"], "left_semi")
+    refs = api_index.referenced_names(index).select("package_id", of.key(F.col("name")).alias("name"), F.transform("refs", of.key).alias("refs"))
+    edges = graph.reference_edges(refs, nodes)
+    found = graph.reachable(edges.union(_extra_edges(index, types, of)), of.root_rule(nodes, edges))
+    return found.join(nodes.select("package_id", "name", "shown"), ["package_id", "name"]).select("package_id", F.col("shown").alias("name"), "depth")
 
 
 def api_graph(index: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +83,8 @@ def coverage(index: DataFrame, calls: DataFrame, variables: DataFrame, language:
     types = api_index.types(index).withColumn("name", F.col("norm_name"))
     ops = cov.client_methods(types, reachable_clients(index, language))
     old = api_index.members(index).where("deprecated").select("package_id", F.col("owner").alias("client"), F.col("name").alias("operation"))
-    done = cov.covered(cov.resolve_calls(calls, variables, ops, ops.select("package_id", "client", F.col("client").alias("root")).distinct() if language == "python" else None))
+    bases = types.select("package_id", F.col("name").alias("client"), F.explode(F.array_compact(F.array_append("supers", F.col("base")))).alias("base")).withColumn("base", normalize_type(F.col("base")))
+    done = cov.covered(cov.resolve_calls(calls, variables, ops, bases if language == "python" else None))
     return cov.report(ops, done, related, old)
 
 

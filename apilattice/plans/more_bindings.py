@@ -22,11 +22,14 @@ def type_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.select("package_id", "name", classify.is_client().alias("is_client"), classify.is_model("python").alias("is_model"), classify.is_error("python").alias("is_error"), classify.is_root_candidate("python").alias("is_root"))
 
 
-@register(r"""SELECT page_id, regexp_extract(url, '://([^/?#]*)', 1) AS namespace, regexp_matches(regexp_extract(url, '://([^/?#]*)', 1), '^(m|blog|www)(\.[^.]*)?$') AS is_entry FROM pages""")
+@register("""WITH n AS (SELECT p_partkey, p_type || CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN '.' || string_split(p_name, ' ')[1] WHEN 2 THEN '.' || string_split(p_name, ' ')[1] || '.x' ELSE '.Deep.' || p_brand END AS ns FROM part)
+SELECT p_partkey, ns AS namespace, CASE WHEN ns = 'ECONOMY' THEN true WHEN starts_with(ns, 'ECONOMY.') THEN ns NOT LIKE '%.%.%' WHEN ns = 'SMALL.Deep' THEN true WHEN starts_with(ns, 'SMALL.Deep.') THEN ns NOT LIKE '%.%.%.%' WHEN ns = 'SMALL' THEN true WHEN starts_with(ns, 'SMALL.') THEN ns NOT LIKE '%.%.%' ELSE false END AS is_entry FROM n""")
 def entry_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    roots = F.array(*map(F.lit, ("m", "blog", "www")))
-    return t(spark, sf_dir, "pages").select("page_id", host.alias("namespace"), classify.in_entry_namespace(host, roots).alias("is_entry"))
+    """Roots of other case, one below another: the first that fits decides."""
+    k, word = F.col("p_size") % 4, F.concat(F.lit("."), F.substring_index("p_name", " ", 1))
+    ns = F.concat("p_type", F.when(k == 0, "").when(k == 1, word).when(k == 2, F.concat(word, F.lit(".x"))).otherwise(F.concat(F.lit(".Deep."), "p_brand")))
+    roots = F.array(*map(F.lit, ("economy", "Economy.Deep", "small.DEEP", "Small")))
+    return t(spark, sf_dir, "part").select("p_partkey", ns.alias("namespace"), classify.in_entry_namespace(ns, roots).alias("is_entry"))
 
 
 @register(r"""SELECT p_partkey, p_size % 5 IN (0, 1) AS py, regexp_matches(n, '^\p{Lu}') AS go FROM (SELECT *, CASE p_size % 5 WHEN 0 THEN p_name WHEN 1 THEN '__init__' WHEN 2 THEN '_x' WHEN 3 THEN '__x' ELSE '_' || p_type END AS n FROM part)""")
@@ -114,7 +117,8 @@ methods AS (SELECT 'C' || CAST(user_id % 7 AS VARCHAR) AS client, event_type AS
 
 @register(f"""WITH {_CALLS}, r AS (SELECT event_id, operation, CASE WHEN user_id % 3 = 0 THEN 'C' || CAST(user_id % 7 AS VARCHAR) WHEN user_id % 3 = 1 THEN receiver END AS client FROM calls),
 sure AS (SELECT event_id, r.operation, r.client FROM r JOIN methods m ON m.client = r.client AND m.operation = r.operation),
-one AS (SELECT operation, min(client) AS client FROM methods GROUP BY 1 HAVING count(*) = 1)
+heirs AS (SELECT m.operation, m.client FROM methods m JOIN methods b ON b.operation = m.operation AND b.client = 'C' || CAST(CAST(substr(m.client, 2) AS INTEGER) - 1 AS VARCHAR)),
+one AS (SELECT m.operation, min(m.client) AS client FROM methods m WHERE NOT EXISTS (SELECT 1 FROM heirs h WHERE h.operation = m.operation AND h.client = m.client) GROUP BY 1 HAVING count(*) = 1)
 SELECT event_id, operation, client FROM sure UNION ALL SELECT r.event_id, r.operation, one.client FROM r JOIN one ON one.operation = r.operation WHERE r.event_id NOT IN (SELECT event_id FROM sure)""")
 def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = t(spark, sf_dir, "events")
@@ -123,8 +127,9 @@ def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = events.select(F.lit("p").alias("package_id"), F.lit("f").alias("file"), F.lit(0).alias("line"), F.col("event_id").alias("call_ord"), receiver.alias("receiver"), F.col("event_type").alias("operation"))
     variables = events.where("user_id % 3 = 0").select(F.lit("p").alias("package_id"), F.lit("f").alias("file"), F.concat(F.lit("v"), user).alias("name"), client.alias("client")).distinct()
     methods = events.where("event_type <> 'error' or user_id % 7 = 2").select(F.lit("p").alias("package_id"), client.alias("client"), F.col("event_type").alias("operation")).distinct()
-    roots = methods.select("package_id", "client", F.col("client").alias("root")).distinct()
-    return coverage.resolve_calls(calls, variables, methods, roots).select(F.col("call_ord").alias("event_id"), "operation", "client")
+    number = F.substring("client", 2, 1).cast("int")
+    bases = methods.select("package_id", "client", F.concat(F.lit("C"), (number - 1).cast("string")).alias("base")).distinct()
+    return coverage.resolve_calls(calls, variables, methods, bases).select(F.col("call_ord").alias("event_id"), "operation", "client")
 
 
 @register("""WITH o AS (SELECT DISTINCT c_mktsegment AS client, c_nationkey AS operation FROM customer), s AS (SELECT s_nationkey AS operation, min(s_suppkey) AS k FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
@@ -266,7 +271,8 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""SELECT o_orderkey, md5('{"o_orderkey":' || CAST(o_orderkey AS VARCHAR) || CASE WHEN o_orderstatus <> 'F' THEN ',"status":"' || o_orderstatus || '"' ELSE '' END || '}') AS json_md5 FROM orders""")
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status"))
-    return rows.select("o_orderkey", F.md5(F.to_json(F.struct("o_orderkey", "status"), {"ignoreNullFields": "true"})).alias("json_md5"))
+    made = api_index.to_json(rows)
+    return made.select(F.get_json_object("json", "$.o_orderkey").cast("bigint").alias("o_orderkey"), F.md5("json").alias("json_md5"))
 
 
 @register("""SELECT CAST(a.event_id AS VARCHAR) AS id, a.event_type AS method, b.event_type AS result FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE b.ts <= a.ts + INTERVAL 5 MINUTE""")

@@ -9,7 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from apilattice.functions.text import BUILTINS
+
 MOST_DEPTH = 10
+PYTHON_BUILTINS = frozenset(BUILTINS["python"])
 EXPORTS = "package_id string, export_path string, conditions array<string>, target string"
 SYMBOLS = "package_id string, name string, module string"
 
@@ -80,7 +83,7 @@ def entry_symbols(files: DataFrame) -> DataFrame:
 
 
 def annotation_refs(text: str | None) -> list[str]:
-    """Names that a Python annotation refers to: through generics, unions and quotes; dotted names whole."""
+    """Names that a Python annotation refers to: through generics, unions and quotes; dotted names whole, built-ins left out."""
     try:
         tree = ast.parse(text or "", mode="eval")
     except (SyntaxError, ValueError):
@@ -99,4 +102,4 @@ def annotation_refs(text: str | None) -> list[str]:
                 walk(child)
 
     walk(tree.body)
-    return list(dict.fromkeys(out))
+    return [n for n in dict.fromkeys(out) if n not in PYTHON_BUILTINS]

@@ -46,7 +46,7 @@ def test_exports(spark):
     assert exports.exported_names("from .a import B, _c\nfrom x.y import Z as W\n__all__ = ['B', 'D']") == [("B", ".a"), ("D", ""), ("W", "x.y")]
     files = spark.createDataFrame([("p", "k/__init__.py", "from .a import B"), ("p", "k/b.py", "from .a import C")], "package_id string, rel_path string, content string")
     assert [r.name for r in exports.entry_symbols(files).collect()] == ["B"]
-    assert exports.annotation_refs("Optional['List[a.B]'] | dict[str, C]") == ["Optional", "List", "a.B", "dict", "str", "C"]
+    assert exports.annotation_refs("Optional['List[a.B]'] | dict[str, C]") == ["a.B", "C"]
     assert exports.annotation_refs(None) == exports.annotation_refs("x[") == []
 
 
@@ -74,4 +74,8 @@ def test_more_operators(spark):
     plan = packing.load_plan(files, ["rel_path"], budget=600, limit=400)
     texts = spark.createDataFrame([("a", "x" * 100), ("b", "y" * 900), ("c", "z" * 50)], "rel_path string, content string")
     out = [r.text for r in packing.render_plan(plan, texts, files).orderBy("ord").collect()]
-    assert len(out) == 3 and "... (truncated)" in out[1] and out[2] == "// 1 files left out\n"
+    assert len(out) == 3 and out[0] == '<file path="a" size="100" tokens="~25">\n' + "x" * 100 + "\n</file>\n\n"
+    assert "\n// ... truncated ...\n</file>" in out[1] and out[2] == "<!-- 1 additional files omitted due to budget -->\n"
+    later = packing.load_plan(files, [F.col("size")], budget=600, limit=400)  # loading order, not that of the paths
+    shown = [r.text for r in packing.render_plan(later, texts, files, section="src").orderBy("ord").collect()]
+    assert shown[0] == "<src>\n" and shown[1].startswith('<file path="c"') and shown[2].startswith('<file path="a"') and shown[-1] == "</src>\n\n"

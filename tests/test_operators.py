@@ -23,9 +23,10 @@ def test_call_resolution(spark):
     calls = spark.createDataFrame([("p", "f", 1, 1, "c", "list"), ("p", "f", 2, 2, "x", "only"), ("p", "f", 3, 3, "x", "list"), ("p", "f", 4, 4, "Client", "list")], "package_id string, file string, line int, call_ord int, receiver string, operation string")
     variables = spark.createDataFrame([("p", "f", "c", "Client")], "package_id string, file string, name string, client string")
     methods = spark.createDataFrame([("p", "Client", "list"), ("p", "Other", "list"), ("p", "Other", "only")], OPS)
-    roots = spark.createDataFrame([("p", "Client", "Client"), ("p", "Other", "Other")], "package_id string, client string, root string")
-    got = {(r.line, r.client) for r in coverage.resolve_calls(calls, variables, methods, roots).collect()}
-    assert got == {(1, "Client"), (2, "Other"), (4, "Client")}
+    bases = lambda *pairs: spark.createDataFrame([("p", *x) for x in pairs], "package_id string, client string, base string")
+    found = lambda b: {(r.line, r.client) for r in coverage.resolve_calls(calls, variables, methods, b).collect()}
+    assert found(bases()) == {(1, "Client"), (2, "Other"), (4, "Client")}
+    assert found(bases(("Other", "Client"), ("Client", "Base"))) == {(1, "Client"), (2, "Other"), (3, "Client"), (4, "Client")}  # one root
     assert {r.line for r in coverage.resolve_calls(calls, variables, methods).collect()} == {1, 4}
 
 

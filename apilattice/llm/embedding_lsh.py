@@ -128,8 +128,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
 
     counts = found.groupBy("node").agg(F.sum("many").alias("many"))
     labels = components(found.where("root is not null").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct())
-    placed = nodes.select("node", "copies", "low").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    best = placed.groupBy("label").agg(F.min("low").alias("component"))
+    placed = table(nodes.select("node", "copies", "low").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "vector-placed")
+    best = table(placed.groupBy("label").agg(F.min("low").alias("component")), "vector-components")  # joins of tables can be split
     placed = placed.join(best, "label").join(counts, "node", "left").select("node", (F.coalesce("many", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component")
     out = rows.select("vec_id", "node").join(placed, "node", "left")
     component = F.coalesce("component", "vec_id")

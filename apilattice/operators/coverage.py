@@ -35,10 +35,10 @@ def resolve_calls(calls: DataFrame, variables: DataFrame, methods: DataFrame, ba
     single client that has it, or to the only one of them that has none of the others as base.
     """
     of = variables.select("package_id", "file", F.col("name").alias("receiver"), F.col("client").alias("_var"))
-    own = methods.select("package_id", F.col("client").alias("_self")).distinct()
+    own = methods.select(F.col("package_id").alias("_package"), F.col("client").alias("_self")).distinct()
     rows = calls.join(of, ["package_id", "file", "receiver"], "left")
-    rows = rows.join(own, (rows["package_id"] == own["package_id"]) & (rows["receiver"] == own["_self"]), "left").drop(own["package_id"])
-    rows = rows.withColumn("client", F.coalesce("_var", "_self")).drop("_var", "_self")
+    rows = rows.join(own, (F.col("package_id") == F.col("_package")) & (F.col("receiver") == F.col("_self")), "left")
+    rows = rows.withColumn("client", F.coalesce("_var", "_self")).drop("_var", "_self", "_package")
     known = methods.select(*OP).distinct()
     sure = rows.join(known, OP, "left_semi")
     if bases is None:

@@ -140,3 +140,59 @@ def quick_language(files: DataFrame, max_depth: int = 1) -> DataFrame:
     """(package_id, language) by the first language, in order of detection, with a build file near the root."""
     near = build_markers(files.where(depth("rel_path") <= max_depth))
     return near.groupBy("package_id").agg(F.min_by("language", "rank").alias("language"))
+
+
+#: Where each language keeps its sources, in order; ``*`` is any folder, ``.`` the project's own.
+CONVENTIONS = {
+    "dotnet": ("src", "."),
+    "python": ("src/*", "lib/*", "*/*/*", "*/*", "*", "."),
+    "java": ("src/main/java", "src", "*/src/main/java"),
+    "typescript": ("src", "lib", "."),
+    "javascript": ("src", "lib", "."),
+    "go": (".", "pkg", "pkg/*", "*"),
+}
+FIRST_MATCH = ("go", "dotnet")
+
+
+def conventional_source(files: DataFrame, language: str, extension: str) -> DataFrame:
+    """(package_id, source_root, n_files): the folder that conventions give to the sources of a package.
+
+    files(package_id, rel_path, ext), paths from the project's root.  A folder counts the files
+    below it; in Go, and for the root itself except in .NET, only those directly in it.  Go and
+    .NET take the first convention with files, others the one whose best folder has the most
+    (of equal ones the first; of its folders the first by name).  No files give no row.
+    """
+    dirs = F.split(folder("rel_path"), "/")
+    dirs = F.when(folder("rel_path") == "", F.array().cast("array<string>")).otherwise(dirs)
+    found = []
+    for rank, pattern in enumerate(CONVENTIONS[language]):
+        parts = [] if pattern == "." else pattern.split("/")
+        shallow = language == "go" or (not parts and language != "dotnet")
+        fits = F.size("_dirs") == len(parts) if shallow else F.size("_dirs") >= len(parts)
+        for k, part in enumerate(parts):
+            name = F.get("_dirs", F.lit(k))
+            fits = fits & (~F.lower(name).isin(*EXCLUDED) if part == "*" else name == part)
+        place = F.array_join(F.slice("_dirs", 1, len(parts)), "/") if parts else F.lit("")
+        found.append(F.when(fits, F.struct(F.lit(rank).alias("rank"), place.alias("source_root"))))
+    own = files.where(F.lower("ext") == extension).withColumn("_dirs", dirs)
+    rows = own.select("package_id", F.explode(F.array_compact(F.array(*found))).alias("c")).select("package_id", "c.*")
+    counts = rows.groupBy("package_id", "rank", "source_root").agg(F.count("*").alias("n_files"))
+    first = [F.col("rank"), F.col("n_files").desc()] if language in FIRST_MATCH else [F.col("n_files").desc(), F.col("rank")]
+    order = Window.partitionBy("package_id").orderBy(*first, "source_root")
+    return counts.withColumn("_n", F.row_number().over(order)).where("_n = 1").select("package_id", "source_root", "n_files")
+
+
+def script_language(files: DataFrame, manifests: DataFrame) -> DataFrame:
+    """(package_id, language): TypeScript with a tsconfig.json at the root or one folder below, else JavaScript with a package.json at
+    the root that is no private bundle of tools.
+
+    manifests(package_id, content) are the root's package.json; a broken one counts as a library.
+    """
+    name, level = F.substring_index("rel_path", "/", -1), depth("rel_path")
+    near = (name == "tsconfig.json") & ((level == 0) | ((level == 1) & ~F.lower(folder("rel_path")).isin(*EXCLUDED)))
+    flags = files.groupBy("package_id").agg(F.max(near).alias("_ts"), F.max(F.col("rel_path") == "package.json").alias("_js"))
+    has = lambda k: F.get_json_object("content", f"$.{k}").isNotNull()
+    tools = (F.get_json_object("content", "$.private") == "true") & ~(has("main") | has("exports") | has("module") | has("types") | has("typings"))
+    private = manifests.groupBy("package_id").agg(F.max(F.coalesce(tools, F.lit(False))).alias("_tools"))
+    language = F.when(F.col("_ts"), "typescript").when(F.col("_js") & ~F.coalesce("_tools", F.lit(False)), "javascript")
+    return flags.join(private, "package_id", "left").select("package_id", language.alias("language")).where("language is not null")

@@ -209,9 +209,16 @@ def error_types(types: DataFrame, root: str = "System.Exception") -> DataFrame:
     return reachable(up, start).where("depth > 0").select(*KEYS)
 
 
-def dependency_closure(pending: DataFrame, definitions: DataFrame, builtins: DataFrame) -> DataFrame:
-    """(name, dep_package): what pending(name) names need, through definitions(name, dep_package, refs), built-ins aside."""
-    known = definitions.join(builtins.select("name"), "name", "left_anti")
+def dependency_closure(pending: DataFrame, definitions: DataFrame, builtins: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(name, dep_package): what pending(name) names need, through definitions(name, dep_package, refs), built-ins aside.
+
+    aliases(alias, name): renamed imports; an alias needs what it stands for and is of its package.
+    """
+    known = definitions.select("name", "dep_package", "refs")
+    if aliases is not None:
+        named = aliases.join(known.select("name", "dep_package"), "name").select(F.col("alias"), "dep_package", F.array("name").alias("refs"))
+        known = known.union(named)
+    known = known.join(builtins.select("name"), "name", "left_anti")
     edges = known.select(F.lit("d").alias("package_id"), F.col("name").alias("src"), F.explode("refs").alias("dst"))
     found = reachable(edges, pending.select(F.lit("d").alias("package_id"), "name"))
     return found.join(known.select("name", "dep_package"), "name").select("name", "dep_package").distinct()

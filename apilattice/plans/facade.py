@@ -15,7 +15,7 @@ from apilattice.operators import detect, diagnostics, graph
 from apilattice.sources import index as api_index
 
 #: What an operation that fails reports.
-LANGUAGE_DETECTION_FAILED, NO_SAMPLES_FOUND, NO_PACKAGES_FOUND = "LANGUAGE_DETECTION_FAILED", "NO_SAMPLES_FOUND", "NO_PACKAGES_FOUND"
+ROOT_NOT_FOUND, LANGUAGE_DETECTION_FAILED, NO_SAMPLES_FOUND, NO_PACKAGES_FOUND = "ROOT_NOT_FOUND", "LANGUAGE_DETECTION_FAILED", "NO_SAMPLES_FOUND", "NO_PACKAGES_FOUND"
 
 
 @dataclass(frozen=True)
@@ -36,10 +36,14 @@ LANGUAGES = {x.name: x for x in (Language("dotnet", any_case=True), Language("ja
 
 
 def detect_source(packages: DataFrame, files: DataFrame) -> DataFrame:
-    """packages(package_id) with language, source_root, samples_root, success and error_code."""
+    """packages(package_id) with language, source_root, samples_root, success and error_code.
+
+    A package without any file has no root; one with a language but no samples succeeds.
+    """
     scanned = detect.scannable(files)
     found = packages.join(detect.source_folder(scanned), "package_id", "left").join(detect.samples_folder(files), "package_id", "left")
-    error = F.when(F.col("language").isNull(), LANGUAGE_DETECTION_FAILED)
+    found = found.join(files.select("package_id", F.lit(True).alias("_here")).distinct(), "package_id", "left")
+    error = F.when(F.col("_here").isNull(), ROOT_NOT_FOUND).when(F.col("language").isNull(), LANGUAGE_DETECTION_FAILED)
     return found.select(*packages.columns, "language", "source_root", "samples_root", F.col("language").isNotNull().alias("success"), error.alias("error_code"))
 
 
@@ -88,6 +92,12 @@ def coverage(index: DataFrame, calls: DataFrame, variables: DataFrame, language:
     return cov.report(ops, done, related, old)
 
 
+def coverage_errors(packages: DataFrame) -> DataFrame:
+    """(package_id, error_code) of packages(package_id, samples_root, language) that coverage cannot analyse."""
+    code = F.when(F.col("language").isNull(), LANGUAGE_DETECTION_FAILED).when(F.col("samples_root").isNull(), NO_SAMPLES_FOUND)
+    return packages.select("package_id", code.alias("error_code")).where("error_code is not null")
+
+
 def coverage_batch(reports: DataFrame, packages: DataFrame) -> DataFrame:
     """One row over packages(package_id, samples_root, language): analysed, skipped without samples, failed without a language."""
     status = F.when(F.col("language").isNull(), "failed").when(F.col("samples_root").isNull(), "skipped").otherwise("analyzed")

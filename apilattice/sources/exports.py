@@ -103,3 +103,14 @@ def annotation_refs(text: str | None) -> list[str]:
 
     walk(tree.body)
     return [n for n in dict.fromkeys(out) if n not in PYTHON_BUILTINS]
+
+
+def annotation_edges(annotations: DataFrame) -> DataFrame:
+    """(package_id, name, ref) from annotations(package_id, name, annotation): what each name's annotations refer to, once each."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, n, r) for p, n, a in zip(pdf["package_id"], pdf["name"], pdf["annotation"]) for r in annotation_refs(a)]
+            yield pd.DataFrame(rows, columns=["package_id", "name", "ref"])
+
+    return annotations.select("package_id", "name", "annotation").mapInPandas(parse, "package_id string, name string, ref string").distinct()

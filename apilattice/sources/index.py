@@ -99,3 +99,10 @@ def stubs(index: DataFrame, language: str) -> DataFrame:
     empty = F.when((body == "") & F.lit(language == "python"), F.lit("    ...\n")).otherwise(body)
     text = F.concat(doc(F.col("doc"), ""), F.lit(opening[0]), word, "name", after, heir, F.lit(opening[1]), empty, F.lit(closing))
     return types(index).select("package_id", "container", "type_ord", text.alias("stub"))
+
+
+def surface_sizes(index: DataFrame) -> DataFrame:
+    """(package_id, n_types, n_functions, has_surface): whether an index has anything to show."""
+    rows = index.select(F.col("package").alias("package_id"), F.explode_outer("containers").alias("c"))
+    sums = rows.groupBy("package_id").agg(F.sum(F.coalesce(F.size("c.types"), F.lit(0))).alias("n_types"), F.sum(F.coalesce(F.size("c.functions"), F.lit(0))).alias("n_functions"))
+    return sums.select("package_id", "n_types", "n_functions", (F.col("n_types") + F.col("n_functions") > 0).alias("has_surface"))

@@ -48,3 +48,25 @@ def correlate(requests: DataFrame, responses: DataFrame, timeout: str = "5 minut
 def to_lines(rows: DataFrame) -> DataFrame:
     """(value): a JSON line for each row, null fields left out."""
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "true"}).alias("value"))
+
+
+#: The kinds of session updates.
+UPDATES = ("user_message_chunk", "agent_message_chunk", "agent_thought_chunk", "tool_call", "tool_call_update", "plan", "available_commands_update", "current_mode_update")
+
+
+def session_updates(messages: DataFrame) -> DataFrame:
+    """The session updates among parsed messages: session_id, update, and what its kind carries (null otherwise).
+
+    text of message and thought chunks; tool_call_id, title and status of tool calls and their
+    updates; n_entries of a plan or of available commands; mode_id of a mode.  Other kinds are
+    dropped.
+    """
+    at = lambda path: F.get_json_object("params", f"$.{path}")
+    kind = at("update.sessionUpdate")
+    tool = F.col("update").isin("tool_call", "tool_call_update")
+    entries = F.coalesce(F.when(F.col("update") == "plan", at("update.entries")), F.when(F.col("update") == "available_commands_update", at("update.availableCommands")))
+    rows = messages.where(F.col("method") == "session/update").withColumn("update", kind).where(F.col("update").isin(*UPDATES))
+    return rows.select(
+        "*", at("sessionId").alias("session_id"), F.when(F.col("update").endswith("_chunk"), at("update.content.text")).alias("text"), F.when(tool, at("update.toolCallId")).alias("tool_call_id"), F.when(tool, at("update.title")).alias("title"), F.when(tool, at("update.status")).alias("status"),
+        F.json_array_length(entries).alias("n_entries"), F.when(F.col("update") == "current_mode_update", at("update.currentModeId")).alias("mode_id"),
+    )

@@ -18,7 +18,6 @@ Null and empty texts have no tokens.  Repeated rows are encoded each; other colu
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,48 +71,41 @@ class Coder:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find.findall(text)))
 
-    def part(self, text: str, start: int, last: bool) -> tuple[list[int], list[bytes]]:
-        """Ends of the trusted pieces of a chunk that begins at ``start``, and their ids."""
+    def part(self, text: str, start: int, last: bool) -> tuple[np.ndarray, np.ndarray, bytes]:
+        """Ends of the trusted pieces of a chunk that begins at ``start``, where each one's ids begin, and all ids."""
         found = self.find.findall(text)
-        ends, at = [], start
-        for piece in found:
-            at += len(piece)
-            ends.append(at)
-        if not last:
-            sound = bisect_right(ends, at - AHEAD)
+        ends = start + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        if not last and len(ends):
+            sound = int(np.searchsorted(ends, ends[-1] - AHEAD, "right"))
             ends, found = ends[:sound], found[:sound]
-        return ends, [self.pieces[p] for p in found]
+        ids = [self.pieces[p] for p in found]
+        return ends, np.cumsum([0, *map(len, ids)]), b"".join(ids)
 
-    def stitch(self, parts: list[tuple[int, str, list[int], list[bytes]]]) -> bytes:
-        """The ids of a whole text from its chunks (start, text, ends, ids) in order."""
+    def stitch(self, parts: list[tuple[int, str, np.ndarray, np.ndarray, bytes]]) -> bytes:
+        """The ids of a whole text from its chunks (start, text, ends, cuts, ids) in order."""
         out: list[bytes] = []
-        at, k = 0, 0
-        _, _, ends, ids = parts[0]
-        lo = 0
+        at, k, lo = 0, 0, 0
         while True:
+            _, _, ends, cuts, ids = parts[k]
             if k + 1 == len(parts):
-                out += ids[lo:]
+                out.append(ids[cuts[lo] :])
                 return b"".join(out)
-            start, _, next_ends, next_ids = parts[k + 1]
-            after = set(next_ends)
-            hi = bisect_left(ends, start, lo)
-            while hi < len(ends) and ends[hi] not in after and ends[hi] != start:
-                hi += 1
-            if hi < len(ends):
-                out += ids[lo : hi + 1]
-                at = ends[hi]
-                k += 1
-                lo = 0 if at == start else bisect_left(next_ends, at) + 1
-                ends, ids = next_ends, next_ids
-                continue
-            out += ids[lo:]  # no common place: go on from the last sound one
-            at = ends[-1] if ends and len(ends) > lo else at
-            k, at, more = self._onward(parts, k, at)
-            out += more
-            if k == len(parts):
-                return b"".join(out)
-            _, _, ends, ids = parts[k]
-            lo = 0 if at == parts[k][0] else bisect_left(ends, at) + 1
+            start, _, next_ends, _, _ = parts[k + 1]
+            begin = max(lo, int(np.searchsorted(ends, start)))
+            tail = ends[begin:]
+            common = np.flatnonzero(np.isin(tail, next_ends) | (tail == start))
+            if len(common):
+                hi = begin + int(common[0])
+                out.append(ids[cuts[lo] : cuts[hi + 1]])
+                at, k = int(ends[hi]), k + 1
+            else:  # no common place: go on from the last sound one
+                out.append(ids[cuts[lo] :])
+                at = int(ends[-1]) if len(ends) > lo else at
+                k, at, more = self._onward(parts, k, at)
+                out += more
+                if k == len(parts):
+                    return b"".join(out)
+            lo = 0 if at == parts[k][0] else int(np.searchsorted(parts[k][2], at)) + 1
 
     def _onward(self, parts: list, k: int, at: int) -> tuple[int, int, list[bytes]]:
         """Pre-tokenises from ``at`` until a boundary of a later chunk; the chunk, the place, the ids."""
@@ -123,7 +115,7 @@ class Coder:
                 have = at + len(text)
                 text += parts[upto][1][have - parts[upto][0] :]
             last = upto + 1 >= len(parts)
-            known = set(parts[upto][2]) | {parts[upto][0]} if upto < len(parts) else set()
+            known = {*parts[upto][2].tolist(), parts[upto][0]} if upto < len(parts) else set()
             here = at
             trusted: list[str] = []
             for m in self.find.finditer(text):
@@ -158,13 +150,13 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, chunk: int =
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value, chunk, overlap)
         for batch in slices(batches, 4):
-            ends, sizes, ids = [], [], []
+            ends, cuts, ids = [], [], []
             for start, last, t in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4))):
-                e, found = coder.part(t, start, last)
-                ends.append(np.array(e, np.int32).tobytes())
-                sizes.append(np.array([len(x) for x in found], np.int32).tobytes())
-                ids.append(b"".join(found))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 1, 2, 4)), *(pa.array(x, pa.binary()) for x in (ends, sizes, ids))], ["uid", "doc_id", "start", "text", "ends", "sizes", "ids"])
+                e, c, found = coder.part(t, start, last)
+                ends.append(e.astype(np.int32).tobytes())
+                cuts.append(c.astype(np.int32).tobytes())
+                ids.append(found)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 1, 2, 4)), *(pa.array(x, pa.binary()) for x in (ends, cuts, ids))], ["uid", "doc_id", "start", "text", "ends", "cuts", "ids"])
 
     def stitched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value, chunk, overlap)
@@ -176,8 +168,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, chunk: int =
                     yield made()
                     held = []
                 uid, doc = row["uid"], row["doc_id"]
-                cuts = np.cumsum(np.r_[0, np.frombuffer(row["sizes"], np.int32)]).tolist()
-                held.append((row["start"], row["text"], np.frombuffer(row["ends"], np.int32).tolist(), [row["ids"][a:b] for a, b in zip(cuts[:-1], cuts[1:])]))
+                held.append((row["start"], row["text"], np.frombuffer(row["ends"], np.int32), np.frombuffer(row["cuts"], np.int32), row["ids"]))
         if held:
             yield made()
 
@@ -188,7 +179,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, chunk: int =
     long_ = long_.withColumn("start", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(chunk))))
     last = F.col("start") + chunk >= F.length("text")
     long_ = long_.select("uid", "doc_id", "start", last.alias("last"), F.substring("text", F.col("start") + 1, F.lit(chunk + overlap)).alias("text"))
-    coded = long_.repartition("uid", "start").mapInArrow(parts, "uid bigint, doc_id bigint, start int, text string, ends binary, sizes binary, ids binary")
+    coded = long_.repartition("uid", "start").mapInArrow(parts, "uid bigint, doc_id bigint, start int, text string, ends binary, cuts binary, ids binary")
     joined = coded.repartition("uid").sortWithinPartitions("uid", "start").mapInArrow(also(stitched), schema)
     return short.union(joined)
 

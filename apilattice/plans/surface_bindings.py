@@ -11,7 +11,7 @@ from apilattice.plans import facade
 from apilattice.plans.bindings import _index_json, t
 from apilattice.plans.more_bindings import _FILES, _files
 from apilattice.registry import register
-from apilattice.sources import exports, python_ast
+from apilattice.sources import declarations, exports, python_ast
 from apilattice.sources import files as source_files
 from apilattice.sources import index as api_index
 from apilattice.streaming import messages
@@ -173,6 +173,27 @@ def python_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.covered(coverage.resolve_calls(calls, variables, methods)).select("package_id", "client", "operation", "line")
 
 
+@register(f"""WITH w AS (SELECT *, {_WORD} AS w, upper(left({_WORD}, 1)) || substr({_WORD}, 2) AS up FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS package_id, p_type AS name, CASE p_size % 4 WHEN 2 THEN 'struct' ELSE 'class' END AS kind, p_brand || ' parts.' AS doc,
+  CASE p_size % 4 WHEN 0 THEN [w || '(String q, int n) List<' || p_type || '>', 'size(null) int'] WHEN 1 THEN ['Name(null) string', up || '(string q, int n = 1) Task<' || p_type || '>'] WHEN 2 THEN ['Size(null) int', up || '(q string, n int) ([]' || p_type || ', error)'] ELSE ['size(null) number', w || '(q: string, n?: number) Promise<' || p_type || '[]>'] END AS members FROM w""")
+def declared_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source file of each part, in Java, C#, Go or TypeScript, read back."""
+    t_, w, up, b = F.col("p_type"), _word(), F.concat(F.upper(F.left(_word(), F.lit(1))), F.substr(_word(), F.lit(2))), F.col("p_brand")
+    lit = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    java = lit("package k;\n/** ", b, " parts. */\npublic class ", t_, " {\n  private int hidden = '{';\n  public List<", t_, "> ", w, "(String q, int n) { if (n > 0) { return null; } return null; }\n  public int size;\n}\n")
+    sharp = lit("namespace K\n{\n  /// <summary>", b, ' parts.</summary>\n  public class ', t_, "\n  {\n    public string Name { get; set; }\n    internal void Hidden() { }\n    public async Task<", t_, "> ", up, '(string q, int n = 1) { return Find("}"); }\n  }\n}\n')
+    go = lit("package k\n\n// ", b, " parts.\ntype ", t_, " struct {\n\tSize int // not { told\n\thidden string\n}\n\nfunc (t *", t_, ") ", up, "(q string, n int) ([]", t_, ", error) {\n\treturn nil, nil\n}\n")
+    script = lit("/** ", b, " parts. */\nexport class ", t_, " {\n  private hidden = `}`;\n  size: number;\n  async ", w, "(q: string, n?: number): Promise<", t_, "[]> { return [] }\n}\n")
+    part = t(spark, sf_dir, "part").withColumn("package_id", F.col("p_partkey").cast("string"))
+    made = None
+    for k, (language, code) in enumerate((("java", java), ("dotnet", sharp), ("go", go), ("typescript", script))):
+        rows = part.where(F.col("p_size") % 4 == k).select("package_id", F.lit("k/a" + declarations.EXTENSIONS[language]).alias("rel_path"), code.alias("content"))
+        types = api_index.types(declarations.as_index(declarations.extract_types(rows, language)))
+        made = types if made is None else made.unionByName(types)
+    shown = lambda m: F.concat(m["name"], F.coalesce(m["sig"], F.lit("(null)")), F.lit(" "), m["ret"])
+    return made.select("package_id", "name", "kind", "doc", F.transform("members", shown).alias("members"))
+
+
 # --- packing and coverage ---------------------------------------------------------------------
 
 

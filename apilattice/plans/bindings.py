@@ -104,15 +104,15 @@ def usage_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- column functions ---------------------------------------------------------------------
 
 
-@register(r"""SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '[\p{L}\p{Nd}_]+'))) AS INTEGER) AS n_tokens FROM documents""")
+@register(r"""SELECT doc_id, md5(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[\p{L}\p{Nd}_]+'))), ' ')) AS tokens_md5 FROM documents""")
 def signature_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "documents").select("doc_id", F.size(text.tokens(F.col("text"))).alias("n_tokens"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(F.sort_array(text.tokens(F.col("text"))), " ")).alias("tokens_md5"))
 
 
 @register(r"""WITH m AS (SELECT item_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_\.]*') AS x FROM benchmark)
-SELECT item_id, CAST(len(x) + len(list_filter(x, lambda s: regexp_matches(s, '^.+\.[^.]+$'))) AS INTEGER) AS n_tokens FROM m""")
+SELECT item_id, md5(array_to_string(flatten(list_transform(x, lambda s: CASE WHEN regexp_matches(s, '^.+\.[^.]+$') THEN [s, regexp_extract(s, '^.+\.([^.]+)$', 1)] ELSE [s] END)), ' ')) AS tokens_md5 FROM m""")
 def type_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t(spark, sf_dir, "benchmark").select("item_id", F.size(text.type_tokens(F.col("text"))).alias("n_tokens"))
+    return t(spark, sf_dir, "benchmark").select("item_id", F.md5(F.array_join(text.type_tokens(F.col("text")), " ")).alias("tokens_md5"))
 
 
 @register(r"""SELECT p_partkey, p_type AS norm_name, string_split(p_name, ' ')[-1] AS last_name, p_brand AS plain_name, lower(p_type) AS folded FROM part""")
@@ -501,16 +501,25 @@ def msg_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.dispatch(messages.parse(_lines(spark, sf_dir))).groupBy("kind", "side").agg(F.count("*").alias("n"))
 
 
-@register("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, CAST(count(*) AS BIGINT) AS n_objects FROM conversations GROUP BY 1""")
+@register("""SELECT CAST(conv_id AS VARCHAR) AS stream_id, role, md5(text) AS text_md5 FROM conversations""")
 def chunked_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = t(spark, sf_dir, "conversations")
     line = F.concat(F.to_json(F.struct("role", "text")), F.lit(",\n```\n"))
     half = F.floor(F.length(line) / 2).cast("int")
     chunks = turns.select(F.col("conv_id").cast("string").alias("stream_id"), F.explode(F.array(F.struct((F.col("turn") * 2).alias("seq"), F.left(line, half).alias("chunk")), F.struct((F.col("turn") * 2 + 1).alias("seq"), F.substr(line, half + 1).alias("chunk")))).alias("c")).select("stream_id", "c.*")
-    return objects.objects(chunks).groupBy("stream_id").agg(F.count("*").alias("n_objects"))
+    made = objects.objects(chunks)
+    return made.select("stream_id", F.get_json_object("json", "$.role").alias("role"), F.md5(F.get_json_object("json", "$.text")).alias("text_md5"))
 
 
-@register("""SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1 THEN 'Which SDK folder?' ELSE 'Not a folder. Which SDK folder?' END AS reply, 'AwaitingSdkPath' AS state FROM conversations""")
+_STEPS = ("hello", "not a folder", "/sdk", "", "31", "4", "maybe", "yes", "code", "more")
+
+
+@register("""WITH n AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS seq, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS k, conv_id % 7 = 3 AS stops FROM conversations)
+SELECT session_id, seq, CASE WHEN stops AND k >= 5 THEN CASE WHEN k = 5 THEN 'cancelled' ELSE 'done' END ELSE CASE k WHEN 1 THEN 'Which SDK folder?' WHEN 2 THEN 'Not a folder. Which SDK folder?' WHEN 3 THEN 'Which output folder?' WHEN 4 THEN 'How many samples?' WHEN 5 THEN 'A number from 1 to 20?' WHEN 6 THEN 'Generate?' WHEN 7 THEN 'Generate?' WHEN 8 THEN 'prompt' WHEN 9 THEN 'saved' ELSE 'done' END END AS reply,
+CASE WHEN stops AND k >= 5 THEN 'Complete' ELSE CASE k WHEN 1 THEN 'AwaitingSdkPath' WHEN 2 THEN 'AwaitingSdkPath' WHEN 3 THEN 'AwaitingOutputFolder' WHEN 4 THEN 'AwaitingSampleCount' WHEN 5 THEN 'AwaitingSampleCount' WHEN 6 THEN 'AwaitingPromptConfirmation' WHEN 7 THEN 'AwaitingPromptConfirmation' WHEN 8 THEN 'AwaitingSamples' ELSE 'Complete' END END AS state FROM n""")
 def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "text")
+    """Each turn of a conversation is the next step of a session; some cancel at the fifth."""
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    said = F.coalesce(F.get(F.array(*map(F.lit, _STEPS)), k - 1), F.lit("more"))
+    turns = t(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.when((F.col("conv_id") % 7 == 3) & (k == 5), " Cancel ").otherwise(said).alias("text"))
     return sessions.sessions(turns).select("session_id", "seq", "reply", "state")

@@ -225,21 +225,24 @@ def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- reports, diagnostics, messages --------------------------------------------------------------
 
 
-@register("""WITH u AS (SELECT CAST(conv_id AS VARCHAR) AS package_id, role AS id, 't' AS text, CAST(NULL AS VARCHAR) AS target_type FROM conversations WHERE turn < 2),
-n AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS package_id, role AS id, 't' AS text FROM conversations)
-SELECT package_id, id, CAST(count(*) AS BIGINT) AS n FROM (SELECT package_id, id FROM u UNION ALL SELECT package_id, id FROM n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.package_id = n.package_id AND u.id = n.id)) GROUP BY 1, 2""")
+@register("""WITH u AS (SELECT CAST(conv_id AS VARCHAR) AS package_id, role AS id, turn FROM conversations WHERE turn < 2),
+i AS (SELECT CAST(conv_id AS VARCHAR) AS package_id, role AS id, turn FROM conversations WHERE turn = 3),
+n AS (SELECT CAST(conv_id AS VARCHAR) AS package_id, role AS id, min(turn) AS turn FROM conversations GROUP BY 1, 2),
+a AS (SELECT *, 0 AS part FROM u UNION ALL SELECT *, 1 FROM i UNION ALL SELECT *, 2 FROM n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.package_id = n.package_id AND u.id = n.id) AND NOT EXISTS (SELECT 1 FROM i WHERE i.package_id = n.package_id AND i.id = n.id))
+SELECT package_id, id, CAST(row_number() OVER (PARTITION BY package_id ORDER BY part, turn) AS INTEGER) AS ord FROM a""")
 def merged_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turns come from upstream, the third from the index, all others are new; the turn is each part's order."""
     none = F.lit(None).cast("string")
-    rows = t(spark, sf_dir, "conversations").select("turn", F.col("conv_id").cast("string").alias("package_id"), F.col("role").alias("id"), F.lit("t").alias("text"), F.lit(1).alias("level"), none.alias("target_type"), none.alias("target_member"))
-    first = rows.where("turn < 2").drop("turn")
-    return diagnostics.merged(first, first.limit(0), rows.drop("turn")).groupBy("package_id", "id").agg(F.count("*").alias("n"))
+    rows = t(spark, sf_dir, "conversations").select(F.col("turn").alias("ord"), F.col("conv_id").cast("string").alias("package_id"), F.col("role").alias("id"), F.lit("t").alias("text"), F.lit(1).alias("level"), none.alias("target_type"), none.alias("target_member"))
+    return diagnostics.merged(rows.where("ord < 2"), rows.where("ord = 3"), rows).select("package_id", "id", "ord")
 
 
 @register(r"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS package_id, unnest(string_split(text, chr(10))) AS x FROM documents)
-SELECT package_id, CAST(count(*) AS BIGINT) AS n_lines FROM l WHERE regexp_replace(x, '\s', '', 'g') <> '' GROUP BY 1""")
+SELECT package_id, id, CAST(count(*) AS BIGINT) AS n_lines, md5(string_agg(md5(trim(x, ' ')), '' ORDER BY md5(trim(x, ' ')))) AS lines_md5 FROM (SELECT *, 'SDKWARN' AS id FROM l) WHERE regexp_replace(x, '\s', '', 'g') <> '' GROUP BY 1, 2""")
 def stderr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     streams = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("package_id"), F.col("text").alias("stderr"))
-    return diagnostics.from_stderr(streams).groupBy("package_id").agg(F.count("*").alias("n_lines"))
+    lines = F.array_join(F.sort_array(F.collect_list(F.md5("text"))), "")
+    return diagnostics.from_stderr(streams).groupBy("package_id", "id").agg(F.count("*").alias("n_lines"), F.md5(lines).alias("lines_md5"))
 
 
 @register("""WITH d AS (SELECT p_brand AS package_id, p_type AS client, p_name AS operation, min(p_partkey) AS line FROM part WHERE p_size < 25 GROUP BY 1, 2, 3),

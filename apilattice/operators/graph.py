@@ -1,18 +1,24 @@
 """Type-reference graphs: edges, reachability, components, roots, closures.
 
-Nodes are (package_id, name); edges are (package_id, src, dst).  Loops run on the driver,
-each step being joins; lineage is cut with reliable checkpoints in the shared folder.
+Nodes are (package_id, name); edges are (package_id, src, dst).  A package of at most ``LOCAL``
+nodes and edges is walked whole in one task; larger ones go step by step over all tasks, loops
+on the driver whose steps are joins.  Lineage is cut with reliable checkpoints in the shared
+folder.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 KEYS = ["package_id", "name"]
 COMPACT = 16
+LOCAL = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,12 +51,74 @@ def implementer_edges(types: DataFrame, kind: str = "iface_impl") -> DataFrame:
     return types.select("package_id", F.explode(column).alias("src"), F.col("name").alias("dst"), F.lit(kind).alias("edge_kind")).where("src <> dst").distinct()
 
 
-def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(package_id, name, depth): what the roots reach, with the steps it takes; unknown targets too.
+def _by_size(nodes: DataFrame, edges: DataFrame, walk: Callable[[list, list], dict], value: str, steps: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """(package_id, name, value): walk(nodes, edges) -> {name: value} in one task for each small package, steps(nodes, edges) for the others."""
+    name = nodes.schema["name"].dataType
+    rows = nodes.select("package_id", F.col("name").alias("src"), F.lit(None).cast(name).alias("dst")).union(edges.select("package_id", "src", "dst"))
+    rows = cut(rows.where("src is not null").distinct())
+    large = cut(rows.groupBy("package_id").agg(F.count("*").alias("_n")).where(F.col("_n") > LOCAL).select("package_id"))
+    kind = "int" if value == "depth" else name.simpleString()
+    package = rows.schema["package_id"].dataType
+    types = [to_arrow_type(package), to_arrow_type(name), pa.int32() if value == "depth" else to_arrow_type(name)]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, alone, ends, made = None, [], [], ([], [], [])
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types)], ["package_id", "name", value])
+
+        def walked() -> None:
+            found = walk(alone, ends)
+            for have, more in zip(made, ([now] * len(found), found.keys(), found.values())):
+                have.extend(more)
+
+        for batch in batches:
+            for at, src, dst in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != now:
+                    walked()
+                    now, alone, ends = at, [], []
+                    if len(made[0]) > 50_000:
+                        yield flush()
+                        made = ([], [], [])
+                if dst is None:
+                    alone.append(src)
+                else:
+                    ends.append((src, dst))
+        walked()
+        yield flush()
+
+    schema = f"package_id {package.simpleString()}, name {name.simpleString()}, {value} {kind}"
+    small = rows.join(large, "package_id", "left_anti").select("package_id", "src", "dst")
+    out = small.repartition("package_id").sortWithinPartitions("package_id").mapInArrow(local, schema)
+    if large.isEmpty():
+        return out
+    rest = cut(rows.join(large, "package_id", "left_semi"))
+    made = steps(rest.where("dst is null").select("package_id", F.col("src").alias("name")), rest.where("dst is not null"))
+    return out.union(made.select("package_id", "name", F.col(value).cast(kind)))
 
-    Every step joins only the new nodes with the edges, drops those already seen and appends the
-    rest; what was seen is written anew only every COMPACT steps.
-    """
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(package_id, name, depth): what the roots reach, with the steps it takes; unknown targets too."""
+    return _by_size(roots, edges, _walk_from, "depth", _reach)
+
+
+def _walk_from(roots: list, edges: list) -> dict:
+    near: dict = {}
+    for a, b in edges:
+        near.setdefault(a, []).append(b)
+    depth, new = dict.fromkeys(roots, 0), list(roots)
+    while new:
+        after = []
+        for a in new:
+            for b in near.get(a, ()):
+                if b not in depth:
+                    depth[b] = depth[a] + 1
+                    after.append(b)
+        new = after
+    return depth
+
+
+def _reach(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every step joins only the new nodes with the edges, drops those already seen and appends the rest; what was seen is written anew
+    only every COMPACT steps."""
     edges = cut(edges.select("package_id", "src", "dst").distinct())
     seen = new = cut(roots.select(*KEYS).distinct().withColumn("depth", F.lit(0)))
     depth = 0
@@ -86,12 +154,55 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(package_id, name, scc): strongly connected components, named by their smallest member.
-
-    A node without edges in or out is its own component and leaves at once.  Then colouring:
-    every open node takes the largest name that reaches it; within a colour, what reaches back
-    to the colour's own node is one component and leaves the graph.
-    """
+    """(package_id, name, scc): strongly connected components of ``nodes``, named by their smallest member; other ends of edges count as no nodes."""
+    known = edges.select("package_id", "src", "dst").where("src <> dst")
+    return _by_size(nodes.select(*KEYS), known, _walk_components, "scc", _coloured)
+
+
+def _walk_components(nodes: list, edges: list) -> dict:
+    """Tarjan's algorithm without recursion."""
+    near: dict = {n: [] for n in nodes}
+    for a, b in edges:
+        if a in near and b in near:
+            near[a].append(b)
+    index, low, on, stack, scc = {}, {}, set(), [], {}
+    for start in nodes:
+        if start in index:
+            continue
+        work = [(start, iter(near[start]))]
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        on.add(start)
+        while work:
+            node, after = work[-1]
+            for b in after:
+                if b not in index:
+                    index[b] = low[b] = len(index)
+                    stack.append(b)
+                    on.add(b)
+                    work.append((b, iter(near[b])))
+                    break
+                if b in on:
+                    low[node] = min(low[node], index[b])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    at = len(stack) - 1
+                    while stack[at] != node:
+                        at -= 1
+                    least = min(stack[at:])
+                    for member in stack[at:]:
+                        scc[member] = least
+                        on.discard(member)
+                    del stack[at:]
+    return scc
+
+
+def _coloured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A node without edges in or out is its own component and leaves at once.  Then colouring: every open node takes the largest name that
+    reaches it; within a colour, what reaches back to the colour's own node is one component and leaves the graph."""
     open_ = cut(nodes.select(*KEYS).distinct())
     edges = edges.select("package_id", "src", "dst").where("src <> dst").distinct()
     found = None
@@ -110,7 +221,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         of = lambda c: colours.select("package_id", F.col("name").alias(c), F.col("colour").alias(f"{c}_colour"))
         inside = edges.join(of("src"), ["package_id", "src"]).join(of("dst"), ["package_id", "dst"]).where("src_colour = dst_colour")
         back = inside.select("package_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-        members = reachable(back, own.select(*KEYS)).select(*KEYS).join(colours, KEYS)
+        members = _reach(own.select(*KEYS), back).select(*KEYS).join(colours, KEYS)
         done = members.select(*KEYS, F.min("name").over(Window.partitionBy("package_id", "colour")).alias("scc"))
         done = cut(done)
         found = cut(found.union(done))

@@ -42,6 +42,19 @@ def test_roots_and_reachability(spark, nodes, refs, extra, want):
     assert found(spark, nodes, refs, extra)[0] == want
 
 
+def test_walk_and_steps_agree(spark, monkeypatch):
+    rnd = random.Random(7)
+    edges = [(p, rnd.randrange(n), rnd.randrange(n)) for p, n in (("a", 12), ("b", 40), ("c", 3)) for _ in range(n)]
+    e = spark.createDataFrame(edges, "package_id string, src bigint, dst bigint")
+    roots = spark.createDataFrame([("a", 0), ("b", 1), ("b", 2), ("c", 99)], "package_id string, name bigint")
+    nodes = spark.createDataFrame([(p, k) for p, n in (("a", 12), ("b", 40), ("d", 2)) for k in range(n)], "package_id string, name bigint")
+    got = []
+    for local in (100_000, 30, 0):
+        monkeypatch.setattr(graph, "LOCAL", local)
+        got.append((sorted(map(tuple, graph.reachable(e, roots).collect())), sorted(map(tuple, graph.components(nodes, e).collect()))))
+    assert got[0] == got[1] == got[2] and ("c", 99, 0) in got[0][0]
+
+
 def test_empty(spark):
     n, e = make(spark, {}, [])
     assert graph.roots(n, e).count() == 0 and graph.components(n, e).count() == 0
@@ -55,8 +68,9 @@ def components_of(nodes, edges):
     return {n: min(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_components_and_closure(spark, seed):
+@pytest.mark.parametrize("seed, local", [(0, 0), (1, 0), (2, 100_000), (3, 20)])
+def test_random_components_and_closure(spark, seed, local, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL", local)
     rnd = random.Random(seed)
     nodes = [f"n{k:02d}" for k in range(14)]
     edges = {(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(18)}

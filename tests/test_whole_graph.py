@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from apilattice import registry
+from apilattice.operators import graph
 
 QUERIES = registry.load()
 NATION = {0: 3, 20: 7}
@@ -39,7 +40,9 @@ def test_closure_and_reachability(spark, tables):
     assert rows(spark, "reachability_all", folder) == sorted((k,) for k in first | {b for a, b in reach if a in first})
 
 
-def test_components(spark, tables):
+@pytest.mark.parametrize("local", [0, 100_000])
+def test_components(spark, tables, local, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL", local)
     folder, _, reach = tables
     same = {k: min([k] + [b for a, b in reach if a == k and (b, k) in reach]) for k in range(34)}
     assert rows(spark, "strong_components_all", folder) == sorted(same.items())

@@ -194,6 +194,34 @@ def declared_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("package_id", "name", "kind", "doc", F.transform("members", shown).alias("members"))
 
 
+_STUB = """SELECT p_brand AS package_id, md5({head} || {body}) AS stub_md5 FROM (SELECT p_brand, p_size, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS n FROM part)"""
+_KEY = "CASE WHEN p_size % 7 = 0 THEN '{}ValueError' ELSE '' END"
+
+
+def _stub(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    return api_index.stubs(api_index.parse_indexes(_index_json(spark, sf_dir)), language).select("package_id", F.md5("stub").alias("stub_md5"))
+
+
+@register(_STUB.format(head="'public class ' || n || " + _KEY.format(" extends ") + " || ' {' || chr(10)", body="CASE p_size % 3 WHEN 0 THEN '    public string run();' || chr(10) WHEN 1 THEN '    public string size;' || chr(10) ELSE '' END || '}' || chr(10)"))
+def java_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stub(spark, sf_dir, "java")
+
+
+@register(_STUB.format(head="'public class ' || n || " + _KEY.format(" : ") + " || ' {' || chr(10)", body="CASE p_size % 3 WHEN 0 THEN '    public string run();' || chr(10) WHEN 1 THEN '    public string size { get; }' || chr(10) ELSE '' END || '}' || chr(10)"))
+def dotnet_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stub(spark, sf_dir, "dotnet")
+
+
+@register(_STUB.format(head="'export class ' || n || " + _KEY.format(" extends ") + " || ' {' || chr(10)", body="CASE p_size % 3 WHEN 0 THEN '    run(): string;' || chr(10) WHEN 1 THEN '    size: string;' || chr(10) ELSE '' END || '}' || chr(10)"))
+def typescript_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stub(spark, sf_dir, "typescript")
+
+
+@register(_STUB.format(head="'type ' || n || ' struct {' || chr(10)", body="CASE p_size % 3 WHEN 0 THEN '}' || chr(10) || 'func (' || n || ') run() string' || chr(10) WHEN 1 THEN '    size string' || chr(10) || '}' || chr(10) ELSE '}' || chr(10) END"))
+def go_stubs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stub(spark, sf_dir, "go")
+
+
 # --- packing and coverage ---------------------------------------------------------------------
 
 

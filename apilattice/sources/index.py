@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apilattice.functions.text import normalize_type, tokens
@@ -31,7 +31,7 @@ def types(index: DataFrame) -> DataFrame:
     id_ = F.coalesce("t.id", F.concat_ws(".", F.col("container"), F.col("t.name")))
     none = F.array().cast("array<string>")
     lists = [F.coalesce(f"t.{c}", none).alias(c) for c in ("supers", "embeds", "referenced_types")]
-    plain = [F.col(f"t.{c}").alias(c) for c in ("name", "kind", "base", "entry_point", "deprecated", "is_error", "doc", "members")]
+    plain = [F.col(f"t.{c}").alias(c) for c in ("name", "kind", "base", "entry_point", "deprecated", "is_error", "doc", "values", "members")]
     return rows.select("package_id", "container", "condition", "export_path", (F.col("ord") * 1_000_000 + F.col("type_ord")).alias("type_ord"), id_.alias("type_id"), normalize_type(F.col("t.name")).alias("norm_name"), *plain, *lists)
 
 
@@ -72,33 +72,76 @@ def to_json(rows: DataFrame, pretty: bool = False) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), options).alias("json"))
 
 
+def _lines(*parts) -> Column:
+    """Text of columns and strings; a null part counts as empty."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("")) for p in parts])
+
+
+def _listed(before: str, names: Column, after: str = "") -> Column:
+    return F.when(F.size(names) > 0, _lines(before, F.array_join(names, ", "), after)).otherwise("")
+
+
+def _note(doc: Column, old: Column, pad: str, language: str) -> Column:
+    """Documentation and deprecation before a declaration, in the language's own form."""
+    flat = F.nullif(F.trim(F.regexp_replace(doc, r"\s+", " ")), F.lit(""))
+    one = {"python": ("# ", ""), "go": ("// ", ""), "dotnet": ("/// <summary>", "</summary>")}.get(language, ("/** ", " */"))
+    text = F.when(flat.isNotNull(), _lines(pad + one[0], flat, one[1] + "\n"))
+    mark = {"python": "@deprecated\n", "java": "@Deprecated\n", "dotnet": "[Obsolete]\n", "go": "// Deprecated\n", "typescript": "/** @deprecated */\n"}[language]
+    return _lines(text, F.when(F.coalesce(old, F.lit(False)), F.lit(pad + mark)))
+
+
+def _stub_member(m: Column, language: str, pad: str = "    ") -> Column:
+    call = m["kind"].isin("method", "function", "ctor", "operator")
+    sig, ret = F.coalesce(m["sig"], F.lit("()")), F.nullif(m["ret"], F.lit(""))
+    static, later = F.when(m["is_static"], F.lit("static ")), F.when(m["is_async"], F.lit("async "))
+    typed = lambda sign: F.when(ret.isNotNull(), _lines(sign, ret))
+    if language == "python":
+        text = F.when(call, _lines(F.when(m["is_static"], F.lit(f"@staticmethod\n{pad}")), later, "def ", m["name"], sig, typed(" -> "), ": ...")).otherwise(_lines(m["name"], typed(": ")))
+    elif language == "typescript":
+        text = F.when(call, _lines(static, F.when(m["kind"] == "ctor", "constructor").otherwise(m["name"]), sig, typed(": "), ";")).otherwise(_lines(static, m["name"], typed(": "), ";"))
+    elif language == "go":
+        text = F.when(call, _lines(m["name"], sig, typed(" "))).otherwise(_lines(m["name"], typed(" ")))
+    else:
+        tail = ";" if language == "java" else " { get; }"
+        before = _lines("public ", static, F.when(ret.isNotNull(), _lines(ret, " ")))
+        text = F.when(call, _lines(before, m["name"], sig, ";")).otherwise(_lines(before, m["name"], F.when(m["kind"] == "property", tail).otherwise(";")))
+    return _lines(_note(m["doc"], m["deprecated"], pad, language), pad, text, "\n")
+
+
 def stubs(index: DataFrame, language: str) -> DataFrame:
-    """(package_id, container, type_ord, stub): a declaration of each type in the language's own form."""
-    opening = {"python": ("class ", ":\n"), "go": ("type ", " {\n"), "java": ("public ", " {\n"), "dotnet": ("public ", " {\n"), "typescript": ("export ", " {\n")}[language]
-    closing = "" if language == "python" else "}\n"
-    word = {"python": F.lit(""), "go": F.lit("")}.get(language, F.concat("kind", F.lit(" ")))
-    after = {"go": F.concat(F.lit(" "), "kind")}.get(language, F.lit(""))
-    doc = lambda text, pad: F.when(text.isNotNull() & (text != ""), F.concat(F.lit(pad + ("# " if language == "python" else "// ")), F.regexp_replace(text, r"\s+", " "), F.lit("\n"))).otherwise(F.lit(""))
-
-    def member(m):
-        sig, ret = F.coalesce(m["sig"], F.lit("()")), F.coalesce(m["ret"], F.lit(""))
-        call = m["kind"].isin("method", "function", "ctor", "operator")
-        tail = F.when(ret != "", F.concat(F.lit({"python": " -> ", "typescript": ": "}.get(language, " ")), ret)).otherwise(F.lit(""))
-        if language in ("java", "dotnet"):
-            text = F.concat(F.when(ret != "", F.concat(ret, F.lit(" "))).otherwise(F.lit("")), m["name"], F.when(call, sig).otherwise(F.lit("")), F.lit(";"))
-        elif language == "python":
-            text = F.when(call, F.concat(F.lit("def "), m["name"], sig, tail, F.lit(": ..."))).otherwise(F.concat(m["name"], F.regexp_replace(tail, "^ -> ", ": ")))
-        elif language == "go":
-            text = F.concat(m["name"], F.when(call, sig).otherwise(F.lit("")), tail)
+    """(package_id, container, type_ord, stub): a declaration of each type as its language writes it.
+
+    Python: a class with its bases, ``...`` for bodies.  Java and C#: bases and interfaces, enum
+    values, static members, C# properties with their accessor.  TypeScript: exported, with
+    extends and implements.  Go: embedded types and fields inside, the methods of a struct after
+    it with its receiver, those of an interface inside.
+    """
+    rows = types(index)
+    members = F.coalesce("members", F.array().cast(f"array<{schemas.MEMBER}>"))
+    base = F.nullif(F.col("base"), F.lit(""))
+    both = F.array_compact(F.concat(F.array(base), "supers"))
+    values = F.coalesce("values", F.array().cast("array<string>"))
+    all_ = F.array_join(F.transform(members, lambda m: _stub_member(m, language)), "")
+    iface, enum = F.col("kind") == "interface", F.col("kind") == "enum"
+    note = _note(F.col("doc"), F.col("deprecated"), "", language)
+    if language == "python":
+        body = _lines(F.array_join(F.transform(values, lambda v: _lines("    ", v, " = ...\n")), ""), all_)
+        text = _lines(note, "class ", F.col("name"), _listed("(", both, ")"), ":\n", F.when(body == "", "    ...\n").otherwise(body))
+    elif language == "go":
+        is_call = lambda m: m["kind"].isin("method", "function")
+        inside = F.array_join(F.transform(F.when(iface, members).otherwise(F.filter(members, lambda m: ~is_call(m))), lambda m: _stub_member(m, "go")), "")
+        after = F.array_join(F.transform(F.when(iface, F.filter(members, lambda m: F.lit(False))).otherwise(F.filter(members, is_call)), lambda m: _lines(_note(m["doc"], m["deprecated"], "", "go"), "func (", F.col("name"), ") ", F.regexp_replace(_stub_member(m.withField("doc", F.lit(None).cast("string")).withField("deprecated", F.lit(False)), "go", ""), r"^\s+", ""))), "")
+        embeds = F.array_join(F.transform("embeds", lambda e: _lines("    ", e, "\n")), "")
+        open_ = F.when(F.col("kind").isin("struct", "interface", "class"), _lines(" ", F.when(iface, "interface").otherwise("struct"), " {\n", embeds, inside, "}\n")).otherwise(_lines(F.when(F.col("kind") == "alias", " = ").otherwise(" "), base, "\n"))
+        text = _lines(note, "type ", F.col("name"), open_, after)
+    else:
+        listed = F.when(enum & (F.size(values) > 0), _lines("    ", F.array_join(values, ", "), ";\n" if language == "java" else "\n"))
+        if language == "dotnet":
+            heirs = _listed(" : ", both)
         else:
-            text = F.concat(m["name"], F.when(call, sig).otherwise(F.lit("")), tail, F.lit(";"))
-        return F.concat(doc(m["doc"], "    "), F.lit("    "), text, F.lit("\n"))
-
-    heir = F.when(F.coalesce("base", F.lit("")) != "", F.concat(F.lit({"python": "(", "java": " extends ", "typescript": " extends ", "dotnet": " : "}.get(language, " // embeds ")), "base", F.lit(")" if language == "python" else ""))).otherwise(F.lit(""))
-    body = F.coalesce(F.array_join(F.transform("members", member), ""), F.lit(""))
-    empty = F.when((body == "") & F.lit(language == "python"), F.lit("    ...\n")).otherwise(body)
-    text = F.concat(doc(F.col("doc"), ""), F.lit(opening[0]), word, "name", after, heir, F.lit(opening[1]), empty, F.lit(closing))
-    return types(index).select("package_id", "container", "type_ord", text.alias("stub"))
+            heirs = F.when(iface, _listed(" extends ", both)).otherwise(_lines(F.when(base.isNotNull(), _lines(" extends ", base)), _listed(" implements ", F.col("supers"))))
+        text = _lines(note, "export " if language == "typescript" else "public ", F.col("kind"), " ", F.col("name"), heirs, " {\n", listed, all_, "}\n")
+    return rows.select("package_id", "container", "type_ord", text.alias("stub"))
 
 
 def surface_sizes(index: DataFrame) -> DataFrame:

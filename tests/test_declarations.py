@@ -1,3 +1,5 @@
+import re
+
 from apilattice.functions import classify
 from apilattice.plans import facade
 from apilattice.sources import declarations, index
@@ -175,3 +177,22 @@ def test_index_of_extracted_types(spark):
     assert index.types(made).where(classify.is_client()).count() == 3
     none = declarations.as_index(declarations.extract_types(rows.limit(0), "java"))
     assert none.collect() == []
+
+
+def stub(spark, text, language, name):
+    rows = spark.createDataFrame([("p", "a" + declarations.EXTENSIONS[language], text)], "package_id string, rel_path string, content string")
+    made = index.stubs(declarations.as_index(declarations.extract_types(rows, language)), language)
+    return next(r.stub for r in made.collect() if re.search(rf"\b(class|interface|enum|record|type) {re.escape(name)}(?![\w.])", r.stub))
+
+
+def test_stubs_in_each_language(spark):
+    assert stub(spark, JAVA, "java", "Client").startswith('/** A client. Says "{" */\n@Deprecated\npublic class Client extends Base<T> implements Closeable, Iface<Map<String, T>> {\n    public static String NAME;\n    /** Lists. */\n    public List<Item> list(String q')
+    assert "public enum Client.Mode {\n    FAST, SLOW;\n    public int n();\n}\n" == stub(spark, JAVA, "java", "Client.Mode") and stub(spark, JAVA, "java", "Shape").startswith("public interface Shape extends A, B {\n")
+    sharp = stub(spark, CSHARP, "dotnet", "Client")
+    assert sharp.startswith("/// <summary>The client.</summary>\n[Obsolete]\npublic class Client : BaseClient, IDisposable {\n    public string Name { get; }\n") and "    public Client(Uri u, ClientOptions o = null);\n" in sharp
+    go = stub(spark, GO, "go", "Client")
+    assert go.startswith("// Client talks. Deprecated: use Other.\n// Deprecated\ntype Client struct {\n    Base\n    ext.Embedded\n    Name string\n    Title string\n}\n// List lists things.\nfunc (Client) List(ctx context.Context, a, b int) ([]Item, error)\n")
+    assert "type Lister interface {\n    io.Closer\n    // List lists.\n    List(ctx" in stub(spark, GO, "go", "Lister") and stub(spark, GO, "go", "ID") == "type ID string\n" and stub(spark, GO, "go", "Alias") == "type Alias = Client\n"
+    script = stub(spark, SCRIPT, "typescript", "Client")
+    assert "export class Client extends Base<T> implements Closer, Other {\n" in script and "    constructor(private url: string, opts?: Options);\n" in script and "    static create(): Client<any>;\n" in script
+    assert stub(spark, SCRIPT, "typescript", "Color") == "export enum Color {\n    Red, Green\n}\n"

@@ -121,3 +121,39 @@ def set_fingerprint(files: DataFrame) -> DataFrame:
     """(package_id, fingerprint): 32 hex digits over sorted path, size and modification ticks."""
     row = F.concat_ws("|", "rel_path", F.col("size").cast("string"), F.col("mtime_ticks").cast("string"))
     return files.groupBy("package_id").agg(F.left(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), "\n"), 256), F.lit(32)).alias("fingerprint"))
+
+
+def owner_by_declaration(exports: DataFrame, rank: Column) -> DataFrame:
+    """Each exported name once, with the export that owns it.
+
+    exports(package_id, name, export_path, condition, entry_file, declared_in): a row for every
+    export that shows a name.  The export whose own file declares it owns it, as does one that
+    takes it from another package (declared_in null); names from files that are no entry go to
+    the first export.  Among equals '.' comes first, then the path, the condition's ``rank`` and
+    the condition.  A name that only other entry files declare, none of which exports it, has no
+    owner and no row.
+    """
+    entries = exports.select(F.col("package_id").alias("_package"), F.col("entry_file").alias("_entry")).distinct()
+    rows = exports.join(entries, (F.col("package_id") == F.col("_package")) & (F.col("declared_in") == F.col("_entry")), "left").drop("_package")
+    own = F.col("declared_in").isNull() | (F.col("declared_in") == F.col("entry_file"))
+    rows = rows.withColumn("_phase", F.when(own, 0).when(F.col("_entry").isNull(), 1)).where("_phase is not null")
+    path = F.when(F.col("export_path") == ".", "").otherwise(F.col("export_path"))
+    return first_of_each(rows, ["package_id", "name"], ["_phase", path, rank, "condition", "entry_file"]).drop("_phase", "_entry")
+
+
+def dependency_kinds(references: DataFrame, known: DataFrame, heads: DataFrame, standard: DataFrame) -> DataFrame:
+    """(package_id, dep_package, is_stdlib, classes, interfaces, types): what a package takes from others, by kind, sorted.
+
+    references(package_id, dep_package, type_name); known(type_name, kind) tells a type's kind
+    for sure; else heads(package_id, type_name, role) does, by where the type stands in a
+    declaration's head (interface before superclass); else it stays among the types.
+    """
+    sure = known.groupBy("type_name").agg(F.max(F.col("kind") == "interface").alias("_sure"))
+    role = heads.groupBy("package_id", "type_name").agg(F.max(F.col("role") == "interface").alias("_head"))
+    rows = references.select("package_id", "dep_package", "type_name").distinct().join(sure, "type_name", "left").join(role, ["package_id", "type_name"], "left")
+    is_interface = F.coalesce("_sure", "_head")
+    base = F.substring_index("type_name", ".", -1)
+    named = lambda c: F.sort_array(F.collect_set(F.when(c, base)))
+    grouped = rows.groupBy("package_id", "dep_package").agg(named(~is_interface).alias("classes"), named(is_interface).alias("interfaces"), named(is_interface.isNull()).alias("types"))
+    std = standard.select("dep_package").distinct().withColumn("_std", F.lit(True))
+    return grouped.join(std, "dep_package", "left").select("package_id", "dep_package", F.coalesce("_std", F.lit(False)).alias("is_stdlib"), "classes", "interfaces", "types")

@@ -373,3 +373,28 @@ def session_update_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "part").where("p_size < 30").select(F.col("p_brand").alias("package_id"), F.col("p_type").alias("client"), F.col("p_name").alias("operation"), F.col("p_partkey").alias("line"))
     return tables.first_of_each(rows, ["package_id", "client", "operation"], ["line"])
+
+
+@register("""WITH x AS (SELECT p_brand AS package_id, p_name AS name, CASE WHEN p_size < 10 THEN '.' ELSE './' || CAST(p_size % 5 AS VARCHAR) END AS export_path, CASE p_size % 4 WHEN 0 THEN 'types' WHEN 1 THEN 'node' WHEN 2 THEN 'default' ELSE 'zz' END AS condition, p_size, p_type FROM part),
+e AS (SELECT *, export_path || '/' || condition AS entry_file FROM x),
+r AS (SELECT *, CASE p_size % 3 WHEN 0 THEN entry_file WHEN 1 THEN CASE WHEN p_type = 'SMALL' THEN './1/node' ELSE 'lib/a' END END AS declared_in FROM e),
+f AS (SELECT r.*, CASE WHEN declared_in IS NULL OR declared_in = entry_file THEN 0 WHEN NOT EXISTS (SELECT 1 FROM e WHERE e.package_id = r.package_id AND e.entry_file = r.declared_in) THEN 1 END AS phase FROM r)
+SELECT package_id, name, export_path, condition FROM (SELECT *, row_number() OVER (PARTITION BY package_id, name ORDER BY phase, CASE export_path WHEN '.' THEN '' ELSE export_path END, CASE condition WHEN 'default' THEN 0 WHEN 'types' THEN 1 WHEN 'node' THEN 4 ELSE 100 END, condition, entry_file) AS k FROM f WHERE phase IS NOT NULL) WHERE k = 1""")
+def declaration_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 4
+    rows = t(spark, sf_dir, "part").select(F.col("p_brand").alias("package_id"), F.col("p_name").alias("name"), F.when(F.col("p_size") < 10, ".").otherwise(F.concat(F.lit("./"), (F.col("p_size") % 5).cast("string"))).alias("export_path"), F.when(k == 0, "types").when(k == 1, "node").when(k == 2, "default").otherwise("zz").alias("condition"), "p_size", "p_type")
+    rows = rows.withColumn("entry_file", F.concat_ws("/", "export_path", "condition"))
+    site = F.when(F.col("p_size") % 3 == 0, F.col("entry_file")).when(F.col("p_size") % 3 == 1, F.when(F.col("p_type") == "SMALL", "./1/node").otherwise("lib/a"))
+    return tables.owner_by_declaration(rows.withColumn("declared_in", site), text.condition_rank(F.col("condition"))).select("package_id", "name", "export_path", "condition")
+
+
+@register("""WITH r AS (SELECT DISTINCT p_brand AS package_id, p_type AS dep, 'x.' || p_name AS type_name FROM part),
+k AS (SELECT 'x.' || p_name AS type_name, bool_or(p_size % 2 = 0) AS i FROM part WHERE p_size > 47 GROUP BY 1), h AS (SELECT p_brand AS package_id, 'x.' || p_name AS type_name, bool_or(p_size % 3 = 0) AS i FROM part WHERE p_size < 20 GROUP BY 1, 2),
+f AS (SELECT r.*, coalesce(k.i, h.i) AS i, substr(r.type_name, 3) AS base FROM r LEFT JOIN k ON k.type_name = r.type_name LEFT JOIN h ON h.package_id = r.package_id AND h.type_name = r.type_name)
+SELECT package_id, dep AS dep_package, dep = 'ECONOMY' AS is_stdlib, coalesce(list_sort(list(DISTINCT base) FILTER (WHERE NOT i)), []) AS classes, coalesce(list_sort(list(DISTINCT base) FILTER (WHERE i)), []) AS interfaces, coalesce(list_sort(list(DISTINCT base) FILTER (WHERE i IS NULL)), []) AS types FROM f GROUP BY 1, 2, 3""")
+def dependency_type_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = t(spark, sf_dir, "part").withColumn("type_name", F.concat(F.lit("x."), "p_name")).withColumn("package_id", F.col("p_brand"))
+    known = part.where("p_size > 47").select("type_name", F.when(F.col("p_size") % 2 == 0, "interface").otherwise("class").alias("kind"))
+    heads = part.where("p_size < 20").select("package_id", "type_name", F.when(F.col("p_size") % 3 == 0, "interface").otherwise("superclass").alias("role"))
+    references = part.select("package_id", F.col("p_type").alias("dep_package"), "type_name")
+    return tables.dependency_kinds(references, known, heads, spark.createDataFrame([("ECONOMY",)], "dep_package string"))

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from apilattice.llm.graph import components
 from apilattice.llm.grouped import forest, groups
 from apilattice.llm.shingles import mix, shingle_rows, slices, words
-from apilattice.llm.staging import small_batches, table
+from apilattice.llm.staging import smaller_batches, table
 
 PERCENT = 80
 RARE = 8
@@ -338,7 +338,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, n, label, component): the class of every row, null without shingles; th is xxhash64 of the text."""
-    small_batches(docs.sparkSession)
+    with smaller_batches(docs.sparkSession):
+        return _classes(docs, id_col, text_col)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     ranges = _n_ranges(rows)

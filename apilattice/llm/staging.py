@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's rows for each Arrow batch to BATCH_ROWS; batches of long texts are large.
 
     The setting stays, since Spark reads it when a lazy result runs.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+@contextmanager
+def smaller_batches(spark: SparkSession) -> Iterator[None]:
+    """The same for what runs inside, where texts are read only to write tables; then the setting is what it was."""
+    before = spark.conf.get(_BATCH)
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apilattice.llm import bpe, chat, embedding_lsh, html_blocks, mixing, ngram_join, topk_search, toxicity, url_cascade, warc
+from apilattice.llm import bpe, chat, conversation_trie, embedding_lsh, html_blocks, mixing, ngram_join, topk_search, toxicity, url_cascade, warc
 from apilattice.llm.staging import table
 
 QUERIES = {}
@@ -77,6 +77,11 @@ def op10_toxicity_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFram
     return toxicity.scored(docs, toxicity.trained(docs, read(spark, sf_dir, "labels")))
 
 
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(read(spark, sf_dir, "conversations"))
+
+
 # --- SQL for the same rows, where SQL can express them ---------------------------------------
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -130,3 +135,17 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
 m AS (SELECT a, min(b) AS b FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
 SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, coalesce(b, vec_id) >= vec_id AS kept
 FROM e LEFT JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id"""
+
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"
+
+ORACLES["op11_conversation_trie"] = rf"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns, {_CRC} % 4 AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, turns[1:d] AS path, CAST(d AS BIGINT) AS depth, d = len(turns) AS ended FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT path, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CASE WHEN ended THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256,
+  (count(*) - 1) * CASE WHEN any_value(depth) = 0 THEN 0 ELSE len(regexp_extract_all(any_value(path)[any_value(depth)].text, '[^\x20\x09-\x0D]+')) END AS saved FROM p GROUP BY path),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS many FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(k.many, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (SELECT path[1:d] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.path = f.path LEFT JOIN n u ON u.path = f.path[1:f.depth - 1] AND f.depth > 0"""

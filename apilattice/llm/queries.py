@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apilattice.llm import bpe, chat, conversation_trie, embedding_lsh, html_blocks, mixing, ngram_join, topk_search, toxicity, url_cascade, warc
+from apilattice.llm import bpe, chat, conversation_trie, embedding_lsh, html_blocks, mixing, ngram_join, topk_search, toxicity, url_cascade, warc, whitening
 from apilattice.llm.staging import table
 
 QUERIES = {}
@@ -82,6 +82,11 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(read(spark, sf_dir, "conversations"))
 
 
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 # --- SQL for the same rows, where SQL can express them ---------------------------------------
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

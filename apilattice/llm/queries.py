@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apilattice.llm import bpe, chat, conversation_trie, embedding_lsh, html_blocks, mixing, ngram_join, topk_search, toxicity, url_cascade, warc, whitening
+from apilattice.llm import bpe, chat, conversation_trie, embedding_lsh, html_blocks, mixing, ngram_join, suffix_dedup, topk_search, toxicity, url_cascade, warc, whitening
 from apilattice.llm.staging import table
 
 QUERIES = {}
@@ -87,6 +87,11 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(read(spark, sf_dir, "documents"))
+
+
 # --- SQL for the same rows, where SQL can express them ---------------------------------------
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -154,3 +159,14 @@ f AS (SELECT n.*, coalesce(k.many, 0) AS n_children FROM n LEFT JOIN k USING (pa
 s AS (SELECT path[1:d] AS path, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM f) GROUP BY 1)
 SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
 FROM f JOIN s ON s.path = f.path LEFT JOIN n u ON u.path = f.path[1:f.depth - 1] AND f.depth > 0"""
+
+ORACLES["op13_suffix_dedup"] = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, doc_id, p, substring(x, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(0, len(x) // 2 - 49)) AS p FROM d WHERE doc_id IS NOT NULL)),
+f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT w.r, w.p FROM w JOIN f ON f.s = w.s WHERE w.doc_id > f.low),
+g AS (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS span FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS opens FROM c)),
+a AS (SELECT r, span, min(p) AS lo, max(p) + 50 AS hi FROM g GROUP BY r, span),
+b AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS was FROM a),
+k AS (SELECT b.r, string_agg(substring(x, 2 * was + 1, 2 * (lo - was)), '' ORDER BY lo) AS head, max(hi) AS hi, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM b JOIN d ON d.r = b.r GROUP BY b.r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(head, '') || substring(x, 2 * coalesce(hi, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r"""

@@ -161,7 +161,8 @@ SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_chil
 FROM f JOIN s ON s.path = f.path LEFT JOIN n u ON u.path = f.path[1:f.depth - 1] AND f.depth > 0"""
 
 ORACLES["op13_suffix_dedup"] = """WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT r, doc_id, p, substring(x, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(0, len(x) // 2 - 49)) AS p FROM d WHERE doc_id IS NOT NULL)),
+e AS (SELECT r, doc_id, c, substring(x, 2000 * c + 1, 2098) AS x FROM (SELECT *, unnest(range(0, len(x) // 2000 + 1)) AS c FROM d WHERE doc_id IS NOT NULL)),
+w AS (SELECT r, doc_id, 1000 * c + p AS p, substring(x, 2 * p + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(1000, len(x) // 2 - 49))) AS p FROM e)),
 f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 c AS (SELECT w.r, w.p FROM w JOIN f ON f.s = w.s WHERE w.doc_id > f.low),
 g AS (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS span FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS opens FROM c)),

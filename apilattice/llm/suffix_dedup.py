@@ -17,7 +17,8 @@ every string has one, and about one byte in fourteen is one.
    least document decides.  A row keeps one bit for each of its 27 strings.
 3. *Across boundaries.*  The first and the last run of equal substrings of a bucket may go on in
    the next one.  Their strings are compared by 128-bit hashes over all buckets: a partial minimum
-   for each string, joins of written tables, whose hot keys Spark can split.
+   for each string, joins of written tables, whose hot keys Spark can
+   split.  Rows of one bucket with equal contexts cross as one packed row.
 4. *Removal.*  Bits travel to the document's partition in packed arrays and meet its text there;
    a part holds about ``PART_BYTES`` of text.
 
@@ -53,7 +54,7 @@ SAMPLES = 32
 STEP, FLUSH, FLUSH_HASHES = 1 << 16, 1 << 17, 1 << 20
 _CODE = np.random.default_rng(20240701).integers(1, 1 << 63, 256, dtype=np.uint64)
 _MULT = np.random.default_rng(20240702).integers(1, 1 << 62, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOUND = "kind int, part int, docs binary, hashes binary, at binary, masks binary, ctx binary, o int, win binary, low bigint, doc_id bigint, th bigint, pos bigint"
+_FOUND = "kind int, part int, docs binary, hashes binary, at binary, masks binary, ctx binary, o int, win binary, low bigint"
 _REST = "part int, kind int, doc_id bigint, th bigint, text string, docs binary, hashes binary, at binary, masks binary"
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -327,8 +328,10 @@ def _bucket(blobs: list[bytes]) -> Iterator[dict]:
         for o in range(max(0, MATCH - a), min(BEFORE, b) + 1):
             string = back[BEFORE - o :] + text[: MATCH - o]
             yield {"kind": 1, "ctx": names[k], "o": o, "win": hashlib.blake2b(string, digest_size=16).digest(), "low": int(low[k])}
-    for r in np.flatnonzero(edge[entry]).tolist():
-        yield {"kind": 2, "ctx": names[int(entry[r])], "doc_id": int(doc[r]), "th": int(th[r]), "part": int(part[r]), "pos": int(pos[r])}
+    ends = np.r_[first[1:], len(doc)]
+    for k, name in names.items():
+        rows = slice(first[k], ends[k])
+        yield {"kind": 2, "ctx": name, "docs": doc[rows].tobytes(), "hashes": th[rows].tobytes(), "at": pos[rows].tobytes(), "masks": part[rows].tobytes()}
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,19 +366,21 @@ def _across(found: DataFrame) -> DataFrame:
     lows = table(strings.groupBy("win").agg(F.min("low").alias("least")), "suffix-lows")
     each = strings.join(lows, "win").groupBy("ctx").agg(F.collect_list(F.struct("o", "least")).alias("lows"))
     each = table(each, "suffix-contexts")
-    rows = table(found.where("kind = 2").select("ctx", "doc_id", "th", "part", "pos"), "suffix-ends").join(each, "ctx")
+    rows = table(found.where("kind = 2").select("ctx", "docs", "hashes", "at", F.col("masks").alias("parts")), "suffix-ends").join(each, "ctx")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, doc, th, pos = (batch.column(k).to_numpy() for k in range(4))
-            lows = np.full((len(doc), STRINGS), np.iinfo(np.int64).max)
+            kinds, sizes = (np.int64, np.int64, np.int64, np.int32), []
+            lows = np.full((batch.num_rows, STRINGS), np.iinfo(np.int64).max)
             for k, held in enumerate(batch.column(4).to_pylist()):
+                sizes.append(len(batch.column(0)[k].as_buffer()) // 8)
                 for x in held:
                     lows[k, x["o"]] = x["least"]
-            made = _sent(part, doc, th, pos, _masks(lows, np.arange(len(doc)), doc))
+            doc, th, pos, part = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in batch.column(c)]) if sizes else np.zeros(0, t) for c, t in enumerate(kinds))
+            made = _sent(part, doc, th, pos, _masks(lows, np.repeat(np.arange(len(sizes)), sizes), doc))
             yield _batch([dict(zip(("part", "docs", "hashes", "at", "masks"), m)) | {"kind": 0} for m in made], _REST)
 
-    return rows.select("part", "doc_id", "th", "pos", "lows").mapInArrow(packed, _REST)
+    return rows.select("docs", "hashes", "at", "parts", "lows").mapInArrow(packed, _REST)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -437,7 +442,8 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = table(blobs.mapInArrow(_compared, _FOUND), "suffix-found")
     shared.destroy()
     names = [c.split(" ")[0] for c in _REST.split(", ")]
-    inside = found.where("kind = 0").select(*(F.col(c) if c != "text" else F.lit(None).cast("string").alias(c) for c in names))
+    void = {"doc_id": "bigint", "th": "bigint", "text": "string"}
+    inside = found.where("kind = 0").select(*(F.lit(None).cast(void[c]).alias(c) if c in void else F.col(c) for c in names))
     texts = rows.withColumn("kind", F.lit(1)).select(*(F.col(c) if c in ("part", "kind", "doc_id", "th", "text") else F.lit(None).cast("binary").alias(c) for c in names))
     rest = inside.unionByName(_across(found)).unionByName(texts)
     return table(rest.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_removed, _RESULT), "suffix-result")

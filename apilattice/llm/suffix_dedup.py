@@ -15,10 +15,10 @@ every string has one, and about one byte in fourteen is one.
    takes eight bytes at a time and all open runs of a round at once.  Neighbours' common prefixes
    then say, for each offset of the anchor in a string, which rows hold the same string, and their
    least document decides.  A row keeps one bit for each of its 27 strings.
-3. *Across boundaries.*  The first and the last run of equal substrings of a bucket may go on in
-   the next one.  Their strings are compared by 128-bit hashes over all buckets: a partial minimum
-   for each string, joins of written tables, whose hot keys Spark can
-   split.  Rows of one bucket with equal contexts cross as one packed row.
+3. *Across boundaries.*  A string goes on in another bucket only if its part from the anchor on is that of
+   the first or the last row.  Such strings are sent once for each bucket, as 128-bit hashes with the least
+   document there; where another bucket knows a smaller one, it comes back to the rows that wait for it:
+   those whose whole context is in no smaller document of their bucket.
 4. *Removal.*  Bits travel to the document's partition in packed arrays and meet its text there;
    a part holds about ``PART_BYTES`` of text.
 
@@ -54,7 +54,8 @@ SAMPLES = 32
 STEP, FLUSH, FLUSH_HASHES = 1 << 16, 1 << 17, 1 << 20
 _CODE = np.random.default_rng(20240701).integers(1, 1 << 63, 256, dtype=np.uint64)
 _MULT = np.random.default_rng(20240702).integers(1, 1 << 62, 6, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOUND = "kind int, part int, docs binary, hashes binary, at binary, masks binary, ctx binary, o int, win binary, low bigint"
+_FOUND = "kind int, part int, docs binary, hashes binary, at binary, masks binary, bucket int, win binary, low bigint, offsets binary"
+_ENDS = "bucket int, kind int, win binary, least bigint, offsets binary, docs binary, hashes binary, at binary, masks binary"
 _REST = "part int, kind int, doc_id bigint, th bigint, text string, docs binary, hashes binary, at binary, masks binary"
 _RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
@@ -291,8 +292,8 @@ def _dealt(rows: DataFrame, shared) -> DataFrame:
     return rows.mapInArrow(deal, "bucket int, blob binary")
 
 
-def _bucket(blobs: list[bytes]) -> Iterator[dict]:
-    """The bits of one bucket's rows, and what the runs at its two ends ask of other buckets."""
+def _bucket(bucket: int, blobs: list[bytes]) -> Iterator[dict]:
+    """The bits of one bucket's rows, the strings that may go on in other buckets, and the rows that wait for these."""
     rows = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]).combine_chunks()
     blobs.clear()
     if not len(rows):
@@ -304,43 +305,51 @@ def _bucket(blobs: list[bytes]) -> Iterator[dict]:
     order = multikey(np.concatenate([_words(context), last[:, None]], axis=1))
     context, after, before, doc, th, part, pos = (x[order] for x in (context, after, before, doc, th, part, pos))
     common = _common(context)
-    first = np.flatnonzero((common < CONTEXT) | np.r_[True, (after[1:] != after[:-1]) | (before[1:] != before[:-1])] | (np.arange(len(doc)) == 0))
+    first = np.flatnonzero((common < CONTEXT) | np.r_[True, (after[1:] != after[:-1]) | (before[1:] != before[:-1])])
     entry = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(doc)]))
     common = np.minimum(common[first], MATCH)
-    run = np.cumsum(common < KMER) - 1  # of equal substrings at the anchor
+    run = np.cumsum(common < KMER) - (common[0] < KMER)  # of equal substrings at the anchor
     begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
     low = doc[first]
     lowest = np.minimum.reduceat(low, begin)
     highest = np.maximum.reduceat(np.maximum.reduceat(doc, first), begin)
     edge = (run == 0) | (run == run[-1])
-    pick = np.flatnonzero((lowest < highest)[run] & ~edge)
+    pick = np.flatnonzero((lowest < highest)[run] | edge)
     context, after, before = context[first], after[first], before[first]
     lows = np.full((len(first), STRINGS), np.iinfo(np.int64).max)
-    if len(pick):
-        lows[pick] = least(context, after, before, common, low, pick)
+    lows[pick] = least(context, after, before, common, low, pick)
     for made in _sent(part, doc, th, pos, _masks(lows, entry, doc)):
         yield dict(zip(("part", "docs", "hashes", "at", "masks"), made)) | {"kind": 0}
-    names = {}
-    for k in np.flatnonzero(edge).tolist():
-        text, a, b = context[k].tobytes(), int(after[k]), int(before[k])
-        names[k] = hashlib.blake2b(text + bytes([a, b]), digest_size=16).digest()
-        back = text[MATCH:][::-1]
-        for o in range(max(0, MATCH - a), min(BEFORE, b) + 1):
-            string = back[BEFORE - o :] + text[: MATCH - o]
-            yield {"kind": 1, "ctx": names[k], "o": o, "win": hashlib.blake2b(string, digest_size=16).digest(), "low": int(low[k])}
+
+    reach = np.full(len(first), MATCH)  # how much each suffix shares with the first or the last one
+    if len(first) > 1:
+        reach = np.maximum(np.r_[MATCH, np.minimum.accumulate(common[1:])], np.r_[np.minimum.accumulate(common[:0:-1])[::-1], MATCH])
+    told: set[bytes] = set()
     ends = np.r_[first[1:], len(doc)]
-    for k, name in names.items():
-        rows = slice(first[k], ends[k])
-        yield {"kind": 2, "ctx": name, "docs": doc[rows].tobytes(), "hashes": th[rows].tobytes(), "at": pos[rows].tobytes(), "masks": part[rows].tobytes()}
+    for k in np.flatnonzero(edge).tolist():
+        text, back = context[k, :MATCH].tobytes(), context[k, MATCH:][::-1].tobytes()
+        wait, wins = [], []
+        for o in range(MATCH - min(int(after[k]), int(reach[k])), int(before[k]) + 1):
+            win = hashlib.blake2b(back[BEFORE - o :] + text[: MATCH - o], digest_size=16).digest()
+            if win not in told:
+                told.add(win)
+                yield {"kind": 1, "bucket": bucket, "win": win, "low": int(lows[k, o])}
+            if lows[k, o] == low[k]:
+                wait.append(o)
+                wins.append(win)
+        if wait:
+            at = np.arange(first[k], ends[k])
+            at = at[doc[at] == low[k]]
+            yield {"kind": 2, "bucket": bucket, "win": b"".join(wins), "offsets": bytes(wait), "docs": doc[at].tobytes(), "hashes": th[at].tobytes(), "at": pos[at].tobytes(), "masks": part[at].tobytes()}
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of (bucket, blob) in the order of buckets -> rows of _FOUND."""
     now, held = None, []
 
-    def rows(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def rows(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         made: list[dict] = []
-        for row in _bucket(blobs):
+        for row in _bucket(bucket, blobs):
             made.append(row)
             if len(made) >= 8192:
                 yield _batch(made, _FOUND)
@@ -351,36 +360,44 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if bucket != now and held:
-                yield from rows(held)
+                yield from rows(now, held)
                 held = []
             now = bucket
             held.append(blob)
     if held:
-        yield from rows(held)
+        yield from rows(now, held)
 
 
-def _across(found: DataFrame) -> DataFrame:
-    """The bits of the rows at the buckets' ends, as rows of _REST."""
-    strings = found.where("kind = 1").groupBy("ctx", "o", "win").agg(F.min("low").alias("low"))
-    strings = table(strings, "suffix-strings")
-    lows = table(strings.groupBy("win").agg(F.min("low").alias("least")), "suffix-lows")
-    each = strings.join(lows, "win").groupBy("ctx").agg(F.collect_list(F.struct("o", "least")).alias("lows"))
-    each = table(each, "suffix-contexts")
-    rows = table(found.where("kind = 2").select("ctx", "docs", "hashes", "at", F.col("masks").alias("parts")), "suffix-ends").join(each, "ctx")
+def _across(found: DataFrame, buckets: int) -> DataFrame:
+    """The bits that rows gain from other buckets, as rows of _REST."""
+    told = found.where("kind = 1").select("bucket", "win", "low")
+    known = told.groupBy("win").agg(F.min("low").alias("least"), F.max("low").alias("most")).where("least < most")
+    news = told.join(table(known.select("win", "least"), "suffix-news"), "win").where("least < low")
+    names = [c.split(" ") for c in _ENDS.split(", ")]
+    news = news.select(*(F.lit(0).alias(c) if c == "kind" else F.col(c) if c in ("bucket", "win", "least") else F.lit(None).cast(k).alias(c) for c, k in names))
+    waits = found.where("kind = 2").select(*(F.lit(None).cast(k).alias(c) if c == "least" else F.col(c) for c, k in names))
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, least_of = None, {}
         for batch in batches:
-            kinds, sizes = (np.int64, np.int64, np.int64, np.int32), []
-            lows = np.full((batch.num_rows, STRINGS), np.iinfo(np.int64).max)
-            for k, held in enumerate(batch.column(4).to_pylist()):
-                sizes.append(len(batch.column(0)[k].as_buffer()) // 8)
-                for x in held:
-                    lows[k, x["o"]] = x["least"]
-            doc, th, pos, part = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in batch.column(c)]) if sizes else np.zeros(0, t) for c, t in enumerate(kinds))
-            made = _sent(part, doc, th, pos, _masks(lows, np.repeat(np.arange(len(sizes)), sizes), doc))
-            yield _batch([dict(zip(("part", "docs", "hashes", "at", "masks"), m)) | {"kind": 0} for m in made], _REST)
-
-    return rows.select("docs", "hashes", "at", "parts", "lows").mapInArrow(packed, _REST)
+            held: list[list[np.ndarray]] = []
+            at = [batch.column(k).to_pylist() for k in range(5)]
+            for r, (bucket, kind, win, low, offsets) in enumerate(zip(*at)):
+                if bucket != now:
+                    now, least_of = bucket, {}
+                if kind == 0:
+                    least_of[win] = low
+                    continue
+                heard = [(o, least_of[w]) for k, o in enumerate(offsets) if (w := win[16 * k : 16 * k + 16]) in least_of]
+                if heard:
+                    doc, th, pos, part = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in ((5, np.int64), (6, np.int64), (7, np.int64), (8, np.int32)))
+                    mask = sum((low < doc).astype(np.uint32) << np.uint32(o) for o, low in heard)
+                    held.append([part, doc, th, pos, mask])
+            if held:
+                made = _sent(*(np.concatenate(x) for x in zip(*held)))
+                yield _batch([dict(zip(("part", "docs", "hashes", "at", "masks"), m)) | {"kind": 0} for m in made], _REST)
+
+    return news.unionByName(waits).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(gained, _REST)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -445,5 +462,5 @@ def _deduplicated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     void = {"doc_id": "bigint", "th": "bigint", "text": "string"}
     inside = found.where("kind = 0").select(*(F.lit(None).cast(void[c]).alias(c) if c in void else F.col(c) for c in names))
     texts = rows.withColumn("kind", F.lit(1)).select(*(F.col(c) if c in ("part", "kind", "doc_id", "th", "text") else F.lit(None).cast("binary").alias(c) for c in names))
-    rest = inside.unionByName(_across(found)).unionByName(texts)
+    rest = inside.unionByName(_across(found, buckets)).unionByName(texts)
     return table(rest.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_removed, _RESULT), "suffix-result")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from apilattice.functions import classify
 from apilattice.functions.text import normalize_type
 from apilattice.operators import coverage as cov
-from apilattice.operators import detect, diagnostics, graph
+from apilattice.operators import detect, diagnostics, graph, resolution
+from apilattice.sources import declarations, modules
 from apilattice.sources import index as api_index
 
 #: What an operation that fails reports.
@@ -72,6 +73,22 @@ def reachable_clients(index: DataFrame, language: str) -> DataFrame:
     return found.join(nodes.select("package_id", "name", "shown"), ["package_id", "name"]).select("package_id", F.col("shown").alias("name"), "depth")
 
 
+def source_index(files: DataFrame, language: str, entries: DataFrame | None = None, module_paths: DataFrame | None = None) -> DataFrame:
+    """The API index of TypeScript or Go files(package_id, rel_path, content), names resolved across files.
+
+    entries(package_id, file): what users import; module_paths(package_id, module_path): of Go's modules.
+    """
+    types = declarations.extract_types(files, language)
+    rows = resolution.module_files(modules.names(files, language), files, module_paths)
+    return declarations.as_index(resolution.with_references(types, resolution.resolve(rows, language), entries))
+
+
+def entry_reachable(files: DataFrame, entries: DataFrame) -> DataFrame:
+    """(package_id, name, depth): TypeScript types, as file#name, that the entry files(package_id, file) lead to and nothing else does."""
+    rows = resolution.module_files(modules.names(files, "typescript"), files)
+    return resolution.entry_reachable(declarations.extract_types(files, "typescript"), resolution.resolve(rows), entries)
+
+
 def api_graph(index: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
     """The types with their priority, and the diagnostics."""
     types = api_index.types(index)

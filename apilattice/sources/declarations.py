@@ -382,17 +382,20 @@ def as_index(types: DataFrame) -> DataFrame:
     """An API index (as :func:`apilattice.sources.index.parse_indexes` gives it) of extracted types.
 
     Parts of one type (partial classes, Go methods of other files) are joined; the first place in
-    path order that declares it tells the rest.  A package is one row.
+    path order that declares it tells the rest.  A package is one row.  What types refer to comes with
+    ``referenced_types`` of :func:`apilattice.operators.resolution.with_references`, where that column is there.
     """
     keys = ["package_id", "container", "name"]
+    if "referenced_types" not in types.columns:
+        types = types.withColumn("referenced_types", F.array().cast("array<string>"))
     order = F.struct((F.col("kind") == "part").alias("part"), "rel_path")
-    first = types.groupBy(*keys).agg(F.min_by(F.struct("kind", "base", "doc"), order).alias("head"), F.bool_or("entry_point").alias("entry_point"), F.bool_or("deprecated").alias("deprecated"), F.sort_array(F.collect_list(F.struct("rel_path", "supers", "embeds", "values", "members"))).alias("parts"))
+    first = types.groupBy(*keys).agg(F.min_by(F.struct("kind", "base", "doc"), order).alias("head"), F.bool_or("entry_point").alias("entry_point"), F.bool_or("deprecated").alias("deprecated"), F.sort_array(F.collect_list(F.struct("rel_path", "supers", "embeds", "values", "members", "referenced_types"))).alias("parts"))
     flat = lambda c: F.flatten(F.col(f"parts.{c}"))
     null = lambda kind: F.lit(None).cast(kind)
     member = lambda m: F.struct(m["name"].alias("name"), null("string").alias("id"), m["kind"].alias("kind"), m["sig"].alias("sig"), m["ret"].alias("ret"), m["doc"].alias("doc"), m["is_static"].alias("is_static"), m["is_async"].alias("is_async"), m["deprecated"].alias("deprecated"), m["modifiers"].alias("modifiers"), m["params"].alias("params"))
     free = lambda m: F.struct(m["name"].alias("name"), null("string").alias("id"), m["sig"].alias("sig"), m["ret"].alias("ret"), m["doc"].alias("doc"), m["deprecated"].alias("deprecated"))
     strings = "array<string>"
-    type_ = F.struct("name", null("string").alias("id"), F.when(F.col("head.kind") == "part", "type").otherwise(F.col("head.kind")).alias("kind"), F.col("head.base").alias("base"), F.array_distinct(flat("supers")).alias("supers"), F.array_distinct(flat("embeds")).alias("embeds"), "entry_point", "deprecated", null("boolean").alias("is_error"), F.col("head.doc").alias("doc"), flat("values").alias("values"), F.array().cast(strings).alias("referenced_types"), F.transform(flat("members"), member).alias("members"))
+    type_ = F.struct("name", null("string").alias("id"), F.when(F.col("head.kind") == "part", "type").otherwise(F.col("head.kind")).alias("kind"), F.col("head.base").alias("base"), F.array_distinct(flat("supers")).alias("supers"), F.array_distinct(flat("embeds")).alias("embeds"), "entry_point", "deprecated", null("boolean").alias("is_error"), F.col("head.doc").alias("doc"), flat("values").alias("values"), F.array_distinct(flat("referenced_types")).alias("referenced_types"), F.transform(flat("members"), member).alias("members"))
     rows = first.select("package_id", "container", F.when(F.col("name") != "", type_).alias("type"), F.when(F.col("name") == "", F.transform(flat("members"), free)).alias("free"))
     boxes = rows.groupBy("package_id", "container").agg(F.sort_array(F.collect_list("type")).alias("types"), F.flatten(F.collect_list("free")).alias("functions"))
     box = F.struct(F.col("container").alias("name"), null("string").alias("condition"), null(strings).alias("condition_chain"), null("string").alias("export_path"), "types", "functions")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from apilattice.functions import classify
 from apilattice.functions.text import normalize_type
 from apilattice.operators import coverage as cov
-from apilattice.operators import detect, diagnostics, graph, resolution
-from apilattice.sources import declarations, modules
+from apilattice.operators import detect, diagnostics, graph, receivers, resolution
+from apilattice.sources import declarations, flow, modules
 from apilattice.sources import index as api_index
 
 #: What an operation that fails reports.
@@ -109,6 +109,23 @@ def coverage(index: DataFrame, calls: DataFrame, variables: DataFrame, language:
     return cov.report(ops, done, related, old)
 
 
+def sample_calls(index: DataFrame, samples: DataFrame, language: str) -> DataFrame:
+    """(package_id, file, line, call_ord, client, operation): the calls of an API's methods in Go, Java or TypeScript samples(package_id, rel_path, content)."""
+    types = api_index.types(index).withColumn("name", F.col("norm_name"))
+    bases = types.select("package_id", "name", F.explode(F.array_compact(F.concat(F.array("base"), "supers", "embeds"))).alias("base"))
+    known = receivers.inherited(receivers.member_types(api_index.members(index), types, language), bases)
+    operations = known.where("owner <> '' and step like '%()'").select("package_id", F.col("owner").alias("client"), F.expr("substring(step, 1, length(step) - 2)").alias("operation"))
+    return receivers.covered_calls(flow.extract_flow(samples, language), known, operations)
+
+
+def sample_coverage(index: DataFrame, samples: DataFrame, language: str, related: DataFrame | None = None) -> DataFrame:
+    """:func:`coverage` of Go, Java or TypeScript samples, whose receivers are typed by scope and flow."""
+    ops = cov.client_methods(api_index.types(index).withColumn("name", F.col("norm_name")), reachable_clients(index, language))
+    old = api_index.members(index).where("deprecated").select("package_id", F.col("owner").alias("client"), F.col("name").alias("operation"))
+    done = cov.covered(sample_calls(index, samples, language).join(ops, cov.OP, "left_semi"))
+    return cov.report(ops, done, related, old)
+
+
 def coverage_errors(packages: DataFrame) -> DataFrame:
     """(package_id, error_code) of packages(package_id, samples_root, language) that coverage cannot analyse."""
     code = F.when(F.col("language").isNull(), LANGUAGE_DETECTION_FAILED).when(F.col("samples_root").isNull(), NO_SAMPLES_FOUND)

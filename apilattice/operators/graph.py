@@ -1,9 +1,9 @@
 """Type-reference graphs: edges, reachability, components, roots, closures.
 
-Nodes are (package_id, name); edges are (package_id, src, dst).  A package of at most ``LOCAL``
-nodes and edges is walked whole in one task; larger ones go step by step over all tasks, loops
-on the driver whose steps are joins.  Lineage is cut with reliable checkpoints in the shared
-folder.
+Nodes are (package_id, name); edges are (package_id, src, dst).  Many packages of at most ``LOCAL``
+nodes and edges share a task, which walks one after another; larger ones go step by step over all
+tasks, loops on the driver whose steps are joins.  Both give the same rows.  Lineage is cut with
+reliable checkpoints in the shared folder.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 KEYS = ["package_id", "name"]
 COMPACT = 16
-LOCAL = 500_000
+LOCAL = 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -201,32 +201,68 @@ def _walk_components(nodes: list, edges: list) -> dict:
 
 
 def _coloured(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """A node without edges in or out is its own component and leaves at once.  Then colouring: every open node takes the largest name that
-    reaches it; within a colour, what reaches back to the colour's own node is one component and leaves the graph."""
+    """Components in steps.  Nodes without edges in or out are their own and leave, again and again while many do (trim).  Then one pivot
+    a package, the node with the most edges in times out: what it reaches and is reached by is its component, likely the largest.  The rest
+    by colouring: every open node takes the largest name that reaches it; within a colour, what reaches back to the colour's own node is
+    one component and leaves the graph."""
     open_ = cut(nodes.select(*KEYS).distinct())
-    edges = edges.select("package_id", "src", "dst").where("src <> dst").distinct()
-    found = None
+    edges, alone = _trimmed(open_, edges.select("package_id", "src", "dst").where("src <> dst").distinct())
+    found = alone
+    open_ = cut(open_.join(alone, KEYS, "left_anti"))
+    first = True
     while not open_.isEmpty():
-        ends = open_.select("package_id", F.col("name").alias("end"))
-        edges = cut(edges.join(ends.withColumnRenamed("end", "src"), ["package_id", "src"], "left_semi").join(ends.withColumnRenamed("end", "dst"), ["package_id", "dst"], "left_semi"))
-        inner = edges.select("package_id", F.col("src").alias("name")).intersect(edges.select("package_id", F.col("dst").alias("name")))
-        alone = open_.join(inner, KEYS, "left_anti").select(*KEYS, F.col("name").alias("scc"))
-        found = alone if found is None else found.union(alone)
-        open_ = cut(open_.join(inner, KEYS, "left_semi"))
-        if open_.isEmpty():
-            break
-        edges = edges.join(open_.withColumnRenamed("name", "src"), ["package_id", "src"], "left_semi").join(open_.withColumnRenamed("name", "dst"), ["package_id", "dst"], "left_semi")
-        colours = _colours(open_, edges)
-        own = colours.where("name = colour").select(*KEYS, "colour")
-        of = lambda c: colours.select("package_id", F.col("name").alias(c), F.col("colour").alias(f"{c}_colour"))
-        inside = edges.join(of("src"), ["package_id", "src"]).join(of("dst"), ["package_id", "dst"]).where("src_colour = dst_colour")
-        back = inside.select("package_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-        members = _reach(own.select(*KEYS), back).select(*KEYS).join(colours, KEYS)
-        done = members.select(*KEYS, F.min("name").over(Window.partitionBy("package_id", "colour")).alias("scc"))
-        done = cut(done)
+        done = _pivots(edges) if first else _coloured_once(open_, edges)
+        first = False
         found = cut(found.union(done))
         open_ = cut(open_.join(done, KEYS, "left_anti"))
-    return found if found is not None else nodes.select(*KEYS, F.col("name").alias("scc")).limit(0)
+        edges, alone = _trimmed(open_, _among(open_, edges))
+        found = found.union(alone)
+        open_ = cut(open_.join(alone, KEYS, "left_anti"))
+    return found
+
+
+def _among(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges between two of the nodes."""
+    end = lambda c: nodes.select("package_id", F.col("name").alias(c))
+    return edges.join(end("src"), ["package_id", "src"], "left_semi").join(end("dst"), ["package_id", "dst"], "left_semi")
+
+
+def _trimmed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges left, nodes that are components of their own): nodes without edges in or out go while a round takes a hundredth of the edges."""
+    edges = cut(_among(nodes, edges))
+    many = edges.count()
+    while True:
+        inner = edges.select("package_id", F.col("src").alias("name")).intersect(edges.select("package_id", F.col("dst").alias("name")))
+        after = cut(_among(inner, edges))
+        left = after.count()
+        edges, gone, many = after, many - left, left
+        if gone * 100 <= left:
+            break
+    inner = edges.select("package_id", F.col("src").alias("name")).union(edges.select("package_id", F.col("dst").alias("name")))
+    return edges, cut(nodes.join(inner.distinct(), KEYS, "left_anti").select(*KEYS, F.col("name").alias("scc")))
+
+
+def _pivots(edges: DataFrame) -> DataFrame:
+    """One component of each package: that of the node with the most edges in times out."""
+    ends = lambda c, n: edges.groupBy("package_id", F.col(c).alias("name")).agg(F.count("*").alias(n))
+    both = ends("src", "n_out").join(ends("dst", "n_in"), KEYS)
+    pivot = cut(both.groupBy("package_id").agg(F.max_by("name", F.struct(F.col("n_out") * F.col("n_in"), "name")).alias("name")))
+    back = edges.select("package_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    members = _reach(pivot, edges).select(*KEYS).join(_reach(pivot, back).select(*KEYS), KEYS)
+    least = members.groupBy("package_id").agg(F.min("name").alias("scc"))
+    return cut(members.join(least, "package_id").select(*KEYS, "scc"))
+
+
+def _coloured_once(open_: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components of the colours' own nodes."""
+    colours = _colours(open_, edges)
+    own = colours.where("name = colour").select(*KEYS, "colour")
+    of = lambda c: colours.select("package_id", F.col("name").alias(c), F.col("colour").alias(f"{c}_colour"))
+    inside = edges.join(of("src"), ["package_id", "src"]).join(of("dst"), ["package_id", "dst"]).where("src_colour = dst_colour")
+    back = inside.select("package_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    members = cut(_reach(own.select(*KEYS), back).select(*KEYS).join(colours, KEYS))
+    least = members.groupBy("package_id", "colour").agg(F.min("name").alias("scc"))
+    return cut(members.join(least, ["package_id", "colour"]).select(*KEYS, "scc"))
 
 
 def _colours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -331,5 +367,5 @@ def dependency_closure(pending: DataFrame, definitions: DataFrame, builtins: Dat
         known = known.union(named)
     known = known.join(builtins.select("name"), "name", "left_anti")
     edges = known.select(F.lit("d").alias("package_id"), F.col("name").alias("src"), F.explode("refs").alias("dst"))
-    found = reachable(edges, pending.select(F.lit("d").alias("package_id"), "name"))
+    found = _reach(pending.select(F.lit("d").alias("package_id"), "name"), edges)  # one graph of all packages
     return found.join(known.select("name", "dep_package"), "name").select("name", "dep_package").distinct()

@@ -1,3 +1,4 @@
+import os
 import random
 
 import duckdb
@@ -7,6 +8,7 @@ from apilattice import registry
 from apilattice.operators import graph
 
 QUERIES = registry.load()
+SF = "/root/testdata/sf0.01"
 NATION = {0: 3, 20: 7}
 
 
@@ -55,3 +57,30 @@ def test_roots(spark, tables, name):
         con.sql(f"create view {t} as select * from '{tables[0]}/{t}.parquet'")
     want = sorted(con.sql(registry.ORACLES[name]).fetchall())
     assert want and rows(spark, name, tables[0]) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name, steps", [("reachability_all", "_reach"), ("strong_components_all", "_coloured"), ("scc_roots_all", "_coloured"), ("closure_all", "_coloured")])
+def test_whole_tables_go_step_by_step(spark, name, steps, monkeypatch):
+    """The graph of a whole table is past what one task walks; its steps see the edges."""
+    seen, plain = [], getattr(graph, steps)
+
+    def noted(nodes, edges):
+        seen.append(edges.count())
+        return plain(nodes, edges)
+
+    monkeypatch.setattr(graph, steps, noted)
+    QUERIES[name](spark, SF)
+    assert seen and max(seen) > graph.LOCAL // 2
+
+
+def test_trim_and_pivots(spark, monkeypatch):
+    """Two rings joined by a long tail, packages of all shapes: the tail is trimmed, the larger ring goes with its pivot."""
+    monkeypatch.setattr(graph, "LOCAL", 0)
+    edges = [("a", k, (k + 1) % 9) for k in range(9)] + [("a", 8, 100)] + [("a", k, k + 1) for k in range(100, 130)] + [("a", 130, 200), ("a", 200, 201), ("a", 201, 200)]
+    edges += [("b", 1, 2), ("b", 2, 1), ("c", 5, 6), ("d", 1, 1)] + [("e", a, b) for a in range(12) for b in range(12) if a // 4 <= b // 4]
+    df = spark.createDataFrame(edges, "package_id string, src int, dst int")
+    nodes = spark.createDataFrame(sorted({(p, x) for p, a, b in edges for x in (a, b)}) + [("f", 1)], "package_id string, name int")
+    got = {(r.package_id, r.name): r.scc for r in graph.components(nodes, df).collect()}
+    want = {("a", k): 0 if k < 9 else 200 if k in (200, 201) else k for p, k in got if p == "a"} | {("b", 1): 1, ("b", 2): 1, ("c", 5): 5, ("c", 6): 6, ("d", 1): 1, ("f", 1): 1} | {("e", k): k // 4 * 4 for k in range(12)}
+    assert got == want

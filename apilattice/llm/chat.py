@@ -1,11 +1,14 @@
 """Chat formatting in budgeted windows, in DataFrame functions only.
 
-Prefix sums of turn tokens choose turn-aligned spans: a span holds the turns that begin in
-the same half budget, so a turn is never cut.  A window is one span behind repeated context:
-the conversation's system turn, if it came in an earlier span, and at most two turns before
-the span that fit a quarter budget.  The loss mask covers the assistant texts of the span;
-repeated ones are context and stay outside it, so every assistant text is a target once.
-A window keeps to its budget while no turn is longer than an eighth of it.
+Prefix sums of turn tokens choose turn-aligned spans; a turn is never cut.  Room is what the budget
+leaves beside the conversation's system turn (all of it, if that turn alone is over the budget), and
+a span holds the turns that end in the same half of the room.  Its first turn may begin up to a
+quarter before that half; one that begins earlier is a span of its own.  A window is one span behind
+repeated context: the system turn, if it came in an earlier span, and at most two turns before the
+span that together fit a quarter of the room (and what a turn alone leaves of it).  So a window
+keeps to its budget unless its system turn and one turn of its own alone pass it.  The loss mask
+covers the assistant texts of the span; repeated ones are context and stay outside it, so every
+assistant text is a target once.
 
 Template: ``<s>[INST]role[/INST]text</s>`` for a turn, ``[AGAIN]`` in place of ``[INST]`` for
 a repeated one.  Roles and texts write & as ``&amp;``, < as ``&lt;`` and [ as ``&#91;``, so no
@@ -44,18 +47,24 @@ def windows(turns: DataFrame, budget: int = BUDGET, target: str = TARGET) -> Dat
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("plain"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "plain", "text")
-    ahead, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("pos", F.row_number().over(order)).withColumn("tokens", (F.ceil(F.length("text") / 4) + 4).cast("bigint"))
-    rows = rows.withColumn("span", F.floor(F.coalesce(F.sum("tokens").over(ahead), F.lit(0)) / (budget // 2)))
+    system = F.coalesce(F.first(F.when(F.col("plain") == "system", F.col("tokens")), ignorenulls=True).over(whole), F.lit(0))
+    rows = rows.withColumn("room", F.when(system < budget, budget - system).otherwise(budget)).withColumn("half", F.greatest(F.expr("room div 2"), F.lit(1)))
+    rows = rows.withColumn("end", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("cell", F.expr("(end - 1) div half"))
+    rows = rows.withColumn("lone", F.expr("cell * half - (end - tokens) > room div 4"))
+    opens = F.coalesce(F.col("lone") | F.lag("lone").over(order) | (F.lag("cell").over(order) != F.col("cell")), F.lit(True))
+    rows = rows.withColumn("opens", opens).withColumn("span", F.sum(F.col("opens").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     rows = rows.withColumn("role", escape(F.col("plain"))).withColumn("text", escape(F.col("text")))
     rows = rows.withColumn("turn", F.struct("pos", "tokens", "role", "text"))
     system = F.first(F.when(F.col("plain") == "system", F.col("turn")), ignorenulls=True).over(whole)
     rows = rows.withColumn("system", system).withColumn("one", F.lag("turn", 1).over(order)).withColumn("two", F.lag("turn", 2).over(order))
-    opens = F.coalesce(F.lag("span").over(order) != F.col("span"), F.lit(False))
+    opens = F.col("opens") & (F.col("pos") > 1)
+    rows = rows.withColumn("spare", F.expr("if(lone, least(room div 4, room - tokens), room div 4)"))
     retained = F.when(F.col("system.pos") < F.col("pos"), F.col("system"))
     fits = lambda t: F.coalesce((F.col(f"{t}.pos") != F.coalesce(F.col("system.pos"), F.lit(0))), F.lit(False))
-    one = F.when(fits("one") & (F.col("one.tokens") <= budget // 4), F.col("one"))
-    two = F.when(fits("two") & one.isNotNull() & (F.col("one.tokens") + F.col("two.tokens") <= budget // 4), F.col("two"))
+    one = F.when(fits("one") & (F.col("one.tokens") <= F.col("spare")), F.col("one"))
+    two = F.when(fits("two") & one.isNotNull() & (F.col("one.tokens") + F.col("two.tokens") <= F.col("spare")), F.col("two"))
     rows = rows.withColumn("before", F.when(opens, F.concat(_again(retained), _again(two), _again(one))).otherwise(F.lit("")))
     extra = sum((F.coalesce(t["tokens"], F.lit(0)) for t in (retained, two, one)), F.lit(0))
     rows = rows.withColumn("tokens", F.col("tokens") + F.when(opens, extra).otherwise(F.lit(0)))

@@ -124,11 +124,15 @@ ORACLES["op4_chat_windows"] = f"""WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 t AS (SELECT *, row_number() OVER o AS pos, CAST(ceil(length(text) / 4.0) AS BIGINT) + 4 AS tok, length({_ESC.format("role")}) + length({_ESC.format("text")}) AS size FROM c WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-s AS (SELECT *, coalesce(sum(tok) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {chat.BUDGET // 2} AS span, min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id) AS sys FROM t),
-k AS (SELECT *, lag(span) OVER o AS was, lag(pos, 1) OVER o AS p1, lag(tok, 1) OVER o AS t1, lag(size, 1) OVER o AS z1, lag(pos, 2) OVER o AS p2, lag(tok, 2) OVER o AS t2, lag(size, 2) OVER o AS z2, max(CASE WHEN pos = sys THEN size END) OVER (PARTITION BY conv_id) AS sys_size FROM s WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
-f AS (SELECT *, 20 + size + CASE WHEN was <> span THEN
+s AS (SELECT *, min(CASE WHEN role = 'system' THEN pos END) OVER (PARTITION BY conv_id) AS sys, sum(tok) OVER (PARTITION BY conv_id ORDER BY pos) AS upto FROM t),
+z AS (SELECT *, coalesce(max(CASE WHEN pos = sys THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys_tok, max(CASE WHEN pos = sys THEN size END) OVER (PARTITION BY conv_id) AS sys_size FROM s),
+r AS (SELECT *, CASE WHEN sys_tok < {chat.BUDGET} THEN {chat.BUDGET} - sys_tok ELSE {chat.BUDGET} END AS room FROM z),
+h AS (SELECT *, (upto - 1) // greatest(room // 2, 1) AS cell, (upto - 1) // greatest(room // 2, 1) * greatest(room // 2, 1) - (upto - tok) > room // 4 AS lone FROM r),
+k AS (SELECT *, pos > 1 AND (lone OR lag(lone) OVER o OR lag(cell) OVER o <> cell) AS opens, CASE WHEN lone THEN least(room // 4, room - tok) ELSE room // 4 END AS spare,
+  lag(pos, 1) OVER o AS p1, lag(tok, 1) OVER o AS t1, lag(size, 1) OVER o AS z1, lag(pos, 2) OVER o AS p2, lag(tok, 2) OVER o AS t2, lag(size, 2) OVER o AS z2 FROM h WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
+f AS (SELECT *, 20 + size + CASE WHEN opens THEN
     CASE WHEN sys < pos THEN 21 + sys_size ELSE 0 END
-    + CASE WHEN p1 <> coalesce(sys, 0) AND t1 <= {chat.BUDGET // 4} THEN 21 + z1 + CASE WHEN p2 <> coalesce(sys, 0) AND t1 + t2 <= {chat.BUDGET // 4} THEN 21 + z2 ELSE 0 END ELSE 0 END
+    + CASE WHEN p1 <> coalesce(sys, 0) AND t1 <= spare THEN 21 + z1 + CASE WHEN p2 <> coalesce(sys, 0) AND t1 + t2 <= spare THEN 21 + z2 ELSE 0 END ELSE 0 END
   ELSE 0 END AS chars FROM k)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
   CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY pos)) AS loss_sha256,

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -38,9 +39,29 @@ def test_windows(spark):
     assert targets == ["w" * 200] * 19
 
 
+def test_no_window_is_over_its_budget_but_for_one_turn(spark):
+    rnd = random.Random(6)
+    size = lambda: rnd.choice([1, 5, 30, 100, 300, 900, 2000, 3500])
+    rows = [(c, t, "system" if t == c % 3 and c % 2 else rnd.choice(["user", "assistant"]), "w" * size()) for c in range(120) for t in range(rnd.randint(1, 25))]
+    rows = [(c, t, r, x[:1200] if r == "system" else x) for c, t, r, x in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
+    tokens = lambda n: -(-n // 4) + 4
+    over = 0
+    for r in chat.windows(df, budget=1000).collect():
+        own = [tokens(len(p.partition("[/INST]")[2])) for p in r.text.split("</s>") if p.startswith("<s>[INST]")]
+        system = [tokens(len(p.partition("[/INST]")[2])) for p in r.text.split("</s>") if p.startswith("<s>[AGAIN]system")]
+        if r.n_tokens > 1000:
+            over += 1
+            assert len(own) == 1 and own[0] + sum(system) > 1000
+    turns = chat.windows(spark.createDataFrame([(1, 0, "user", "w" * 1984), (1, 1, "user", "w" * 3584), (1, 2, "user", "w" * 8000), (1, 3, "user", "w" * 8000)], SCHEMA)).orderBy("window").collect()
+    assert [r.n_tokens for r in turns] == [500, 900, 2004, 2004] and over
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.digests(chat.windows(df, budget=1000)).collect()}
+    assert got == by_hand(rows)
+
+
 def test_empty_and_clashing(spark):
     assert chat.digests(chat.windows(spark.createDataFrame([], SCHEMA))).collect() == []
-    df = spark.createDataFrame([(1, 0, "user", "x")], SCHEMA).withColumns({c: F.lit(9) for c in ("pos", "span", "tokens", "plain", "system", "before")})
+    df = spark.createDataFrame([(1, 0, "user", "x")], SCHEMA).withColumns({c: F.lit(9) for c in ("pos", "span", "tokens", "plain", "system", "before", "room", "half", "end", "cell", "lone", "spare", "opens")})
     assert chat.digests(chat.windows(df)).first().n_turns == 1
 
 

@@ -57,11 +57,17 @@ def buckets(x: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def normalised(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def _hashed(nodes: DataFrame) -> DataFrame:
     def hash_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, x in matrices(batch.column(1)):
-                cells = buckets(x / np.linalg.norm(x, axis=1)[:, None])
+                cells = buckets(normalised(x))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * TABLES, pa.int32()), pa.array(cells.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), lists], ["node", "cells"])
 
@@ -76,7 +82,7 @@ def _meet(cosine: float):
         s = rows.column(4).to_numpy()
         copies, cells = rows.column(6).to_numpy(), np.stack(rows.column(8).to_numpy(zero_copy_only=False))
         (_, x), = list(matrices(rows.column(7)))
-        x = x / np.linalg.norm(x, axis=1)[:, None]
+        x = normalised(x)
         left, right = np.flatnonzero(s == i), np.flatnonzero(s == j)
         a, b = np.nonzero(x[left] @ x[right].T >= cosine)
         a, b = left[a], right[b]
@@ -107,8 +113,7 @@ def _meet(cosine: float):
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``."""
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    valid = F.col("label").isNotNull() & finite(F.col("v")) & (F.size("v") > 0) & F.coalesce(norm > 0, F.lit(False))
+    valid = F.col("label").isNotNull() & finite(F.col("v")) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     node = F.when(valid, F.concat_ws("/", F.hex(F.xxhash64("label", "v")), F.hex(F.xxhash64("v", "label", F.lit(7)))))
     rows = table(rows.withColumn("node", node), "vectors")
     nodes = rows.where("node is not null").groupBy("node").agg(F.count("*").alias("copies"), F.min("vec_id").alias("low"), F.max(F.struct(F.xxhash64("v"), "label", "v")).alias("one"))
@@ -116,7 +121,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     cells = table(_hashed(nodes), "vector-cells")
 
     full = nodes.join(cells, "node")
-    at = full.select("node", "label", F.posexplode("cells").alias("t", "cell")).select("node", "t", F.xxhash64("label", "t", "cell").alias("bucket"))
+    at = full.select("node", "label", F.size("v").alias("long"), F.posexplode("cells").alias("t", "cell"))
+    at = at.select("node", "t", F.xxhash64("label", "long", "t", "cell").alias("bucket"))
     crowd = at.groupBy("bucket", "t").agg(F.count("*").alias("many")).where("many > 1")
     at = at.join(crowd, ["bucket", "t"]).withColumn("blocks", F.ceil(F.col("many") / BLOCK)).withColumn("s", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))

@@ -62,3 +62,17 @@ def test_edges(spark):
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1), (5, [1.0, 1.0], None), (6, [1.0, 1.0], 1), (7, [2.0, 2.0], 1), (7, [2.0, 2.0], 1), (None, [1.0, 1.0], 1), (8, [1.0, 1.0], 2), (9, [], 1), (10, [1.0, 1.0, 0.0], 1)]
     assert run(spark, rows) == by_hand(rows)
     assert run(spark, []) == []
+
+
+def test_extreme_doubles(spark):
+    """Squares of these overflow or vanish; the second list's lengths fall into one cell of a label."""
+    rows = [(1, [1e200, 2e200], 1), (2, [2e200, 4e200], 1), (3, [1e-200, 2e-200], 1), (4, [1e-200, 2e-200], 1), (5, [5e-324, 0.0], 1), (6, [1e308, 0.0], 1), (7, [1.0, -1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = sorted(map(tuple, L.near_duplicates(df).collect()))
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+
+
+def test_lengths_that_share_a_cell(spark, monkeypatch):
+    monkeypatch.setattr(L, "buckets", lambda x: np.zeros((len(x), L.TABLES), np.int32))
+    rows = [(k, [1.0] * (2 + k % 3), 1) for k in range(12)]
+    assert run(spark, rows) == by_hand(rows)

@@ -9,9 +9,9 @@ worth.  A linear classifier on vote counts is trained on the model's posterior l
 scores every document.
 
 Labels are read only for training rows: crc32(id as text) mod 3 is not 1.  Of these at most
-``SAMPLE`` are used, the smallest hashes of the id, whose texts that come within
-``SAMPLE_BYTES`` in that order (near copies count once in mining).  One task fits the model;
-the driver sees only its parameters.
+``SAMPLE`` are used, the smallest hashes of the id, up to ``SAMPLE_BYTES`` of text in that order;
+rows are chosen by their sizes before any text moves, and repeated rows count once (near copies
+once in mining).  One task fits the model; the driver sees only its parameters.
 Scores depend on the text alone: not on id, language, source or labels.
 
 Null and empty texts have no votes and get the classifier's base score.  Null ids are not
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apilattice.llm.shingles import LOWER, mix, shingle_rows, slices, spans, text_bytes, words
@@ -228,22 +228,24 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: st
     """A model from the labelled rows that are not held out, at most ``sample`` of them and ``sample_bytes`` of text."""
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("l_toxic")).where(F.col("l_id").isNotNull() & F.col("l_toxic").isNotNull() & ~held_out(F.col("l_id")))
     known = known.groupBy("l_id").agg(F.max("l_toxic").alias("l_toxic")).orderBy(F.xxhash64("l_id"), "l_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("d_text")).where(F.coalesce(F.octet_length("d_text"), F.lit(0)) <= sample_bytes)
-    rows = rows.join(F.broadcast(known), F.col("d_id") == F.col("l_id"))
-    rows = rows.orderBy(F.xxhash64("l_id"), "l_id", F.xxhash64("d_text")).limit(sample).select("d_text", "l_toxic")
+    rows = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("d_text"))
+    rows = rows.join(F.broadcast(known), F.col("d_id") == F.col("l_id")).withColumns({"d_hash": F.xxhash64("d_text"), "d_size": F.coalesce(F.octet_length("d_text"), F.lit(0)).cast("bigint")})
+    order = [F.xxhash64("l_id"), F.col("l_id"), F.col("d_hash")]
+    sizes = rows.where(F.col("d_size") <= sample_bytes).groupBy("l_id", "d_hash").agg(F.max("d_size").alias("d_size")).orderBy(*order).limit(sample)
+    ahead = F.sum("d_size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))  # of at most ``sample`` rows without texts
+    picked = sizes.withColumn("ahead", ahead).where(F.col("ahead") <= sample_bytes).select(F.col("l_id").alias("p_id"), F.col("d_hash").alias("p_hash"))
+    rows = rows.join(F.broadcast(picked), (F.col("l_id") == F.col("p_id")) & (F.col("d_hash") == F.col("p_hash")))
+    rows = rows.groupBy("l_id", "d_hash").agg(F.max("d_text").alias("d_text"), F.max("l_toxic").alias("l_toxic"))
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, toxic, room = [pa.array([], pa.string())], [np.zeros(0, bool)], sample_bytes
+        texts, toxic = [pa.array([], pa.string())], [np.zeros(0, bool)]
         for batch in batches:
-            size = np.diff(text_bytes(batch.column(0))[1])
-            keep = np.cumsum(size) <= room
-            room -= int(size[keep].sum())
-            texts.append(batch.column(0).filter(pa.array(keep)))
-            toxic.append(batch.column(1).to_numpy()[keep] == 1)
+            texts.append(batch.column(0))
+            toxic.append(batch.column(1).to_numpy() == 1)
         model = fit(pa.concat_arrays(texts), np.concatenate(toxic))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = rows.coalesce(1).mapInArrow(fitted, "model binary").first()
+    found = rows.repartition(1).sortWithinPartitions(*order).select("d_text", "l_toxic").mapInArrow(fitted, "model binary").first()
     return pickle.loads(found[0]) if found else fit(pa.array([], pa.string()), np.zeros(0, bool))
 
 

@@ -164,11 +164,6 @@ def is_test_path(path: Column) -> Column:
     return F.arrays_overlap(parts, words)
 
 
-def glob_extension(pattern: Column) -> Column:
-    """``.cs`` of ``**/*.cs``."""
-    return F.regexp_extract(pattern, r"(\.[A-Za-z0-9]+)$", 1)
-
-
 def glob_to_regex(pattern: str) -> str:
     """A regular expression for a glob with ``**``, ``*`` and ``?``."""
     out, k = "", 0
@@ -256,7 +251,7 @@ def is_stdlib(module: Column, roots: tuple[str, ...]) -> Column:
 
 def budget_summary(used: Column, budget: Column) -> Column:
     """``1,234/5,000 chars (24.7%)``."""
-    share = F.format_number(F.when(budget > 0, used * F.lit(100.0) / budget).otherwise(0.0), 1)
+    share = F.format_string("%.1f", F.when(budget > 0, used * F.lit(100.0) / budget).otherwise(0.0))
     return F.concat(F.format_number(used, 0), F.lit("/"), F.format_number(budget, 0), F.lit(" chars ("), share, F.lit("%)"))
 
 

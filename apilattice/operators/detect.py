@@ -29,8 +29,8 @@ def depth(path):
 
 
 def scannable(files: DataFrame, max_depth: int = MAX_DEPTH, max_files: int | None = MAX_FILES) -> DataFrame:
-    """Files outside excluded and hidden folders, up to a depth and, in path order, a number (None: all) for each package."""
-    segments = F.transform(F.slice(F.split(F.lower("rel_path"), "/"), 1, F.greatest(depth("rel_path"), F.lit(1))), lambda s: s)
+    """Files outside excluded folders, up to a depth and, in path order, a number (None: all) for each package."""
+    segments = F.slice(F.split(F.lower("rel_path"), "/"), 1, F.greatest(depth("rel_path"), F.lit(1)))
     inside = F.when(depth("rel_path") > 0, F.exists(segments, lambda s: s.isin(*EXCLUDED))).otherwise(F.lit(False))
     rows = files.where(~inside & (depth("rel_path") <= max_depth))
     if max_files is None:

@@ -404,12 +404,13 @@ def token_reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH i(iface, method) AS (VALUES ('Buyer', 'click'), ('Buyer', 'purchase'), ('Member', 'signup'), ('Member', 'view'), ('Member', 'purchase'), ('Faulty', 'error')),
-s AS (SELECT DISTINCT user_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-04 00:00:00')
-SELECT user_id AS struct, iface FROM s JOIN i ON i.method = s.event_type GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM i j WHERE j.iface = i.iface)""")
+s AS (SELECT DISTINCT user_id || '/' || strftime(ts, '%Y-%m-%d') AS struct, event_type FROM events)
+SELECT struct, iface FROM s JOIN i ON i.method = s.event_type GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM i j WHERE j.iface = i.iface)""")
 def structural_implements(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {"Buyer": ("click", "purchase"), "Member": ("signup", "view", "purchase"), "Faulty": ("error",)}
     ifaces = spark.createDataFrame([("e", i, m) for i, ms in sets.items() for m in ms], "package_id string, name string, method string")
-    structs = t(spark, sf_dir, "events").where("ts < timestamp '2024-01-04 00:00:00'").select(F.lit("e").alias("package_id"), F.col("user_id").alias("name"), F.col("event_type").alias("method"))
+    day = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd"))  # a user's day is a struct
+    structs = t(spark, sf_dir, "events").select(F.lit("e").alias("package_id"), day.alias("name"), F.col("event_type").alias("method"))
     return graph.structural_implements(structs, ifaces).select("struct", "iface")
 
 

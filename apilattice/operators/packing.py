@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,30 +55,22 @@ def pack_types(types: DataFrame, edges: DataFrame, budget: int, reserve: int = 1
     """(package_id, name, ord, chars): types taken greedily in order of ``place``, each with what it refers to.
 
     types(package_id, name, place, chars).  Packing stops before the first type whose group
-    would pass budget - reserve, if something is in already; what is included changes later
-    costs, so this runs per package, where an API index is small.
+    would pass budget - reserve, if something is in already.  A type costs only with the first
+    that takes it, itself or one that refers to it; groups before the end are whole, so a group
+    stays if the sum of all up to it does.  Of rows with one name the first tells the place, the
+    last the characters.
     """
-    refs = edges.groupBy("package_id", F.col("src").alias("name")).agg(F.sort_array(F.collect_set("dst")).alias("refs"))
-    rows = types.select("package_id", "name", "place", "chars").join(refs, ["package_id", "name"], "left")
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["place", "name"])
-        cost, refs = dict(zip(rows["name"], rows["chars"])), dict(zip(rows["name"], rows["refs"]))
-        taken: list[str] = []
-        seen: set[str] = set()
-        used = 0
-        for name in rows["name"]:
-            found = refs[name] if refs[name] is not None else []
-            group = [n for n in dict.fromkeys([name, *found]) if n in cost and n not in seen]
-            size = sum(cost[n] for n in group)
-            if group and seen and used + size > budget - reserve:
-                break
-            taken, used = taken + group, used + size
-            seen.update(group)
-        package = rows["package_id"].iloc[0]
-        return pd.DataFrame({"package_id": [package] * len(taken), "name": taken, "ord": range(1, len(taken) + 1), "chars": [cost[n] for n in taken]})
-
-    return rows.groupBy("package_id").applyInPandas(pack, "package_id string, name string, ord int, chars bigint")
+    named = types.groupBy("package_id", "name").agg(F.min("place").alias("place"), F.max_by("chars", "place").alias("chars"))
+    named = named.withColumn("_rank", F.row_number().over(Window.partitionBy("package_id").orderBy("place", "name")))
+    rank = named.select("package_id", F.col("name").alias("src"), F.col("_rank").alias("_by"))
+    lent = edges.select("package_id", "src", F.col("dst").alias("name")).distinct().join(rank, ["package_id", "src"])
+    first = lent.groupBy("package_id", "name").agg(F.min("_by").alias("_by"))
+    taken = named.join(first, ["package_id", "name"], "left").withColumn("_at", F.least("_rank", "_by"))
+    group = Window.partitionBy("package_id").orderBy("_at")
+    upto, start = F.sum("chars").over(group.rangeBetween(Window.unboundedPreceding, 0)), F.min("_at").over(Window.partitionBy("package_id"))
+    kept = taken.withColumn("_upto", upto).withColumn("_start", start).where((F.col("_upto") <= budget - reserve) | (F.col("_at") == F.col("_start")))
+    place = Window.partitionBy("package_id").orderBy("_at", F.col("_rank") != F.col("_at"), "name")
+    return kept.select("package_id", "name", F.row_number().over(place).alias("ord"), F.col("chars").cast("bigint").alias("chars"))
 
 
 def prompt(parts: DataFrame, budget: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apilattice.operators import resolution
+from apilattice.operators import packing, resolution
 from apilattice.plans import facade
 from apilattice.plans.bindings import t
 from apilattice.registry import register
@@ -78,3 +78,16 @@ def go_referenced_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = index.select(F.col("package").alias("package_id"), F.explode("containers").alias("c"))
     types = boxes.select("package_id", F.col("c.name").alias("container"), F.explode("c.types").alias("t"))
     return types.select("package_id", "container", F.col("t.name").alias("name"), F.col("t.referenced_types").alias("referenced_types"))
+
+
+@register("""WITH n AS (SELECT p_partkey AS k, p_partkey // 64 AS g, 'C' || p_partkey AS name, CAST(floor(p_retailprice) AS BIGINT) AS chars, row_number() OVER (PARTITION BY p_partkey // 64 ORDER BY p_size, 'C' || p_partkey) AS place FROM part),
+f AS (SELECT m.k, m.g, m.name, m.chars, m.place, least(m.place, coalesce(min(x.place), m.place)) AS spot FROM n m LEFT JOIN n x ON x.g = m.g AND x.k - m.k IN (3, 7, 20) GROUP BY m.k, m.g, m.name, m.chars, m.place),
+u AS (SELECT *, sum(chars) OVER (PARTITION BY g ORDER BY spot RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, min(spot) OVER (PARTITION BY g) AS start FROM f)
+SELECT 'g' || g AS package_id, name, CAST(row_number() OVER (PARTITION BY g ORDER BY spot, place <> spot, name) AS INTEGER) AS ord, chars FROM u WHERE upto <= 24900 OR spot = start""")
+def packed_with_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of 64 parts a package, each with the parts 3, 7 and 20 before it."""
+    parts = t(spark, sf_dir, "part")
+    types = parts.select(_package().alias("package_id"), _names(0).alias("name"), F.col("p_size").alias("place"), F.floor("p_retailprice").cast("bigint").alias("chars"))
+    edges = parts.select("p_partkey", F.explode(F.array(F.lit(3), F.lit(7), F.lit(20))).alias("n")).where("p_partkey % 64 >= n")
+    edges = edges.select(_package().alias("package_id"), _names(0).alias("src"), F.concat(F.lit("C"), (F.col("p_partkey") - F.col("n")).cast("string")).alias("dst"))
+    return packing.pack_types(types, edges, 25_000)

@@ -26,6 +26,7 @@ def module_files(rows: DataFrame, files: DataFrame, modules: DataFrame | None =
     Of a TypeScript path the first counts that is there: as written, .ts, .tsx, .d.ts, index files; .js
     stands for .ts.  modules(package_id, module_path): the path before Go's folders.
     """
+    rows = cut(rows)  # parsed once
     asked = rows.where("module is not null").select("package_id", "module").distinct()
     stem = F.regexp_replace("module", r"\.[mc]?js$", "")
     ends = [".ts", ".tsx", ".mts", ".cts", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts"]
@@ -55,7 +56,7 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def resolve(rows: DataFrame, language: str = "typescript") -> DataFrame:
     """FACT rows: every name that a file sees or gives out and the one declaration that it means."""
-    facts, named, stars = (cut(x) for x in links(rows))
+    facts, named, stars = (cut(x) for x in links(cut(rows)))
     if language == "go":  # a folder's files share their declarations, and other folders see them
         folder = lambda space: facts.where("decl_name <> '*'").select("package_id", F.regexp_replace("file", r"/?[^/]*$", "").alias("file"), F.lit(space).alias("space"), "name", "decl_file", "decl_name")
         facts = facts.union(folder("e")).distinct()
@@ -79,7 +80,7 @@ def references(refs: DataFrame, facts: DataFrame, most_depth: int = 8) -> DataFr
 
     Dotted names go through modules, part by part; names that mean nothing here, or only a module, are left out.
     """
-    facts = cut(facts)
+    facts, refs = cut(facts), cut(refs)
     parts = refs.withColumn("_parts", F.split("ref", r"\."))
     at = facts.select("package_id", "file", F.col("space").alias("_space"), F.col("name").alias("_part"), F.col("decl_file").alias("_to"), F.col("decl_name").alias("_what"))
     open_ = parts.withColumns({"_at": F.col("file"), "_space": F.lit("l"), "_part": F.col("_parts")[0], "_k": F.lit(1)})

@@ -12,19 +12,31 @@ BUDGET = 512_000
 FILE_LIMIT = 50_000
 
 
-def load_plan(files: DataFrame, order: list[Column | str], size: str = "size", budget: int = BUDGET, limit: int = FILE_LIMIT, by: list[str] | None = None) -> DataFrame:
+def load_plan(files: DataFrame, order: list[Column | str], size: str = "size", budget: int = BUDGET, limit: int = FILE_LIMIT, by: list[str] | None = None, parts: int = 1) -> DataFrame:
     """The files that are loaded, with ``ord`` (from 1), chars, est_tokens and truncated.
 
     In order each takes min(size, limit, what is left less the overhead) characters and costs
-    the overhead besides; files without content cost nothing.  Files before the budget's end
+    the overhead besides; files without content, or whose size is null, cost nothing.  Files before the budget's end
     take their whole share, so what was spent before a file is a prefix sum.
+
+    With ``parts`` over 1 each group, or the whole table, is dealt to that many parts by hash
+    first.  A file that its own part's files before it leave without budget is left without it
+    by the whole group too, so each part keeps no more than the budget pays, and what one task
+    sorts of a group at last is bounded by parts times budget, however large the group is.
     """
-    share = F.least(F.col(size), F.lit(limit))
-    window = Window.partitionBy(*(by or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = files.withColumn("_share", share).where("_share > 0")
-    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order))).withColumn("_left", F.lit(budget) - F.coalesce(F.sum(F.col("_share") + OVERHEAD).over(window), F.lit(0)))
+    cost = F.col("_share") + OVERHEAD
+    rows = files.where(F.col(size) > 0).withColumn("_share", F.least(F.col(size), F.lit(limit)))
+
+    def affordable(rows: DataFrame, keys: list[str]) -> DataFrame:
+        before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("_left", F.lit(budget) - F.coalesce(F.sum(cost).over(before), F.lit(0))).where(F.col("_left") > OVERHEAD)
+
+    if parts > 1:
+        dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*files.columns), F.lit(parts)))
+        rows = affordable(dealt, [*(by or []), "_part"]).drop("_part", "_left")
+    rows = affordable(rows, by or []).withColumn("ord", F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order)))
     chars = F.least(F.col("_share"), F.col("_left") - OVERHEAD)
-    rows = rows.where(F.col("_left") > OVERHEAD).withColumn("chars", chars)
+    rows = rows.withColumn("chars", chars)
     return rows.withColumn("est_tokens", F.floor(F.col("chars") / 4)).withColumn("truncated", F.col("chars") < F.col(size)).drop("_share", "_left")
 
 
@@ -51,6 +63,18 @@ def dependency_order(types: DataFrame, edges: DataFrame) -> DataFrame:
     return types.join(used, ["package_id", "name"], "left").withColumn("_tier", tier).withColumn("place", place).drop("_used", "_tier")
 
 
+def client_order(types: DataFrame, edges: DataFrame) -> DataFrame:
+    """As :func:`dependency_order`, but what clients refer to comes in the order of the first client by name and of that client's references.
+
+    edges(package_id, src, dst, ord): ``ord`` tells the order of a type's own references.
+    """
+    clients = types.where("is_client").select("package_id", F.col("name").alias("src"))
+    first = edges.join(clients, ["package_id", "src"], "left_semi").groupBy("package_id", F.col("dst").alias("name")).agg(F.min(F.struct("src", "ord")).alias("_at"))
+    tier = F.when(F.col("is_client"), 0).when(F.col("_at").isNotNull(), 1).otherwise(F.col("priority") + 2)
+    place = F.row_number().over(Window.partitionBy("package_id").orderBy("_tier", F.when(F.col("_tier") == 1, F.col("_at")), "name"))
+    return types.join(first, ["package_id", "name"], "left").withColumn("_tier", tier).withColumn("place", place).drop("_at", "_tier")
+
+
 def pack_types(types: DataFrame, edges: DataFrame, budget: int, reserve: int = 100) -> DataFrame:
     """(package_id, name, ord, chars): types taken greedily in order of ``place``, each with what it refers to.
 

@@ -256,7 +256,7 @@ w AS (SELECT *, 512000 - coalesce(sum(share + 50) OVER (PARTITION BY lang ORDER
 SELECT doc_id, CAST(least(share, rest - 50) AS BIGINT) AS chars, CAST(least(share, rest - 50) // 4 AS BIGINT) AS est_tokens, least(share, rest - 50) < n_chars AS truncated FROM w WHERE rest > 50""")
 def token_budget_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    plan = packing.load_plan(docs, [F.col("n_chars").desc(), "doc_id"], "n_chars", by=["lang"])
+    plan = packing.load_plan(docs, [F.col("n_chars").desc(), "doc_id"], "n_chars", by=["lang"], parts=64)
     return plan.select("doc_id", F.col("chars").cast("bigint").alias("chars"), "est_tokens", "truncated")
 
 

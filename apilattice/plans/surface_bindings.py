@@ -230,7 +230,7 @@ p AS (SELECT least(share, rest - 50) AS chars FROM w WHERE rest > 50)
 SELECT CAST(count(*) AS BIGINT) AS included, CAST((SELECT count(*) FROM documents) - count(*) AS BIGINT) AS omitted, CAST(sum(chars) AS BIGINT) AS chars, CAST(sum(chars // 4) AS BIGINT) AS est_tokens FROM p""")
 def plan_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("size"))
-    return packing.plan_totals(packing.load_plan(docs, [F.col("size").desc(), "doc_id"], by=["lang"]), docs).select(*[F.col(c).cast("bigint").alias(c) for c in ("included", "omitted", "chars", "est_tokens")])
+    return packing.plan_totals(packing.load_plan(docs, [F.col("size").desc(), "doc_id"], by=["lang"], parts=64), docs).select(*[F.col(c).cast("bigint").alias(c) for c in ("included", "omitted", "chars", "est_tokens")])
 
 
 @register("""WITH f AS (SELECT conv_id, turn, text, length(text) AS size, least(length(text), 300) AS share FROM conversations WHERE length(text) > 0),

@@ -33,3 +33,29 @@ def test_equals_the_loop(spark, seed):
         packed = packing.pack_types(df, refs, budget)
         assert sorted(map(tuple, packed.collect())) == sorted(plain(types, edges, budget))
     assert "Python" not in packed._jdf.queryExecution().toString()
+
+
+def loaded(files, budget, limit):
+    """The loop that a load plan stands for, over (id, size) in order."""
+    out, left = [], budget
+    for k, size in files:
+        if left <= packing.OVERHEAD:
+            break
+        chars = min(size, limit, left - packing.OVERHEAD)
+        if chars > 0:
+            out.append((k, chars, chars // 4, chars < size))
+            left -= chars + packing.OVERHEAD
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_load_plan_dealt_to_parts_equals_the_loop(spark, parts):
+    rnd = random.Random(parts)
+    rows = [(lang, k, rnd.choice([0, 1, 40, 51, 300, 2000])) for lang in "ab" for k in range(rnd.randint(100, 400))]
+    files = spark.createDataFrame([*rows, ("c", 0, 0), ("c", 1, None)], "lang string, id int, size bigint")
+    for budget in (0, 50, 51, 1000, 20_000, 10**7):
+        plan = packing.load_plan(files, ["id"], budget=budget, limit=500, by=["lang"], parts=parts).collect()
+        for lang in "ab":
+            got = [(r.id, r.chars, r.est_tokens, r.truncated) for r in sorted(plan, key=lambda r: r.ord) if r.lang == lang]
+            assert got == loaded([(k, size) for at, k, size in rows if at == lang], budget, 500)
+        assert not [r for r in plan if r.lang == "c"]

@@ -26,6 +26,6 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> dict[str, Query]:
     """Imports the modules that register queries."""
-    from apilattice.plans import bindings, more_bindings, sample_bindings, source_bindings, stub_bindings, surface_bindings, upkeep_bindings  # noqa: F401
+    from apilattice.plans import bindings, more_bindings, sample_bindings, shape_bindings, source_bindings, stub_bindings, surface_bindings, upkeep_bindings  # noqa: F401
 
     return QUERIES

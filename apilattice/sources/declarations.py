@@ -23,6 +23,8 @@ TYPES = f"package_id string, rel_path string, container string, name string, kin
 EXTENSIONS = {"dotnet": ".cs", "java": ".java", "go": ".go", "typescript": ".ts"}
 #: Words that stand before a declaration.
 MODIFIERS = frozenset("public protected private internal abstract final static sealed non-sealed strictfp partial readonly virtual override async extern unsafe new const volatile transient synchronized native default export declare required get set accessor".split())
+#: Results that make a method of C# asynchronous.
+ASYNC_RESULTS = ("Task", "ValueTask", "IAsyncEnumerable")
 KINDS = {
     "java": re.compile(r"(@interface|class|interface|enum|record)\s+(\w+)"),
     "dotnet": re.compile(r"(record\s+struct|record\s+class|class|interface|struct|enum|record)\s+(\w+)"),
@@ -186,6 +188,19 @@ def _visible(words: list[str], name: str, language: str, open_: bool) -> bool:
     return bool(wanted & set(words)) or (open_ and not {"private", "internal", "protected"} & set(words))
 
 
+def _special(rest: str) -> tuple[str, str, str | None, str | None] | None:
+    """(name, kind, result, parameters) of an operator, a conversion, an indexer or an event of C#."""
+    if m := re.match(r"(?s)(?:(implicit|explicit)|(.+?))\s+operator\s+(?:checked\s+)?([^\s(]+|[^(]+?)\s*(\(.*)$", rest):
+        at = _paren(m[4])
+        inside = m[4][at[0] + 1 : at[1]] if at else ""
+        return (f"{m[1]} operator {_tidy(m[3])}", "operator", m[3], inside) if m[1] else (f"operator {m[3]}", "operator", m[2], inside)
+    if m := re.match(r"(?s)(.+?)\s+this\s*\[(.*)\]$", rest):
+        return "this[]", "indexer", m[1], m[2]
+    if m := re.match(r"(?s)event\s+(.+?)\s+(\w+)\s*(?:=.*)?$", rest):
+        return m[2], "event", m[1], None
+    return None
+
+
 def _member(f: _File, lo: int, hi: int, body: bool, owner: str, open_: bool) -> dict | None:
     """What a statement in a type's body declares, if users see it."""
     language = f.language
@@ -194,7 +209,9 @@ def _member(f: _File, lo: int, hi: int, body: bool, owner: str, open_: bool) ->
     doc = f.doc(lo, hi)
     made = {"doc": doc, "is_static": "static" in words, "is_async": "async" in words, "deprecated": _old(marks, doc, language), "modifiers": words, "params": []}
     at = _paren(rest)
-    if language == "typescript":
+    if language == "dotnet" and (found := _special(rest)):
+        name, kind, ret, inside = found
+    elif language == "typescript":
         equals = rest.find("=")
         if at and (equals < 0 or at[0] < equals) and (m := re.match(r"(?:\*\s*)?([\w$]*)\??\s*(?:<.*>)?$", rest[: at[0]].strip(), re.S)):
             tail = rest[at[1] + 1 :].strip()
@@ -214,16 +231,24 @@ def _member(f: _File, lo: int, hi: int, body: bool, owner: str, open_: bool) ->
         if not ret and kind != "ctor":
             return None
     else:
-        m = re.match(r"(?s)(?:event\s+)?(.+?)\s*([\w$]+)\s*(?:=.*)?$", rest)
+        m = re.match(r"(?s)(.+?)\s*([\w$]+)\s*(?:=.*)?$", rest)
         if not m:
             return None
         name, ret, inside = m[2], m[1], None
-        kind = "property" if body or (language == "dotnet" and "=>" in f.text[lo:hi]) else "field"
+        kind = "property" if (body and "=" not in rest) or (language == "dotnet" and "=>" in f.text[lo:hi]) else "field"
+        if language == "dotnet" and kind == "field":  # of fields only those that never change are shown
+            if "const" in words:
+                kind = "const"
+            elif not {"static", "readonly"} <= set(words):
+                return None
     if not _visible(words, name, language, open_):
         return None
     if inside is not None:
         made |= {"params": _params(inside, language)}
-    return made | {"name": name, "kind": kind, "sig": None if inside is None else f"({_tidy(inside)})", "ret": _tidy(ret) if ret else None}
+    if language == "dotnet" and kind == "method":
+        made["is_async"] |= ret.partition("<")[0].rpartition(".")[2].strip() in ASYNC_RESULTS
+    round_, square = ("[", "]") if kind == "indexer" else ("(", ")")
+    return made | {"name": name, "kind": kind, "sig": None if inside is None else f"{round_}{_tidy(inside)}{square}", "ret": _tidy(ret) if ret else None}
 
 
 def _bases(tail: str, kind: str, language: str) -> tuple[str | None, list[str]]:

@@ -103,8 +103,10 @@ def _stub_member(m: Column, language: str, pad: str = "    ") -> Column:
         text = F.when(call, _lines(m["name"], sig, typed(" "))).otherwise(_lines(m["name"], typed(" ")))
     else:
         tail = ";" if language == "java" else " { get; }"
-        before = _lines("public ", static, F.when(ret.isNotNull(), _lines(ret, " ")))
-        text = F.when(call, _lines(before, m["name"], sig, ";")).otherwise(_lines(before, m["name"], F.when(m["kind"] == "property", tail).otherwise(";")))
+        conversion = m["name"].rlike("^(?:implicit|explicit) operator ")
+        word = F.when(m["kind"].isin("const", "event"), F.concat(m["kind"], F.lit(" "))) if language == "dotnet" else ""
+        before = _lines("public ", static, word, F.when(ret.isNotNull() & ~conversion, _lines(ret, " ")))
+        text = F.when(call, _lines(before, m["name"], sig, ";")).when(m["kind"] == "indexer", _lines(before, "this", sig, tail)).otherwise(_lines(before, m["name"], F.when(m["kind"] == "property", tail).otherwise(";")))
     return _lines(_note(m["doc"], m["deprecated"], pad, language), pad, text, "\n")
 
 

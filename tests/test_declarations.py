@@ -132,7 +132,7 @@ def test_csharp():
     got = found(CSHARP, "dotnet")
     assert list(got) == ["Client", "Client.Inner", "IFoo", "Mode", "Pt"]
     assert (got["Client"]["base"], got["Client"]["supers"], got["Client"]["deprecated"], got["Client"]["doc"]) == ("BaseClient", ["IDisposable"], True, "The client.")
-    assert [m[:2] for m in members(got["Client"])] == [("property", "Name"), ("property", "Size"), ("method", "GetAsync"), ("ctor", "Client"), ("field", "Changed")]
+    assert [m[:2] for m in members(got["Client"])] == [("property", "Name"), ("property", "Size"), ("method", "GetAsync"), ("ctor", "Client"), ("event", "Changed")]
     call = got["Client"]["members"][2]
     assert (call["ret"], call["is_async"], call["params"][1]["default"], call["doc"]) == ("Task<Response<Item>>", True, "default", "Gets it.")
     assert got["Mode"]["values"] == ["A", "B"] and got["Pt"]["kind"] == "record struct" and [m[1] for m in members(got["IFoo"])] == ["Go", "P"]
@@ -196,3 +196,34 @@ def test_stubs_in_each_language(spark):
     script = stub(spark, SCRIPT, "typescript", "Client")
     assert "export class Client extends Base<T> implements Closer, Other {\n" in script and "    constructor(private url: string, opts?: Options);\n" in script and "    static create(): Client<any>;\n" in script
     assert stub(spark, SCRIPT, "typescript", "Color") == "export enum Color {\n    Red, Green\n}\n"
+
+
+def test_members_of_csharp_that_have_no_plain_name(spark):
+    code = """namespace N;
+    public class V {
+      public static bool operator true(V v) { return true; }
+      public static V operator checked -(V a) => a;
+      public static bool operator >=(V a, V b) => true;
+      public static bool operator <=(V a, V b) { return false; }
+      public static explicit operator List<int>(V v) => null;
+      internal static V operator *(V a, V b) => a;
+      public int this[string k, int n = 0] { get { return 1; } set { } }
+      int this[long k] => 1;
+      public event Action<int> Done { add { } remove { } }
+      private event Action Hidden;
+      public const string Name = "operator +(";
+      public static readonly int[] All = { 1, 2 };
+      public readonly int own;
+      public ValueTask Close() => default;
+      public System.Threading.Tasks.Task<V> Open() => null;
+      public Tasks Not() => null;
+    }"""
+    (made,) = declarations.file_types(code, "dotnet")
+    got = [(m["kind"], m["name"], m["sig"], m["ret"], m["is_async"]) for m in made["members"]]
+    assert got == [
+        ("operator", "operator true", "(V v)", "bool", False), ("operator", "operator -", "(V a)", "V", False), ("operator", "operator >=", "(V a, V b)", "bool", False), ("operator", "operator <=", "(V a, V b)", "bool", False),
+        ("operator", "explicit operator List<int>", "(V v)", "List<int>", False), ("indexer", "this[]", "[string k, int n = 0]", "int", False), ("event", "Done", None, "Action<int>", False), ("const", "Name", None, "string", False),
+        ("field", "All", None, "int[]", False), ("method", "Close", "()", "ValueTask", True), ("method", "Open", "()", "System.Threading.Tasks.Task<V>", True), ("method", "Not", "()", "Tasks", False),
+    ]
+    text = stub(spark, code, "dotnet", "V")
+    assert all(line in text for line in ("public static explicit operator List<int>(V v);", "public static bool operator >=(V a, V b);", "public int this[string k, int n = 0] { get; }", "public event Action<int> Done;", "public const string Name;"))

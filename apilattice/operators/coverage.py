@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apilattice.functions.text import percent
+from apilattice.operators import tables
 
 OP = ["package_id", "client", "operation"]
 
@@ -138,7 +139,7 @@ def markdown_report(packages: DataFrame, uncovered_only: bool = False, skip_empt
     whole = rollup(packages).select(F.lit(0).alias("ord"), F.format_string("# Coverage: %d of %d operations (%.2f%%)", "covered", "total", "coverage_percent").alias("line"))
     head = packages.sparkSession.createDataFrame([(1, "| package | status | covered | total | percent |"), (2, "|---|---|---|---|---|")], "ord int, line string")
     share = percent(F.col("covered"), F.col("total"), None)
-    body = rows.select((F.row_number().over(Window.orderBy("package_id")) + 2).alias("ord"), F.format_string("| %s | %s | %d | %d | %.2f |", "package_id", "status", "covered", "total", share).alias("line"))
+    body = tables.numbered(rows, ["package_id"], "_place").select((F.col("_place") + 2).cast("int").alias("ord"), F.format_string("| %s | %s | %d | %d | %.2f |", "package_id", "status", "covered", "total", share).alias("line"))
     return whole.union(head).union(body)
 
 

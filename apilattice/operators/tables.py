@@ -95,6 +95,21 @@ def evict_least_recent(entries: DataFrame, capacity: int, key: str = "key", at:
     return out.drop("_range")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str = "ord") -> DataFrame:
+    """Rows with their place from 1 in the whole table; ``order`` should tell all rows apart.
+
+    Rows are dealt to ranges of the order and numbered within them, after the rows of the ranges
+    before, so that no task sorts the table.
+    """
+    from apilattice.operators.graph import cut
+
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sums.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) + F.col("_before")
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, place).drop("_range", "_before")
+
+
 def set_operations(a: DataFrame, b: DataFrame) -> DataFrame:
     """(op, value) for union, intersect, a_minus_b and b_minus_a of two one-column tables, each distinct."""
     a, b = a.toDF("value").distinct(), b.toDF("value").distinct()

@@ -132,6 +132,15 @@ def coverage_errors(packages: DataFrame) -> DataFrame:
     return packages.select("package_id", code.alias("error_code")).where("error_code is not null")
 
 
+def batch_errors(roots: DataFrame, files: DataFrame) -> DataFrame:
+    """(package_id, error_code) of the roots(package_id) that a batch cannot start on: without any file, or without a package."""
+    here = files.select("package_id", F.lit(True).alias("_here")).distinct()
+    packages = detect.monorepo_packages(detect.scannable(files, max_files=None)).select("package_id", F.lit(True).alias("_packages")).distinct()
+    rows = roots.select("package_id").distinct().join(here, "package_id", "left").join(packages, "package_id", "left")
+    code = F.when(F.col("_here").isNull(), ROOT_NOT_FOUND).when(F.col("_packages").isNull(), NO_PACKAGES_FOUND)
+    return rows.select("package_id", code.alias("error_code")).where("error_code is not null")
+
+
 def coverage_batch(reports: DataFrame, packages: DataFrame) -> DataFrame:
     """One row over packages(package_id, samples_root, language): analysed, skipped without samples, failed without a language."""
     status = F.when(F.col("language").isNull(), "failed").when(F.col("samples_root").isNull(), "skipped").otherwise("analyzed")

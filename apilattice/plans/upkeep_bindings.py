@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from apilattice.operators import incremental, metrics, packing
 from apilattice.operators.graph import cut
+from apilattice.plans import facade
 from apilattice.plans.bindings import t
+from apilattice.plans.more_bindings import _FILES, _files
 from apilattice.registry import register
 
 SNAPSHOT = "1999-01-01"
@@ -81,3 +83,15 @@ def client_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     client = rows.where("is_client").select("package_id", "digit", F.col("name").alias("src"))
     edges = client.join(rows.select("package_id", "digit", F.col("name").alias("dst")), ["package_id", "digit"]).where("src <> dst").select("package_id", "src", "dst", (-F.col("dst")).alias("ord"))
     return packing.client_order(rows, edges).select("package_id", "name", "place")
+
+
+@register(f"""WITH {_FILES}, g AS (SELECT f.package_id || '-' || f.p_size AS package_id, f.rel_path, f.p_size, CASE WHEN f.rel_path LIKE 'sdk/%' THEN 0 WHEN f.rel_path LIKE 'src/%' THEN 1 ELSE 2 END AS rank FROM files f),
+b AS (SELECT *, min(rank) OVER (PARTITION BY package_id) AS best FROM g),
+k AS (SELECT DISTINCT package_id FROM b WHERE rank = best AND p_size > 45 AND rel_path NOT LIKE 'tests/%' AND rel_path NOT LIKE 'samples/%' AND rel_path NOT LIKE 'node_modules/%'),
+r AS (SELECT package_id FROM g UNION SELECT p_brand || '-' || (p_size + 25) FROM part)
+SELECT package_id, CASE WHEN package_id NOT IN (SELECT package_id FROM g) THEN 'ROOT_NOT_FOUND' ELSE 'NO_PACKAGES_FOUND' END AS error_code FROM r WHERE package_id NOT IN (SELECT package_id FROM k)""")
+def batch_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of a brand and a size; half of those asked for are beyond the largest size."""
+    files = _files(spark, sf_dir).withColumn("package_id", F.concat_ws("-", "package_id", "size"))
+    asked = t(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", F.col("p_size") + 25).alias("package_id"))
+    return facade.batch_errors(files.select("package_id").unionByName(asked), files)

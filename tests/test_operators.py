@@ -128,3 +128,14 @@ def test_scannable_files_of_a_large_brand(spark, tmp_path):
     part.write.parquet(f"{tmp_path}/part.parquet")
     assert registry.load()["scannable_files"](spark, str(tmp_path)).count() == 10_007
     assert detect.scannable(files(spark, ["a.py", "b.py", "c.py"]), max_files=2).count() == 2
+
+
+def test_numbered_over_many_partitions(spark):
+    from apilattice.operators import tables
+
+    rows = [(f"p{k * 7919 % 1000:04d}", k % 3) for k in range(1000)]
+    df = spark.createDataFrame(rows, "name string, n int").repartition(9)
+    got = {r.name: r.ord for r in tables.numbered(df, ["name"]).collect()}
+    assert got == {name: k + 1 for k, (name, _) in enumerate(sorted(rows))}
+    assert tables.numbered(df.limit(0), ["name"]).collect() == []
+    assert tables.numbered(df.limit(1), ["n", "name"]).first().ord == 1

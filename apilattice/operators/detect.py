@@ -6,7 +6,7 @@ files that mark a project, with patterns as globs on the file name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apilattice.functions.text import glob_to_regex, imports_library, is_test_path
@@ -28,6 +28,10 @@ def depth(path):
     return F.size(F.split(path, "/")) - 1
 
 
+#: Folders beside the sources of a package.
+AUXILIARY = ("samples", "sample", "samples-dev", "examples", "example", "demo", "demos", "test", "tests", "spec", "specs", "__tests__", "docs", "doc", "documentation", "quickstarts", "tutorials")
+
+
 def scannable(files: DataFrame, max_depth: int = MAX_DEPTH, max_files: int | None = MAX_FILES) -> DataFrame:
     """Files outside excluded folders, up to a depth and, in path order, a number (None: all) for each package."""
     segments = F.slice(F.split(F.lower("rel_path"), "/"), 1, F.greatest(depth("rel_path"), F.lit(1)))
@@ -69,6 +73,11 @@ def count_sources(files: DataFrame, markers: DataFrame) -> DataFrame:
     return markers.join(counts, ["package_id", "spec_ext", "root"], "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
 
 
+def under_auxiliary(root: Column) -> Column:
+    """Whether a project's folder is, or lies in, one that holds samples, tests or documents; names as they are written."""
+    return F.arrays_overlap(F.split(root, "/"), F.array(*map(F.lit, AUXILIARY)))
+
+
 def source_folder(files: DataFrame) -> DataFrame:
     """(package_id, language, source_root, n_files): projects at the root win, then the most source files, then detection order."""
     counted = count_sources(files, build_markers(files).where(~is_test_path(F.col("root")))).where("n_files > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apilattice.operators import incremental, metrics, packing
+from apilattice.operators import detect, incremental, metrics, packing
 from apilattice.operators.graph import cut
 from apilattice.plans import facade
 from apilattice.plans.bindings import t
@@ -95,3 +95,10 @@ def batch_error_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _files(spark, sf_dir).withColumn("package_id", F.concat_ws("-", "package_id", "size"))
     asked = t(spark, sf_dir, "part").select(F.concat_ws("-", "p_brand", F.col("p_size") + 25).alias("package_id"))
     return facade.batch_errors(files.select("package_id").unionByName(asked), files)
+
+
+@register(f"""WITH {_FILES}, m AS (SELECT DISTINCT package_id, regexp_replace(rel_path, '/[^/]*$', '') AS root FROM files)
+SELECT package_id, root, root LIKE 'tests/%' OR root LIKE 'samples/%' OR root LIKE '%/test' OR root LIKE '%/doc' AS auxiliary FROM m""")
+def auxiliary_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = _files(spark, sf_dir).select("package_id", F.regexp_replace("rel_path", "/[^/]*$", "").alias("root")).distinct()
+    return roots.select("package_id", "root", detect.under_auxiliary(F.col("root")).alias("auxiliary"))

@@ -37,19 +37,19 @@ def resolve_calls(calls: DataFrame, variables: DataFrame, methods: DataFrame, ba
     """
     of = variables.select("package_id", "file", F.col("name").alias("receiver"), F.col("client").alias("_var"))
     own = methods.select(F.col("package_id").alias("_package"), F.col("client").alias("_self")).distinct()
-    rows = calls.join(of, ["package_id", "file", "receiver"], "left")
-    rows = rows.join(own, (F.col("package_id") == F.col("_package")) & (F.col("receiver") == F.col("_self")), "left")
+    rows = calls.join(tables.shuffled(of), ["package_id", "file", "receiver"], "left")
+    rows = rows.join(tables.shuffled(own), (F.col("package_id") == F.col("_package")) & (F.col("receiver") == F.col("_self")), "left")
     rows = rows.withColumn("client", F.coalesce("_var", "_self")).drop("_var", "_self", "_package")
-    known = methods.select(*OP).distinct()
+    known = tables.shuffled(methods.select(*OP).distinct())
     sure = rows.join(known, OP, "left_semi")
     if bases is None:
         return sure
     left = rows.join(known, OP, "left_anti").drop("client")
-    heirs = known.join(bases.select("package_id", "client", "base").distinct(), ["package_id", "client"]).select("package_id", "operation", "client", "base")
+    heirs = known.join(tables.shuffled(bases.select("package_id", "client", "base").distinct()), ["package_id", "client"]).select("package_id", "operation", "client", "base")
     heirs = heirs.join(known.withColumnRenamed("client", "base"), ["package_id", "operation", "base"], "left_semi").where("base <> client").select(*OP).distinct()
-    single = known.join(heirs, OP, "left_anti").groupBy("package_id", "operation").agg(F.count("*").alias("_n"), F.min("client").alias("client"))
+    single = known.join(tables.shuffled(heirs), OP, "left_anti").groupBy("package_id", "operation").agg(F.count("*").alias("_n"), F.min("client").alias("client"))
     choice = single.where("_n = 1").drop("_n")
-    return sure.unionByName(left.join(choice, ["package_id", "operation"]).select(sure.columns))
+    return sure.unionByName(left.join(tables.shuffled(choice), ["package_id", "operation"]).select(sure.columns))
 
 
 def covered(calls: DataFrame) -> DataFrame:

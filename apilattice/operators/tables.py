@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows whose next join goes by shuffles and sorts, for joins where both sides grow with the input.
+
+    Spark takes the size of a side from the compressed file and its columns' widths; texts made of a few small columns
+    are far larger than that, and a broadcast passes all of them through the driver.
+    """
+    return rows.hint("merge")
+
+
 def lookup_or_keep(rows: DataFrame, names: DataFrame, key: str, value: str, default: Column | None = None) -> DataFrame:
     """A left lookup in names(key, value); of several values the smallest, without one ``default`` (null if none)."""
     one = names.groupBy(key).agg(F.min(value).alias(value))

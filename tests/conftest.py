@@ -18,3 +18,11 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Any join that broadcasts a table of its own accord fails, as it does at sizes that pass the driver's memory."""
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")

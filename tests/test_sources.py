@@ -1,5 +1,8 @@
 import json
 
+from oracle import compare
+
+from apilattice import registry
 from apilattice.operators import coverage
 from apilattice.sources import files as source_files
 from apilattice.sources import index, python_ast
@@ -58,6 +61,10 @@ def test_python_sources(spark):
     assert sorted(r.line for r in got) == [2, 4, 5]
 
 
+def test_python_calls_pass_no_table_through_the_driver(spark, no_broadcast):
+    compare(spark, registry.load()["python_calls"], registry.ORACLES["python_calls"], "/root/testdata/sf0.001")
+
+
 def test_samples(spark):
     rows = spark.createDataFrame([("a", "", "code", "../x y.py"), (" ", "", "code", None), ("b", "", " ", None)], "name string, description string, code string, filePath string")
     assert [r.path for r in source_files.write_samples(rows, ".py").collect()] == ["x_y.py"]

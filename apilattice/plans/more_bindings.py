@@ -289,10 +289,10 @@ def correlated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""WITH b AS (SELECT a.event_id, a.event_type AS method, min_by(b.event_type, b.ts) AS result, count(b.event_id) AS n FROM events a LEFT JOIN events b ON b.event_id - a.event_id IN (1, 2) AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 5 MINUTE GROUP BY a.event_id, a.event_type)
 SELECT CAST(event_id AS VARCHAR) AS id, method, CASE WHEN n > 0 THEN 'answered' ELSE 'timeout' END AS status, result FROM b""")
 def message_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event asks, the next two answer; without one in five minutes it times out."""
+    """Each event asks, the next two answer, of two at one time the one that comes first; without one in five minutes it times out."""
     events = t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     asked = events.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("method"), "ts")
-    told = events.select(F.explode(F.array(*((F.col("event_id") - k).cast("string") for k in (1, 2)))).alias("id"), F.col("event_type").alias("result"), F.lit(None).cast("string").alias("error"), "ts")
+    told = events.select(F.explode(F.array(*((F.col("event_id") - k).cast("string") for k in (1, 2)))).alias("id"), F.col("event_type").alias("result"), F.lit(None).cast("string").alias("error"), "ts", F.col("event_id").alias("ord"))
     return exchanges.exchanges(asked, told).select("id", "method", "status", "result")
 
 

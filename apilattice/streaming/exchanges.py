@@ -12,13 +12,13 @@ TIMEOUT = "5 minutes"
 def exchanges(requests: DataFrame, responses: DataFrame, timeout: str = TIMEOUT, delay: str = TIMEOUT) -> DataFrame:
     """(id, method, sent, status, result, error, answered): a row for each of requests(id, method, ts), batch and streaming alike.
 
-    The first of responses(id, result, error, ts) within the timeout answers it; without one its
-    status is ``timeout``.  On streams an outer interval join holds a request until both watermarks,
+    The first of responses(id, result, error, ts) within the timeout answers it; of those at one
+    time the one with the least ``ord``, where responses have that column.  Without one its status is ``timeout``.  On streams an outer interval join holds a request until both watermarks,
     ``delay`` behind the latest events, pass its timeout; rows that come later than that are dropped.
     Rows without id or time are left out; requests that agree in id, method and time are one.
     """
     left = requests.where("id is not null and ts is not null").select("id", "method", F.col("ts").alias("sent")).withWatermark("sent", delay)
-    right = responses.where("id is not null and ts is not null").select(F.col("id").alias("r_id"), F.struct("ts", "result", "error").alias("answer"), F.col("ts").alias("answered")).withWatermark("answered", delay)
+    right = responses.where("id is not null and ts is not null").select(F.col("id").alias("r_id"), F.struct("ts", *(c for c in ("ord",) if c in responses.columns), "result", "error").alias("answer"), F.col("ts").alias("answered")).withWatermark("answered", delay)
     in_time = (F.col("id") == F.col("r_id")) & (F.col("answered") >= F.col("sent")) & (F.col("answered") <= F.col("sent") + F.expr(f"interval {timeout}"))
     first = left.join(right, in_time, "left_outer").groupBy("id", "method", "sent").agg(F.min("answer").alias("answer"))
     status = F.when(F.col("answer").isNull(), "timeout").otherwise("answered")

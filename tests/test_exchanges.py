@@ -1,8 +1,10 @@
 import shutil
 
+import duckdb
 from pyspark.sql import functions as F
 from test_streaming import drain
 
+from apilattice import registry
 from apilattice.streaming import exchanges as X
 
 REQUEST, RESPONSE = "id string, method string, ts timestamp", "id string, result string, error string, ts timestamp"
@@ -72,3 +74,16 @@ def test_sink_after_a_lost_commit(spark, tmp_path):
     shutil.rmtree(tmp_path / "log" / "commits")
     run()
     assert sorted(map(tuple, X.read_batches(spark, str(tmp_path / "out")).collect())) == first
+
+
+def test_of_two_answers_at_one_time_the_first_event_counts(spark, tmp_path):
+    kinds = ["view", "signup", "click", "view", "error", "click"]
+    rows = [(k, at(k // 3), kind) for k, kind in enumerate(kinds)]  # three events a minute, later ones of them before others by name
+    made = spark.createDataFrame(rows, "event_id long, ts string, event_type string").select("event_id", F.to_timestamp("ts").cast("timestamp_ntz").alias("ts"), "event_type")
+    made.coalesce(1).write.parquet(str(tmp_path / "written"))
+    shutil.copy(next((tmp_path / "written").glob("*.parquet")), tmp_path / "events.parquet")
+    got = {int(r.id): r.result for r in registry.load()["message_exchanges"](spark, str(tmp_path)).collect()}
+    assert got == {k: kinds[k + 1] if k < 5 else None for k in range(6)}
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    assert got == {int(i): r for i, _, _, r in con.sql(registry.ORACLES["message_exchanges"]).fetchall()}

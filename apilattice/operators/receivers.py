@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from apilattice.functions.text import unwrap_async
 from apilattice.operators.graph import cut
+from apilattice.operators.tables import shuffled
 
 CALL = ["package_id", "file", "line", "call_ord", "client", "operation"]
 
@@ -72,8 +73,8 @@ def typed_calls(flow: DataFrame, members: DataFrame, bases: DataFrame | None = N
         onward = live.where("size(steps) > 0").withColumns({"_step": F.col("steps")[0], "_owner": F.coalesce(plain_type(F.col("type")), F.lit("?")), "steps": F.expr("slice(steps, 2, size(steps))")})
         into = onward.where("_step = '[]'").withColumn("type", element_type(F.col("type"))).where("type is not null")
         met = members.select("package_id", F.col("owner").alias("_owner"), F.col("step").alias("_step"), F.col("type").alias("_type"))
-        through = onward.where("_step <> '[]'").join(met, ["package_id", "_owner", "_step"]).withColumn("type", F.col("_type"))
-        woken = waiting.join(value, ["package_id", "file", "root"])
+        through = onward.where("_step <> '[]'").join(shuffled(met), ["package_id", "_owner", "_step"]).withColumn("type", F.col("_type"))
+        woken = waiting.join(shuffled(value), ["package_id", "file", "root"])
         columns = [*rows.columns, "type"]
         live = cut(into.select(*columns).union(through.select(*columns)).union(woken.select(*columns)))
         if live.isEmpty():
@@ -85,8 +86,8 @@ def inherited(members: DataFrame, bases: DataFrame, most: int = 16) -> DataFrame
     up = cut(bases.select("package_id", plain_type(F.col("name")).alias("owner"), plain_type(F.col("base")).alias("base")).where("base is not null and owner <> base").distinct())
     out = last = cut(members.withColumn("_far", F.lit(0)))
     for far in range(1, most + 1):
-        lent = last.withColumnRenamed("owner", "base").join(up, ["package_id", "base"]).select("package_id", "owner", "step", "type", F.lit(far).alias("_far"))
-        last = cut(lent.join(out, ["package_id", "owner", "step"], "left_anti").groupBy("package_id", "owner", "step").agg(F.min("type").alias("type"), F.min("_far").alias("_far")))
+        lent = last.withColumnRenamed("owner", "base").join(shuffled(up), ["package_id", "base"]).select("package_id", "owner", "step", "type", F.lit(far).alias("_far"))
+        last = cut(lent.join(shuffled(out), ["package_id", "owner", "step"], "left_anti").groupBy("package_id", "owner", "step").agg(F.min("type").alias("type"), F.min("_far").alias("_far")))
         if last.isEmpty():
             break
         out = cut(out.union(last))
@@ -95,4 +96,4 @@ def inherited(members: DataFrame, bases: DataFrame, most: int = 16) -> DataFrame
 
 def covered_calls(flow: DataFrame, members: DataFrame, operations: DataFrame, bases: DataFrame | None = None) -> DataFrame:
     """The typed calls that are operations(package_id, client, operation) of their receiver's type."""
-    return typed_calls(flow, members, bases).join(operations.select("package_id", "client", "operation").distinct(), ["package_id", "client", "operation"], "left_semi").select(*CALL)
+    return typed_calls(flow, members, bases).join(shuffled(operations.select("package_id", "client", "operation").distinct()), ["package_id", "client", "operation"], "left_semi").select(*CALL)

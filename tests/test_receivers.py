@@ -1,6 +1,8 @@
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
+from apilattice import registry
 from apilattice.operators import receivers as R
 from apilattice.sources import flow
 
@@ -96,3 +98,9 @@ def test_coverage_of_sources_and_samples(spark):
     assert {(r.line, r.client, r.operation) for r in facade.sample_calls(index, samples, "typescript").collect()} == {(2, "Client", "list"), (2, "W", "ping"), (3, "Client", "stop")}
     report = facade.sample_coverage(index, samples, "typescript").first()
     assert (report.total, report.covered, report.uncovered) == (3, 2, 1)
+
+
+@pytest.mark.parametrize("language", ["go"])
+def test_calls_pass_no_table_through_the_driver(spark, no_broadcast, language):
+    name = f"{language}_sample_calls"
+    compare(spark, registry.load()[name], registry.ORACLES[name], "/root/testdata/sf0.001")

@@ -19,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 KEYS = ["package_id", "name"]
 COMPACT = 16
 LOCAL = 4096
+#: Members of a component that stand in one block when its pairs are made.
+BLOCK = 1024
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -135,6 +137,7 @@ def closure(edges: DataFrame) -> DataFrame:
 
     Components become single nodes, whose paths are joined with paths until nothing is new;
     only then come the pairs of members, so a dense component costs no more than its pairs.
+    Large components are dealt to blocks of some BLOCK members, and pairs of blocks to all tasks.
     """
     edges = cut(edges.select("package_id", "src", "dst").distinct())
     ends = edges.select("package_id", F.col("src").alias("name")).union(edges.select("package_id", "dst"))
@@ -149,8 +152,15 @@ def closure(edges: DataFrame) -> DataFrame:
         if (now := paths.count()) == count:
             break
         count = now
-    pairs = paths.withColumnsRenamed({"src": "src_scc", "dst": "dst_scc"})
-    return pairs.join(at("src"), ["package_id", "src_scc"]).join(at("dst"), ["package_id", "dst_scc"]).select("package_id", "src", "dst")
+    blocks = scc.groupBy("package_id", "scc").agg(F.ceil(F.count("*") / BLOCK).alias("_n"))
+    members = cut(scc.join(blocks, ["package_id", "scc"]).select("package_id", "name", "scc", F.expr("pmod(xxhash64(name), _n)").alias("block")))
+    key = lambda c: ["package_id", f"{c}_scc", f"{c}_block"]
+    of = lambda c: members.select("package_id", F.col("scc").alias(f"{c}_scc"), F.col("block").alias(f"{c}_block"), F.col("name").alias(c))
+    dealt = paths.withColumnsRenamed({"src": "src_scc", "dst": "dst_scc"})
+    for c in ("src", "dst"):
+        dealt = dealt.join(of(c).select(*key(c)).distinct(), key(c)[:2])
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, since pairs of blocks are few bytes and would be gathered in one task
+    return dealt.repartition(n, *key("src"), *key("dst")[1:]).join(of("src"), key("src")).join(of("dst"), key("dst")).select("package_id", "src", "dst")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

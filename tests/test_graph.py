@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from apilattice.operators import graph
 
@@ -110,3 +111,12 @@ def test_bases_and_errors(spark):
     assert got == {"A": ("Base", ["IThing", "Known"]), "Known": (None, []), "K": (None, ["X"])}
     chain = spark.createDataFrame([("p", "MyError", "System.Exception"), ("p", "Sub", "MyError"), ("p", "Other", "Base")], "package_id string, name string, base string")
     assert {r.name for r in graph.error_types(chain).collect()} == {"MyError", "Sub"}
+
+
+def test_no_task_makes_all_pairs_of_a_component(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 8, raising=False)
+    edges = spark.createDataFrame([("p", k, (k + 1) % 64) for k in range(64)] + [("p", 0, 100)], "package_id string, src long, dst long")
+    pairs = graph.closure(edges).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.src, r.dst) for r in pairs) == sorted((a, b) for a in range(64) for b in [*range(64), 100])
+    of = [r.task for r in pairs]
+    assert max(map(of.count, set(of))) * 2 < len(of)

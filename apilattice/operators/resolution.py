@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apilattice.operators.graph import cut, reachable
+from apilattice.operators.tables import shuffled
 
 FACT = ["package_id", "file", "space", "name", "decl_file", "decl_name"]
 PLACE = ["package_id", "file", "space", "name"]
@@ -32,12 +33,12 @@ def module_files(rows: DataFrame, files: DataFrame, modules: DataFrame | None =
     ends = [".ts", ".tsx", ".mts", ".cts", ".d.ts", "/index.ts", "/index.tsx", "/index.d.ts"]
     paths = asked.select("package_id", "module", F.posexplode(F.array(F.col("module"), *(F.regexp_replace(F.concat(stem, F.lit(e)), r"^\./", "") for e in ends))).alias("rank", "rel_path"))
     here = files.select("package_id", "rel_path").union(files.select("package_id", F.regexp_replace("rel_path", r"/?[^/]*\.go$", "").alias("rel_path")).where(F.col("rel_path").isNotNull())).distinct()
-    found = paths.join(here, ["package_id", "rel_path"]).groupBy("package_id", "module").agg(F.min_by("rel_path", "rank").alias("to"))
+    found = paths.join(shuffled(here), ["package_id", "rel_path"]).groupBy("package_id", "module").agg(F.min_by("rel_path", "rank").alias("to"))
     if modules is not None:
-        inner = asked.join(modules, "package_id").where(F.col("module").startswith(F.concat(F.lit(":"), "module_path")))
+        inner = asked.join(shuffled(modules), "package_id").where(F.col("module").startswith(F.concat(F.lit(":"), "module_path")))
         inner = inner.withColumn("rest", F.expr("substring(module, length(module_path) + 2)")).where("rest = '' or rest like '/%'")
         found = found.union(inner.select("package_id", "module", F.expr("substring(rest, 2)").alias("to")))
-    return rows.join(found.distinct(), ["package_id", "module"], "left")
+    return rows.join(shuffled(found.distinct()), ["package_id", "module"], "left")
 
 
 def links(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -66,10 +67,10 @@ def resolve(rows: DataFrame, language: str = "typescript") -> DataFrame:
     while not new.isEmpty():
         step += 1
         src = new.select("package_id", F.col("file").alias("src_file"), F.col("space").alias("src_space"), F.col("name").alias("src_name"), "decl_file", "decl_name")
-        by_name = src.join(named, ["package_id", "src_file", "src_space", "src_name"]).select(*FACT)
+        by_name = src.join(shuffled(named), ["package_id", "src_file", "src_space", "src_name"]).select(*FACT)
         given = src.where("src_space = 'e' and src_name <> 'default'").withColumnRenamed("src_name", "name")
-        by_star = given.join(stars, ["package_id", "src_file"]).select(*FACT).join(own, PLACE, "left_anti")
-        new = cut(by_name.union(by_star).distinct().join(seen, FACT, "left_anti"))
+        by_star = given.join(shuffled(stars), ["package_id", "src_file"]).select(*FACT).join(shuffled(own), PLACE, "left_anti")
+        new = cut(by_name.union(by_star).distinct().join(shuffled(seen), FACT, "left_anti"))
         seen = seen.union(new) if step % COMPACT else cut(seen.union(new))
     one = seen.groupBy(*PLACE).agg(F.min(F.struct("decl_file", "decl_name")).alias("d"), F.max(F.struct("decl_file", "decl_name")).alias("e")).where("d = e")
     return one.select(*PLACE, "d.decl_file", "d.decl_name")
@@ -86,7 +87,7 @@ def references(refs: DataFrame, facts: DataFrame, most_depth: int = 8) -> DataFr
     open_ = parts.withColumns({"_at": F.col("file"), "_space": F.lit("l"), "_part": F.col("_parts")[0], "_k": F.lit(1)})
     done = None
     for _ in range(most_depth):
-        met = open_.join(at.withColumnRenamed("file", "_at"), ["package_id", "_at", "_space", "_part"]).select(*refs.columns, "_parts", "_k", "_to", "_what")
+        met = open_.join(shuffled(at.withColumnRenamed("file", "_at")), ["package_id", "_at", "_space", "_part"]).select(*refs.columns, "_parts", "_k", "_to", "_what")
         found = met.where("_what <> '*' and _k = size(_parts)").select(*refs.columns, F.col("_to").alias("decl_file"), F.col("_what").alias("decl_name"))
         done = found if done is None else done.union(found)
         open_ = cut(met.where("_what = '*' and _k < size(_parts)").select(*refs.columns, "_parts", F.col("_to").alias("_at"), F.lit("e").alias("_space"), F.col("_parts")[F.col("_k")].alias("_part"), (F.col("_k") + 1).alias("_k")))
@@ -117,17 +118,17 @@ def with_references(types: DataFrame, facts: DataFrame, entries: DataFrame | Non
     """
     met = references(referenced_names(types), facts).where("not (decl_file = file and decl_name = name)")
     met = met.groupBy("package_id", F.col("file").alias("rel_path"), "name").agg(F.sort_array(F.collect_set("decl_name")).alias("referenced_types"))
-    out = types.join(met, ["package_id", "rel_path", "name"], "left").withColumn("referenced_types", F.coalesce("referenced_types", F.array().cast("array<string>")))
+    out = types.join(shuffled(met), ["package_id", "rel_path", "name"], "left").withColumn("referenced_types", F.coalesce("referenced_types", F.array().cast("array<string>")))
     if entries is None:
         return out
     given = entry_types(facts, entries).withColumnRenamed("name", "_shown").withColumn("_entry", F.lit(True))
-    out = out.withColumn("_shown", F.concat("rel_path", F.lit("#"), "name")).join(given, ["package_id", "_shown"], "left")
+    out = out.withColumn("_shown", F.concat("rel_path", F.lit("#"), "name")).join(shuffled(given), ["package_id", "_shown"], "left")
     return out.withColumn("entry_point", F.coalesce("_entry", F.lit(False))).drop("_entry", "_shown").select(*types.columns, "referenced_types")
 
 
 def entry_types(facts: DataFrame, entries: DataFrame) -> DataFrame:
     """(package_id, name): declarations, as file#name, that the files entries(package_id, file) give out."""
-    out = facts.where("space = 'e' and decl_name <> '*'").join(entries.select("package_id", "file").distinct(), ["package_id", "file"], "left_semi")
+    out = facts.where("space = 'e' and decl_name <> '*'").join(shuffled(entries.select("package_id", "file").distinct()), ["package_id", "file"], "left_semi")
     return out.select("package_id", F.concat("decl_file", F.lit("#"), "decl_name").alias("name")).distinct()
 
 
@@ -135,5 +136,5 @@ def entry_reachable(types: DataFrame, facts: DataFrame, entries: DataFrame) -> D
     """(package_id, name, depth): types, as file#name, that users reach from the entry files by resolved references, and from nowhere else."""
     known = types.select("package_id", F.concat("rel_path", F.lit("#"), "name").alias("name")).distinct()
     facts = cut(facts)
-    edges = resolved_edges(types, facts).join(known.withColumnRenamed("name", "dst"), ["package_id", "dst"], "left_semi")
-    return reachable(edges, entry_types(facts, entries).join(known, ["package_id", "name"], "left_semi"))
+    edges = resolved_edges(types, facts).join(shuffled(known.withColumnRenamed("name", "dst")), ["package_id", "dst"], "left_semi")
+    return reachable(edges, entry_types(facts, entries).join(shuffled(known), ["package_id", "name"], "left_semi"))

@@ -1,6 +1,8 @@
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
+from apilattice import registry
 from apilattice.operators import resolution as R
 from apilattice.sources import declarations, modules
 
@@ -105,3 +107,8 @@ def test_nothing(spark):
     files, found = facts(spark, {"a.ts": ""})
     assert found.count() == 0
     assert facts(spark, {})[1].count() == 0
+
+
+@pytest.mark.parametrize("name", ["resolved_references"])
+def test_names_pass_no_table_through_the_driver(spark, no_broadcast, name):
+    compare(spark, registry.load()[name], registry.ORACLES[name], "/root/testdata/sf0.001")

@@ -100,7 +100,7 @@ def test_coverage_of_sources_and_samples(spark):
     assert (report.total, report.covered, report.uncovered) == (3, 2, 1)
 
 
-@pytest.mark.parametrize("language", ["go", "java"])
+@pytest.mark.parametrize("language", ["go", "java", "typescript"])
 def test_calls_pass_no_table_through_the_driver(spark, no_broadcast, language):
     name = f"{language}_sample_calls"
     compare(spark, registry.load()[name], registry.ORACLES[name], "/root/testdata/sf0.001")

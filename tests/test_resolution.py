@@ -109,6 +109,6 @@ def test_nothing(spark):
     assert facts(spark, {})[1].count() == 0
 
 
-@pytest.mark.parametrize("name", ["resolved_references"])
+@pytest.mark.parametrize("name", ["resolved_references", "entry_reachable_types"])
 def test_names_pass_no_table_through_the_driver(spark, no_broadcast, name):
     compare(spark, registry.load()[name], registry.ORACLES[name], "/root/testdata/sf0.001")

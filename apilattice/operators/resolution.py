@@ -1,24 +1,35 @@
 """Names across files: which declaration a name in a file means, through imports, re-exports and ``export *``.
 
-A fixpoint in joins.  A fact (package_id, file, space, name, decl_file, decl_name) says that a name
+A fixpoint.  A fact (package_id, file, space, name, decl_file, decl_name) says that a name
 means a declaration: in space ``l`` inside the file, in space ``e`` for those who import it; a
 declaration ``*`` is a whole module.  Declarations are the first facts; a step carries only the new
 ones along the links of imports and exports.  What a file names itself hides what a star brings; a
 name that two stars bring from two declarations means neither.  Cycles end since facts are finite.
+
+Packages of at most ``LOCAL`` statements share a task, which takes one after another; larger ones, and those
+that come to more than ``MOST`` facts, go step by step over all tasks by joins.  Both give the same rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import partial
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apilattice.operators.graph import cut, reachable
+from apilattice.operators.graph import LOCAL, cut, reachable
 from apilattice.operators.tables import shuffled
 
 FACT = ["package_id", "file", "space", "name", "decl_file", "decl_name"]
 PLACE = ["package_id", "file", "space", "name"]
 #: Steps after which the facts so far are written anew, so that the plan stays short.
 COMPACT = 8
+#: Facts of a package that a task holds at most.
+MOST = 1 << 17
 
 
 def module_files(rows: DataFrame, files: DataFrame, modules: DataFrame | None = None) -> DataFrame:
@@ -57,12 +68,80 @@ def links(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def resolve(rows: DataFrame, language: str = "typescript") -> DataFrame:
     """FACT rows: every name that a file sees or gives out and the one declaration that it means."""
-    facts, named, stars = (cut(x) for x in links(cut(rows)))
+    facts, named, stars = links(cut(rows))
     if language == "go":  # a folder's files share their declarations, and other folders see them
         folder = lambda space: facts.where("decl_name <> '*'").select("package_id", F.regexp_replace("file", r"/?[^/]*$", "").alias("file"), F.lit(space).alias("space"), "name", "decl_file", "decl_name")
         facts = facts.union(folder("e")).distinct()
+    null, place = F.lit(None).cast("string"), ["file", "space", "name"]
+    source = [f"src_{c}" for c in place]
+    said = facts.select("package_id", F.lit("fact").alias("kind"), *(F.col(c).alias(f"src_{c}") for c in place), F.col("decl_file").alias("file"), null.alias("space"), F.col("decl_name").alias("name"))
+    said = said.union(named.select("package_id", F.lit("name"), *source, *place)).union(stars.select("package_id", F.lit("star"), "src_file", null, null, "file", "space", null))
+    said = cut(said)
+    large = cut(said.groupBy("package_id").agg(F.count("*").alias("_n")).where(F.col("_n") > LOCAL).select("package_id"))
+    of = lambda packages, how: said.join(shuffled(packages), said["package_id"].eqNullSafe(packages["package_id"]), how)
+    found = cut(of(large, "left_anti").repartition("package_id").sortWithinPartitions("package_id").mapInArrow(partial(_by_package, most=MOST), ", ".join(f"{c} string" for c in FACT)))
+    large = cut(large.union(found.where("file is null").select("package_id")))
+    found = found.where("file is not null")
+    if large.isEmpty():
+        return found
+    rest = cut(of(large, "left_semi"))
+    facts = rest.where("kind = 'fact'").select("package_id", *source, "file", "name").toDF(*FACT)
+    return found.union(_by_steps(facts, rest.where("kind = 'name'").drop("kind"), rest.where("kind = 'star'").select("package_id", "src_file", "file", "space")))
+
+
+def _by_package(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """FACT rows of packages that stand together; of one with more than ``most`` facts a row of nulls."""
+    flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], FACT)
+    made: list[tuple] = []
+    for package, rows in groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), itemgetter(0)):
+        found = _meanings((r[1:] for r in rows if package is not None or r[1] == "fact"), most)
+        made += [(package, *r) for r in found] if found is not None else [(package, *[None] * 5)]
+        if len(made) > 50_000:
+            yield flush(made)
+            made = []
+    if made:
+        yield flush(made)
+
+
+def _meanings(rows: Iterable[tuple], most: int) -> list[tuple] | None:
+    """(file, space, name, decl_file, decl_name) of a package's facts, names and stars; None beyond ``most`` facts."""
+    seen, own, named, stars = set(), set(), {}, {}
+    for kind, *place, file, space, name in rows:
+        if kind == "star":
+            stars.setdefault(place[0], []).append((file, space))
+            continue
+        own.add(tuple(place) if kind == "fact" else (file, space, name))
+        if kind == "fact":
+            seen.add((*place, file, name))
+        else:
+            named.setdefault(tuple(place), []).append((file, space, name))
+        if len(seen) > most:
+            return None
+    new = list(seen)
+    while new:
+        after = []
+        for file, space, name, *decl in new:
+            ends = named.get((file, space, name), [])
+            if space == "e" and name != "default":
+                ends = ends + [(f, s, name) for f, s in stars.get(file, ()) if (f, s, name) not in own]
+            for fact in ((*end, *decl) for end in ends):
+                if fact not in seen:
+                    seen.add(fact)
+                    after.append(fact)
+            if len(seen) > most:
+                return None
+        new = after
+    meant: dict = {}
+    for *place, file, name in seen:
+        meant.setdefault(tuple(place), []).append((file, name))
+    return [(*place, *decls[0]) for place, decls in meant.items() if len(decls) == 1]
+
+
+def _by_steps(facts: DataFrame, named: DataFrame, stars: DataFrame) -> DataFrame:
+    """FACT rows of facts and links: a step carries the new facts of all packages at once."""
+    facts, named, stars = cut(facts), cut(named), cut(stars)
     own = cut(facts.select(*PLACE).union(named.select(*PLACE)).distinct())
-    seen = new = cut(facts)
+    seen = new = facts
     step = 0
     while not new.isEmpty():
         step += 1
@@ -134,7 +213,7 @@ def entry_types(facts: DataFrame, entries: DataFrame) -> DataFrame:
 
 def entry_reachable(types: DataFrame, facts: DataFrame, entries: DataFrame) -> DataFrame:
     """(package_id, name, depth): types, as file#name, that users reach from the entry files by resolved references, and from nowhere else."""
+    types, facts = cut(types), cut(facts)  # parsed once
     known = types.select("package_id", F.concat("rel_path", F.lit("#"), "name").alias("name")).distinct()
-    facts = cut(facts)
     edges = resolved_edges(types, facts).join(shuffled(known.withColumnRenamed("name", "dst")), ["package_id", "dst"], "left_semi")
     return reachable(edges, entry_types(facts, entries).join(shuffled(known), ["package_id", "name"], "left_semi"))

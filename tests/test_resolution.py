@@ -112,3 +112,32 @@ def test_nothing(spark):
 @pytest.mark.parametrize("name", ["resolved_references", "entry_reachable_types"])
 def test_names_pass_no_table_through_the_driver(spark, no_broadcast, name):
     compare(spark, registry.load()[name], registry.ORACLES[name], "/root/testdata/sf0.001")
+
+
+def mixed():
+    """A package of stars, cycles, two meanings, aliases and defaults; one of a chain."""
+    rows = [("p", f"m{k}.ts", f"export * from './m{k + 1}';") for k in range(24)] + [("p", "m24.ts", "export class Deep {} class Hidden {} export default Deep;")]
+    for p in ("q", None):
+        rows += [(p, "x.ts", "export class A {} export class B {}"), (p, "y.ts", "export class A {} export * from './z';"), (p, "z.ts", "export * from './x'; export * from './y'; export class B {}")]
+        rows += [(p, "a.ts", "import Own, { B as D } from './z'; import * as all from './y'; export { D as Renamed, all, Own }; export { default } from './d';"), (p, "d.ts", "export default class K {}")]
+    return rows
+
+
+def test_small_packages_take_no_step_for_each_file_of_a_chain(spark):
+    rows = R.module_files(modules.names(spark.createDataFrame(mixed(), FILES), "typescript"), spark.createDataFrame(mixed(), FILES))
+    spark.sparkContext.setJobGroup("names", "names")
+    try:
+        found = {tuple(r) for r in R.resolve(rows).collect()}
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert ("p", "m0.ts", "e", "Deep", "m24.ts", "Deep") in found
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("names")) < 48
+
+
+@pytest.mark.parametrize("bound, most", [("LOCAL", 0), ("LOCAL", 20), ("MOST", 20), ("MOST", 45)])
+def test_names_by_steps_and_in_a_task_are_the_same(spark, monkeypatch, bound, most):
+    files = spark.createDataFrame(mixed(), FILES)
+    rows = R.module_files(modules.names(files, "typescript"), files)
+    want = sorted(map(str, R.resolve(rows).select(*R.FACT).collect()))
+    monkeypatch.setattr(R, bound, most)
+    assert sorted(map(str, R.resolve(rows).select(*R.FACT).collect())) == want

@@ -1,13 +1,22 @@
 """Types of receivers: what the expressions of samples yield, by joins with the members of an API.
 
-Every expression of :func:`apilattice.sources.flow.extract_flow` has a root and steps.  In a round all
-expressions whose root is known take their next step at once: an element of a container by its
-type's text, a member by a join with (type, member).  Finished values are the roots of others.  Rounds
-are as many as the longest chain through variables; each carries only what is still open.
+Every expression of :func:`apilattice.sources.flow.extract_flow` has a root and steps: an element of a container
+by its type's text, a member by (type, member).  Finished values are the roots of others in their file.
+
+A task takes a package's members and then its files one after another, those of many packages; a package of
+many rows is dealt to parts by file, each with the members.  Packages of more than ``MOST`` members go in rounds over
+all tasks by joins: in a round all expressions whose root is known take their next step at once.  Both give the same rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +25,11 @@ from apilattice.operators.graph import cut
 from apilattice.operators.tables import shuffled
 
 CALL = ["package_id", "file", "line", "call_ord", "client", "operation"]
+FLOW = ["package_id", "file", "id", "kind", "root_kind", "root", "steps", "line", "call_ord", "operation"]
+#: Members of a package that a task holds at most, and the rows of a package beyond which its files are dealt to parts.
+MOST, PART = 1 << 17, 1 << 16
+#: Any character of a line and the end of a text, as Java's expressions have them.
+_ANY, _STOP = r"[^\n\r\x85\u2028\u2029]", r"(?!(?<=\r)\n)(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)"
 
 
 def result_type(ret: Column, language: str) -> Column:
@@ -58,9 +72,98 @@ def typed_calls(flow: DataFrame, members: DataFrame, bases: DataFrame | None = N
 
     bases(package_id, name, base): where a type lacks a member, that of its base or of theirs counts.
     """
-    members = cut(inherited(members, bases) if bases is not None else members)
-    key = ["package_id", "file", "id"]
-    rows = cut(flow.select(*key, "kind", "root_kind", "root", "steps", "line", "call_ord", "operation"))
+    members = cut((inherited(members, bases) if bases is not None else members).select("package_id", "owner", "step", "type"))
+    rows = cut(flow.select(*FLOW))  # parsed once
+    large = cut(members.groupBy("package_id").agg(F.count("*").alias("_n")).where(F.col("_n") > MOST).select("package_id"))
+    if large.isEmpty():
+        return _in_tasks(rows, members)
+    of = lambda side, how: side.join(shuffled(large), "package_id", how)
+    return _in_tasks(of(rows, "left_anti"), of(members, "left_anti")).union(_by_steps(cut(of(rows, "left_semi")), cut(of(members, "left_semi"))))
+
+
+def _in_tasks(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """CALL rows of packages whose members a task can hold."""
+    parts = cut(rows.groupBy("package_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("_n")).where("_n > 1"))
+    if parts.isEmpty():
+        rows, members = (side.withColumn("_part", F.lit(0)) for side in (rows, members))
+    else:
+        rows, members = (side.join(shuffled(parts), "package_id", "left").withColumn("_n", F.coalesce("_n", F.lit(1))) for side in (rows, members))
+        rows, members = rows.withColumn("_part", F.expr("pmod(hash(file), _n)")), members.withColumn("_part", F.explode(F.expr("sequence(0, _n - 1)")))
+    said = members.selectExpr("package_id", "_part", "false AS _own", "null AS file", "null AS id", "null AS kind", "owner AS root_kind", "step AS root", "null AS steps", "null AS line", "null AS call_ord", "type AS operation")
+    said = rows.select("package_id", "_part", F.lit(True).alias("_own"), *FLOW[1:]).union(said)
+    dealt = said.repartition("package_id", "_part").sortWithinPartitions("package_id", "_part", "_own", "file")
+    return dealt.mapInArrow(_by_package, "package_id string, file string, line int, call_ord int, client string, operation string")
+
+
+def _by_package(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CALL rows of parts that stand together: the members of each come first, then the rows of its files, file by file."""
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], CALL)
+    made: list[tuple] = []
+    for (package, _), part in groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), itemgetter(0, 1)):
+        members: dict[tuple[str, str], list[str]] = {}
+        for (own, file), rows in groupby(part, itemgetter(2, 3)):
+            if own:
+                made += [(package, file, *call) for call in _file_calls([r[4:] for r in rows], members, package is not None and file is not None)]
+                if len(made) > 50_000:
+                    yield flush(made)
+                    made = []
+                continue
+            for *_, owner, step, _, _, _, type_ in rows:
+                if package is not None and step is not None:  # nulls are no names, as in a join
+                    members.setdefault((owner, step), []).append(type_)
+    if made:
+        yield flush(made)
+
+
+def _file_calls(rows: list[tuple], members: dict[tuple[str, str], list[str]], named: bool) -> list[tuple]:
+    """(line, call_ord, client, operation) of a file's rows; values are the roots of others if the file is ``named``."""
+    made, waiting, live = [], {}, []
+    for r in rows:
+        if r[2] == "value":
+            waiting.setdefault(r[3], []).append(r)
+        elif r[2] is not None:
+            live.append((r, r[3] if r[2] == "type" else ""))
+    while live:
+        (id_, kind, _, _, steps, line, call_ord, operation), type_ = live.pop()
+        types = [type_] if steps is not None else []
+        for step in steps or ():
+            if step == "[]":
+                types = [e for e in map(_element, types) if e is not None]
+            else:
+                types = [m for owner in map(_plain, types) for m in members.get(("?" if owner is None else owner, step), ())]
+        for t in filter(None, types):
+            if kind == "call" and (client := _plain(t)) is not None:
+                made.append((line, call_ord, client, operation))
+            elif kind == "value" and named:
+                live += [(r, t) for r in waiting.get(str(id_), ())]
+    return made
+
+
+@lru_cache(1 << 14)
+def _element(type_: str | None) -> str | None:
+    """:func:`element_type` of one text."""
+    if type_ is None:
+        return None
+    if (go := re.search(rf"^(?:\[\d*\]|map\[[^\]]*\]|chan )({_ANY}*){_STOP}", type_, re.A)) and go[1]:
+        return go[1].removeprefix("*")
+    if (array := re.search(rf"^(?:readonly\s+)?\(?({_ANY}*?)\)?\[\]{_STOP}", type_, re.A)) and array[1]:
+        return array[1]
+    last = re.search(rf"^[\w.$]+<(?:{_ANY}*,)?\s*([\w.$]+(?:<{_ANY}*>)?(?:\[\])*)>{_STOP}", type_, re.A)
+    return last[1] if last else None
+
+
+@lru_cache(1 << 14)
+def _plain(type_: str | None) -> str | None:
+    """:func:`plain_type` of one text."""
+    if type_ is None:
+        return None
+    bare = re.sub(rf"\s*\|\s*(undefined|null){_STOP}", "", re.sub(rf"^[*&?]+|[?!]+{_STOP}|<{_ANY}*{_STOP}", "", type_.strip(" "), flags=re.A), flags=re.A)
+    return None if "[" in bare or "]" in bare else bare.rpartition(".")[2]
+
+
+def _by_steps(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """CALL rows, all packages a step at a time; both sides are written tables."""
     start = F.when(F.col("root_kind") == "type", F.col("root")).otherwise("")
     live = rows.where("root_kind <> 'value'").withColumn("type", start)
     waiting = cut(rows.where("root_kind = 'value'"))
@@ -76,7 +179,7 @@ def typed_calls(flow: DataFrame, members: DataFrame, bases: DataFrame | None = N
         through = onward.where("_step <> '[]'").join(shuffled(met), ["package_id", "_owner", "_step"]).withColumn("type", F.col("_type"))
         woken = waiting.join(shuffled(value), ["package_id", "file", "root"])
         columns = [*rows.columns, "type"]
-        live = cut(into.select(*columns).union(through.select(*columns)).union(woken.select(*columns)))
+        live = cut(into.select(*columns).union(through.select(*columns)).union(woken.select(*columns)).hint("rebalance"))
         if live.isEmpty():
             return done.where("client is not null").select(*CALL)
 

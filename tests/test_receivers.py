@@ -104,3 +104,55 @@ def test_coverage_of_sources_and_samples(spark):
 def test_calls_pass_no_table_through_the_driver(spark, no_broadcast, language):
     name = f"{language}_sample_calls"
     compare(spark, registry.load()[name], registry.ORACLES[name], "/root/testdata/sf0.001")
+
+
+ODD_TYPES = ("Widget[]", "[]*Widget", "[]", "[]*", "chan *sdk.Hub", "map[string][]Widget", "Map<String, List<Widget>>", "Map<string,\n  Widget>", "Map<A,\r\nB>\n", "readonly Widget[]", "readonly []", "(A | B)[]", "Widget[][]", "*sdk.Hub", " a.b.C ", "Hub | undefined", "Hub | null\n", "Hub?!", "&*Hub", "a.b.", "", "<A>", "Caf\u00e9<Caf\u00e9>", "A<\u2028B>", "List<Widget>\r\n", "x\u00a0| null", None)
+
+
+def test_types_in_tasks(spark):
+    """A task reads types as the columns do."""
+    rows = spark.createDataFrame([(s,) for s in ODD_TYPES], "s string").select("s", R.element_type(F.col("s")), R.plain_type(F.col("s"))).collect()
+    assert [(r[0], R._element(r[0]), R._plain(r[0])) for r in rows] == [tuple(r) for r in rows]
+
+
+def _flow(spark, n):
+    """Package p: a chain of n values; q: without members of its own; null: no package; a file that comes twice."""
+    chain = [("p", "a", 0, "value", "type", "T", [], 0, 0, None)] + [("p", "a", k, "value", "value", str(k - 1), ["next()"], 0, 0, None) for k in range(1, n)] + [("p", "a", n, "call", "value", str(n - 1), ["all()", "[]"], 7, 0, "stop")]
+    odd = [(p, f, *r) for p, f in (("p", "b"), ("q", "b"), (None, "b"), ("p", "c"), ("p", "c")) for r in ((0, "value", "type", "List<p.T>", [], 0, 0, None), (1, "call", "value", "0", ["[]"], 3, 1, "go"), (2, "call", "type", "T", ["next()", "next()"], 4, 2, "go"), (3, "call", "free", "", ["make()"], 5, 3, "go"), (4, "value", "value", "5", [], 0, 0, None), (5, "value", "value", "4", [], 0, 0, None), (6, "call", "value", "4", [], 6, 4, "go"), (7, "call", "type", "T[]", [], 7, 5, "go"), (8, "call", "type", "*U", [], 8, 6, "go"))]
+    return spark.createDataFrame(chain + odd, flow.ROWS)
+
+
+def _members(spark):
+    return spark.createDataFrame([("p", "T", "next()", "T"), ("p", "T", "all()", "T[]"), ("p", "", "make()", "U"), (None, "T", "next()", "T"), ("r", "T", "next()", "V")], "package_id string, owner string, step string, type string")
+
+
+@pytest.mark.parametrize(("most", "part"), [(0, 1 << 16), (1 << 17, 1), (1 << 17, 1 << 16), (1, 3)])
+def test_typed_calls_in_tasks_and_by_steps(spark, monkeypatch, most, part):
+    """Packages in a task, in parts and by steps give the same rows."""
+    monkeypatch.setattr(R, "MOST", most)
+    monkeypatch.setattr(R, "PART", part)
+    got = [tuple(r) for r in R.typed_calls(_flow(spark, 4), _members(spark)).collect()]
+    own = lambda p, f: [(p, f, 3, 1, "T", "go")] * (p is not None) + [(p, f, 4, 2, "T", "go"), (p, f, 5, 3, "U", "go")] * (p == "p") + [(p, f, 8, 6, "U", "go")]
+    twice = [(r, 4 if r[2] == 3 else 2) for r in own("p", "c")]  # each of two values reaches each of two calls
+    want = [("p", "a", 7, 0, "T", "stop"), *own("p", "b"), *own("q", "b"), *own(None, "b"), *(r for r, n in twice for _ in range(n))]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_jobs_do_not_grow_with_chains(spark):
+    """Chains through variables are followed in tasks; each link was a round of jobs and a written table before."""
+    sc, jobs = spark.sparkContext, []
+    for n in (2, 12):
+        sc.setJobGroup(f"chain{n}", "")
+        assert R.typed_calls(_flow(spark, n), _members(spark)).where("file = 'a'").count() == 1
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"chain{n}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+@pytest.mark.parametrize("language", ["java"])
+def test_sample_calls_write_few_tables(spark, monkeypatch, language):
+    """A table was written for each step and each link of the longest chain of values, with more partitions each time."""
+    cuts, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: cuts.append(df) or cut(df))
+    registry.load()[f"{language}_sample_calls"](spark, "/root/testdata/sf0.001")
+    assert len(cuts) <= 10

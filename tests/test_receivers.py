@@ -149,7 +149,7 @@ def test_jobs_do_not_grow_with_chains(spark):
     assert jobs[0] == jobs[1]
 
 
-@pytest.mark.parametrize("language", ["java"])
+@pytest.mark.parametrize("language", ["java", "typescript"])
 def test_sample_calls_write_few_tables(spark, monkeypatch, language):
     """A table was written for each step and each link of the longest chain of values, with more partitions each time."""
     cuts, cut = [], R.cut

@@ -6,6 +6,7 @@ by its type's text, a member by (type, member).  Finished values are the roots o
 A task takes a package's members and then its files one after another, those of many packages; a package of
 many rows is dealt to parts by file, each with the members.  Packages of more than ``MOST`` members go in rounds over
 all tasks by joins: in a round all expressions whose root is known take their next step at once.  Both give the same rows.
+What types have from their bases is told likewise: in tasks, or level by level for packages of more than ``LENT``.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ CALL = ["package_id", "file", "line", "call_ord", "client", "operation"]
 FLOW = ["package_id", "file", "id", "kind", "root_kind", "root", "steps", "line", "call_ord", "operation"]
 #: Members of a package that a task holds at most, and the rows of a package beyond which its files are dealt to parts.
 MOST, PART = 1 << 17, 1 << 16
+#: Members of a package, times its bases and one, up to which a task tells what its types inherit.
+LENT = 1 << 19
 #: Any character of a line and the end of a text, as Java's expressions have them.
 _ANY, _STOP = r"[^\n\r\x85\u2028\u2029]", r"(?!(?<=\r)\n)(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)"
 
@@ -74,17 +77,22 @@ def typed_calls(flow: DataFrame, members: DataFrame, bases: DataFrame | None = N
     """
     members = cut((inherited(members, bases) if bases is not None else members).select("package_id", "owner", "step", "type"))
     rows = cut(flow.select(*FLOW))  # parsed once
-    large = cut(members.groupBy("package_id").agg(F.count("*").alias("_n")).where(F.col("_n") > MOST).select("package_id"))
-    if large.isEmpty():
+    large = _some(members.groupBy("package_id").agg(F.count("*").alias("_n")).where(F.col("_n") > MOST).select("package_id"))
+    if large is None:
         return _in_tasks(rows, members)
     of = lambda side, how: side.join(shuffled(large), "package_id", how)
     return _in_tasks(of(rows, "left_anti"), of(members, "left_anti")).union(_by_steps(cut(of(rows, "left_semi")), cut(of(members, "left_semi"))))
 
 
+def _some(rows: DataFrame) -> DataFrame | None:
+    """Few rows, written; None where there are none, so that the usual case writes no table."""
+    return None if rows.isEmpty() else cut(rows)
+
+
 def _in_tasks(rows: DataFrame, members: DataFrame) -> DataFrame:
     """CALL rows of packages whose members a task can hold."""
-    parts = cut(rows.groupBy("package_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("_n")).where("_n > 1"))
-    if parts.isEmpty():
+    parts = _some(rows.groupBy("package_id").agg(F.ceil(F.count("*") / PART).cast("int").alias("_n")).where("_n > 1"))
+    if parts is None:
         rows, members = (side.withColumn("_part", F.lit(0)) for side in (rows, members))
     else:
         rows, members = (side.join(shuffled(parts), "package_id", "left").withColumn("_n", F.coalesce("_n", F.lit(1))) for side in (rows, members))
@@ -186,7 +194,57 @@ def _by_steps(rows: DataFrame, members: DataFrame) -> DataFrame:
 
 def inherited(members: DataFrame, bases: DataFrame, most: int = 16) -> DataFrame:
     """members with those of bases(package_id, name, base) that a type does not have itself; the nearest base counts."""
-    up = cut(bases.select("package_id", plain_type(F.col("name")).alias("owner"), plain_type(F.col("base")).alias("base")).where("base is not null and owner <> base").distinct())
+    up = bases.select("package_id", plain_type(F.col("name")).alias("owner"), plain_type(F.col("base")).alias("base")).where("base is not null and owner <> base").distinct()
+    own = members.select("package_id", "owner", "step", "type", F.lit(None).cast("string").alias("base"))
+    said = cut(own.union(up.select("package_id", "owner", F.lit(None), F.lit(None), "base")))
+    large = _some(said.groupBy("package_id").agg((F.count_if(F.col("base").isNull()) * (1 + F.count("base"))).alias("_n")).where(F.col("_n") > LENT).select("package_id"))
+    small = said if large is None else said.join(shuffled(large), "package_id", "left_anti")
+    dealt = small.repartition("package_id").sortWithinPartitions("package_id")
+    out = dealt.mapInArrow(lambda batches: _lent_by_package(batches, most), "package_id string, owner string, step string, type string")
+    if large is None:
+        return out
+    rest = cut(said.join(shuffled(large), "package_id", "left_semi"))
+    return out.union(_lent_by_levels(rest.where("base is null").drop("base"), rest.where("base is not null").select("package_id", "owner", "base"), most))
+
+
+def _lent_by_package(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The members of packages that stand together, with those of bases."""
+    flush = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["package_id", "owner", "step", "type"])
+    made: list[tuple] = []
+    for package, rows in groupby((r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))), itemgetter(0)):
+        own, heirs = [], {}
+        for _, owner, step, type_, base in rows:
+            if base is None:
+                own.append((owner, step, type_))
+            elif package is not None:  # null is no name, as in a join
+                heirs.setdefault(base, []).append(owner)
+        made += [(package, *r) for r in _lent(own, heirs, most)]
+        if len(made) > 50_000:
+            yield flush(made)
+            made = []
+    if made:
+        yield flush(made)
+
+
+def _lent(own: list[tuple], heirs: dict[str, list[str]], most: int) -> list[tuple]:
+    """(owner, step, type) of one package; of bases equally near the least type counts."""
+    out, last, have = list(own), own, {r[:2] for r in own}
+    for _ in range(most):
+        new: dict[tuple, list] = {}
+        for base, step, type_ in last:
+            for owner in heirs.get(base, ()):
+                if step is None or (owner, step) not in have:
+                    new.setdefault((owner, step), []).append(type_)
+        last = [(*key, min((x for x in types if x is not None), default=None)) for key, types in new.items()]
+        if not last:
+            break
+        have.update(new)
+        out += last
+    return out
+
+
+def _lent_by_levels(members: DataFrame, up: DataFrame, most: int) -> DataFrame:
+    """As :func:`_lent`, all packages a level at a time; both sides are written tables."""
     out = last = cut(members.withColumn("_far", F.lit(0)))
     for far in range(1, most + 1):
         lent = last.withColumnRenamed("owner", "base").join(shuffled(up), ["package_id", "base"]).select("package_id", "owner", "step", "type", F.lit(far).alias("_far"))

@@ -156,3 +156,38 @@ def test_sample_calls_write_few_tables(spark, monkeypatch, language):
     monkeypatch.setattr(R, "cut", lambda df: cuts.append(df) or cut(df))
     registry.load()[f"{language}_sample_calls"](spark, "/root/testdata/sf0.001")
     assert len(cuts) <= 10
+
+
+@pytest.mark.parametrize("lent", [0, 20, 1 << 19])
+def test_inherited_in_tasks_and_by_levels(spark, monkeypatch, lent):
+    """A diamond, a cycle, a chain longer than the bound, a base of many types, a package without bases and none at all: both ways give the same rows."""
+    monkeypatch.setattr(R, "LENT", lent)
+    chain = [("deep", f"T{k}", f"T{k - 1}") for k in range(1, 20)]
+    bases = [("p", "D", "B<X>"), ("p", "D", "C"), ("p", "B", "a.A"), ("p", "C", "A"), ("p", "A", "D"), ("p", "A", "A"), (None, "D", "B"), ("q", "D", None), *chain]
+    own = [("p", "A", "run()", "Z"), ("p", "A", "own", "A"), ("p", "B", "run()", "Y"), ("p", "C", "run()", "X"), ("p", "B", "z", "m"), ("p", "B", "z", "k"), (None, "B", "run()", "N"), ("q", "D", "go()", "G"), ("deep", "T0", "go()", "T0")]
+    schema = "package_id string, owner string, step string, type string"
+    got = [tuple(r) for r in R.inherited(spark.createDataFrame(own, schema), spark.createDataFrame(bases, "package_id string, name string, base string")).collect()]
+    more = [("p", "D", "run()", "X"), ("p", "B", "own", "A"), ("p", "C", "own", "A"), ("p", "D", "own", "A"), ("p", "D", "z", "k"), ("p", "A", "z", "k"), ("p", "C", "z", "k")]
+    assert sorted(got, key=str) == sorted([*own, *more, *(("deep", f"T{k}", "go()", "T0") for k in range(1, 17))], key=str)
+
+
+def test_jobs_do_not_grow_with_bases(spark):
+    """What a type has from a base is told in tasks; each base on the way up was two written tables before."""
+    sc, jobs = spark.sparkContext, []
+    own = spark.createDataFrame([("p", "T0", "go()", "T0")], "package_id string, owner string, step string, type string")
+    for n in (1, 9):
+        bases = spark.createDataFrame([("p", f"T{k}", f"T{k - 1}") for k in range(1, n + 1)], "package_id string, name string, base string")
+        sc.setJobGroup(f"bases{n}", "")
+        assert R.inherited(own, bases).count() == n + 1
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"bases{n}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+@pytest.mark.parametrize("language", ["java", "typescript"])
+def test_sample_calls_write_three_tables(spark, monkeypatch, language):
+    """API, members and rows; two tables for each level of bases, and empty ones of large packages, were written besides."""
+    cuts, cut = [], R.cut
+    monkeypatch.setattr(R, "cut", lambda df: cuts.append(df) or cut(df))
+    registry.load()[f"{language}_sample_calls"](spark, "/root/testdata/sf0.001")
+    assert len(cuts) == 3
